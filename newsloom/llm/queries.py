@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from newsloom.llm import pack, simhash
+from newsloom.llm import langid, mixing, pack, quality, simhash, substrings
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_substrings": substrings.op2_substrings,
+    "op3_quality": quality.op3_quality,
+    "op6_mixing": mixing.op6_mixing,
     "op7_pack": pack.op7_pack,
+    "op8_language": langid.op8_language,
 }
 
-ORACLE: dict[str, str] = {}
+#: Fingerprints (XXH64), tokenizers and trained models are not expressible in SQL; tests hold them against brute force.
+ORACLE: dict[str, str] = {
+    "op2_substrings": substrings.OP2_SQL,
+    "op3_quality": quality.OP3_SQL,
+    "op6_mixing": mixing.OP6_SQL,
+}

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.util import arrow_map, materialize
+from newsloom.llm.util import arrow_map, materialize, slices
 
 # ---------------------------------------------------------------- tokens
 
@@ -30,26 +30,26 @@ _TOKENIZER: dict[str, object] = {}
 KEPT_WORDS = 500_000
 
 
-def token_bytes(text: str | None, path: str) -> bytes:
-    """The text's ids as little-endian unsigned 32-bit numbers.
+def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit numbers.
 
     The tokenizer never merges over white space, so ids are looked up by white-space-separated word
     in a bounded table that each Python worker keeps.
     """
     known = _WORDS.setdefault(path, {})
-    words = (text or "").encode().split()
-    new = list({*words} - known.keys())
+    split = [(t or "").encode().split() for t in texts]
+    if len(known) > KEPT_WORDS:
+        known.clear()
+    new = [w for w in set().union(*split) if w not in known]
     if new:
         if path not in _TOKENIZER:
             from tokenizers import Tokenizer
 
             _TOKENIZER[path] = Tokenizer.from_file(path)
-        if len(known) > KEPT_WORDS:
-            known.clear()
-            new = list({*words})
         coded = _TOKENIZER[path].encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, coded, strict=True))
-    return b"".join(map(known.__getitem__, words))
+    for words in split:
+        yield b"".join(map(known.__getitem__, words))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, ids: bool) -> Iterator[pa.RecordBatch]:
@@ -57,10 +57,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tail, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-    for b in batches:
+    for b in (part for batch in batches for part in slices(batch, most=4 << 20)):
         doc, piece, start, length, crc, raw = [], [], [], [], [], []
-        for d, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-            code = token_bytes(text.as_py(), path) + tail
+        for d, code in zip(b.column("doc_id").to_pylist(), token_bytes(b.column("text").to_pylist(), path), strict=True):
+            code += tail
             for k, at in enumerate(range(0, len(code), step)):
                 part = code[at : at + step]
                 doc.append(d), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))

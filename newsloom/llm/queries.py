@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from newsloom.llm import langid, mixing, pack, quality, simhash, substrings
+from newsloom.llm import langid, mixing, pack, quality, search, simhash, substrings, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_substrings": substrings.op2_substrings,
     "op3_quality": quality.op3_quality,
+    "op4_topk": search.op4_topk,
+    "op5_warc": warc.op5_warc,
     "op6_mixing": mixing.op6_mixing,
     "op7_pack": pack.op7_pack,
     "op8_language": langid.op8_language,
@@ -17,5 +19,7 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_substrings": substrings.OP2_SQL,
     "op3_quality": quality.OP3_SQL,
+    "op4_topk": search.OP4_SQL,
+    "op5_warc": warc.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
 }

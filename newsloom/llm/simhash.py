@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.util import U, arrow_map, connected_components, materialize, release
+from newsloom.llm.util import U, arrow_map, connected_components, materialize
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -154,7 +154,6 @@ def links_within(prints: DataFrame, budget: int = 4, blocks: int = 6, exact: int
     """Edges (a, b) between distinct fingerprints `fp`, with the same components as all pairs within `budget` bits."""
     if blocks - budget < exact:
         raise ValueError("blocks - budget groups agree at least; exact can't be more")
-    spark = prints.sparkSession
     distinct = prints.select("fp").distinct()
     split = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))).alias("node"), F.col("fp")) for t, m in enumerate(choices(2**64 - 1, blocks, exact))]))
     nodes = materialize(distinct.select(split.alias("x")).select("x.*"), "nodes")
@@ -179,7 +178,6 @@ def links_within(prints: DataFrame, budget: int = 4, blocks: int = 6, exact: int
         deeper = nodes.join(large.select("node", masks("any", "all").alias("masks")), "node")
         deeper = deeper.select("node", "fp", F.posexplode("masks").alias("t", "m"))
         nodes = materialize(deeper.select(F.xxhash64("node", "t", F.col("fp").bitwiseAND(F.col("m"))).alias("node"), "fp"), "nodes")
-        release(spark)
     raise RuntimeError("a trie could not be split")
 
 

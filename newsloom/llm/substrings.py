@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.llm.util import U, arrow_map, materialize, mix, release, slices, span_hash, text_buffers, window_hashes, word_hashes, words_of
+from newsloom.llm.util import U, arrow_map, materialize, mix, slices, span_hash, text_buffers, window_hashes, word_hashes, words_of
 
 GRAM = 3
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -195,17 +195,13 @@ def repeated_passages(docs: DataFrame, k: int = 13, text_out: bool = False) -> D
     one doc_id with equal words are one document; with different words, the one with the smaller
     hash counts as the earlier. Texts under k words lose nothing. Other columns are ignored.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     measured = materialize(arrow_map(base, _measure, "doc_id long, row long, n_words long, sha string"), "measured")
     classes = materialize(_classes(measured), "classes")
     order = materialize(numbered(classes.where(F.col("n_words") >= k).select("row", "did", "n_words")), "order")
     candidates = _candidates(base, order, k)
-    release(spark)
     pending = materialize(base.select("row", "text").join(candidates, "row"), "pending")
-    release(spark)
     paths = _compact(pending, k)
-    release(spark)
     cut = _checked(pending, paths, k, text_out)
     out = measured.join(classes.select("sha", "did", F.col("row").alias("_rep")), "sha")
     out = out.join(cut.withColumnRenamed("row", "_rep"), "_rep", "left")

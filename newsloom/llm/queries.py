@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import langid, mixing, pack, quality, search, simhash, substrings, warc
+from newsloom.llm import html, langid, mixing, pack, quality, search, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_pack": pack.op7_pack,
     "op8_language": langid.op8_language,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_html": html.op10_html,
 }
 
 #: Fingerprints (XXH64), tokenizers and trained models are not expressible in SQL; tests hold them against brute force.

@@ -117,7 +117,7 @@ def hints(attr: str) -> tuple[list[int], bool]:
 
 NAMES = [
     *(f"tag_{t}" for t in TAGS), "tag_other",
-    *(f"own_{h}" for h in HINTS), *(f"above_{h}" for h in HINTS), "hidden", "above_nav", "above_footer", "above_aside", "above_form", "above_article",
+    *(f"own_{h}" for h in HINTS), *(f"above_{h}" for h in HINTS), "hidden", "above_nav", "above_footer", "above_aside", "above_form", "above_article", "above_main",
     "depth", "log_text", "log_tags", "density", "link_share", "share_of_page", "share_of_parent", "index", "siblings", "sibling_text", "sibling_same",
     "paragraphs", "stops", "word_length", "before", "after",
 ]
@@ -140,8 +140,8 @@ def node_features(t: Tree) -> tuple[np.ndarray, np.ndarray]:
         seen += c
     own, above = np.zeros((n, g)), np.zeros((n, g))
     hidden = np.zeros(n)
-    under = np.zeros((n, 5))
-    special = {"nav": 0, "footer": 1, "aside": 2, "form": 3, "article": 4}
+    under = np.zeros((n, 6))
+    special = {"nav": 0, "footer": 1, "aside": 2, "form": 3, "article": 4, "main": 5}
     in_link = np.zeros(n, bool)
     for i in range(n):
         p = t.parent[i]
@@ -203,8 +203,17 @@ def chosen_text(t: Tree, keep: np.ndarray) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-def decode(t: Tree, p: np.ndarray) -> np.ndarray:
-    """Which nodes are kept: the likeliest labelling in which a kept or dropped node decides its whole subtree.
+def decode(t: Tree, p: np.ndarray, least: float = 0.2) -> np.ndarray:
+    """Which nodes are kept. If none is, but one has `least`, odds are raised until the likeliest is kept."""
+    keep = _decode(t, p)
+    if not keep.any() and least <= (top := p.max(initial=0)) < 1:
+        odds = p / np.maximum(1 - p, 1e-9) * (1 - top) / top * 2
+        keep = _decode(t, odds / (1 + odds))
+    return keep
+
+
+def _decode(t: Tree, p: np.ndarray) -> np.ndarray:
+    """The likeliest labelling in which a kept or dropped node decides its whole subtree.
 
     A node is kept whole, dropped whole, or left open; only open nodes have children of both kinds.
     An open node's own text is dropped, unless it is likelier kept.

@@ -190,10 +190,10 @@ class Trees:
         return 1 / (1 + np.exp(-2 * margin))
 
 
-def train(spark: SparkSession, pages: int = 600, rounds: int = 30, depth: int = 5, seed: int = 7) -> Trees:
+def train(spark: SparkSession, pages: int = 800, rounds: int = 36, depth: int = 5, seed: int = 7) -> Trees:
     """Boosted trees from `pages` generated pages."""
     rows = materialize(arrow_map(spark.range(seed * 10**6, seed * 10**6 + pages, 1, 8), _training, "x array<double>, label double"), "nodes")
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=seed, maxBins=64, cacheNodeIds=False).fit(rows.select(array_to_vector("x").alias("features"), "label"))
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.35, seed=seed, maxBins=64, cacheNodeIds=False).fit(rows.select(array_to_vector("x").alias("features"), "label"))
 
     def flat(node, out: list) -> int:
         at = len(out)

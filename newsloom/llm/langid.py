@@ -19,6 +19,8 @@ from newsloom.llm.util import U, arrow_map, mix, slices
 
 SIZES = (2, 3, 4)
 BLANK = 32
+#: Bytes of text that are counted at once.
+SLICE = 1 << 19
 
 
 @lru_cache(1)
@@ -57,7 +59,7 @@ def ngrams(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray],
 
 def _documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for b in slices(batch):
+        for b in slices(batch, most=SLICE):
             lang = np.array(b.column("lang").to_pylist(), object)
             hashes, owners, _ = ngrams(b.column("text").to_pylist())
             for one in {*lang.tolist()}:
@@ -134,20 +136,21 @@ def of_small(counts: dict[str, int], most: int):
     return F.lit(min([*counts.values(), most]) < 20)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model, text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for b in slices(batch):
+        for b in slices(batch, most=SLICE):
             lang, score = model.value.predict(b.column("text").to_pylist())
-            names = [n for n in b.schema.names if n != "text"]
+            names = [n for n in b.schema.names if text or n != "text"]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
 
 def predict(docs: DataFrame, model: Filters, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, lang_pred, score of every row: `und` and 0 where the text is null or has no letter."""
+    """keep (with or without the text), lang_pred, score of every row: `und` and 0 where the text is null or has no letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits cells of 1 to 8 bytes
-    few = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in few.schema if f.name != "text")
-    return arrow_map(few, partial(_predict, model=shared), f"{kind}, lang_pred string, score double")
+    rest = [c for c in keep if c != "text"]
+    few = docs.select(*rest, F.col("text").cast("string").alias("text"))
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in few.schema if f.name in keep)
+    return arrow_map(few, partial(_predict, model=shared, text="text" in keep), f"{kind}, lang_pred string, score double")
 
 
 def remainder(doc_id: str = "doc_id", n: int = 4):
@@ -161,9 +164,9 @@ def trained_on(docs: DataFrame, **options) -> Filters:
 
 def with_language(docs: DataFrame, model: Filters) -> DataFrame:
     """docs without those whose language can't be told (no letters at all); columns unchanged."""
-    few = docs.select(*docs.columns, F.struct(*docs.columns).alias("_all")).select("_all", F.col("text"))
-    out = predict(few, model, ("_all",))
-    return out.where("lang_pred <> 'und'").select("_all.*")
+    own = {c: f"_{i}" if c != "text" else c for i, c in enumerate(docs.columns)}  # no clash with the results' names
+    out = predict(docs.select(*[F.col(c).alias(n) for c, n in own.items()]), model, tuple(own.values()))
+    return out.where("lang_pred <> 'und'").select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:

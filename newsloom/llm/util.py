@@ -187,6 +187,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+#: Rows in an Arrow batch: the default of 10,000 whole texts does not fit next to a small executor's heap.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    name, default, ours = BATCH_ROWS
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, ours)
     return df.mapInArrow(fn, schema)

@@ -1,0 +1,44 @@
+"""The folder that driver and executors share, and tables written there between rounds."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+import zipfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder where it is unset (tests)."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured.rstrip("/")
+    own = getattr(spark.sparkContext, "_newsloom_rounds", None)
+    if own is None:
+        own = spark.sparkContext._newsloom_rounds = "file://" + tempfile.mkdtemp(prefix="newsloom-rounds-")
+    return own
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: what an iteration goes on from."""
+    path = f"{shared_dir(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(function):
+    """function, after this package was sent to the executors (once per application)."""
+    sc = SparkSession.getActiveSession().sparkContext
+    if not getattr(sc, "_newsloom_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="newsloom-"), "newsloom_pkg.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for folder, _, names in os.walk(root):
+                for n in names:
+                    if n.endswith(".py"):
+                        z.write(os.path.join(folder, n), os.path.join("newsloom", os.path.relpath(os.path.join(folder, n), root)))
+        sc.addPyFile(target)
+        sc._newsloom_shipped = True
+    return function

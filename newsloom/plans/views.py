@@ -25,4 +25,7 @@ def ts(column: str) -> str:
 
 
 def sql(body: str, *views: str, recursive: bool = False) -> str:
-    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(views)} {body.strip()}" if body.lstrip()[:1] != "," else f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(views)}{body}"
+    """body after the views' WITH clause; a body that begins with a comma goes on with more views."""
+    if not views:
+        return body
+    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(views)}{'' if body.startswith(',') else ' '}{body}"

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-GROUPS = ("ingest", "temporal", "graph", "quality", "resolve")
+GROUPS = ("ingest", "temporal", "graph", "quality", "resolve", "sources")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 for group in GROUPS:

@@ -115,7 +115,7 @@ def resolve_redirects(redirects: DataFrame, rounds: int = 6) -> DataFrame:
         m = settle(m.join(nxt, "to_id", "left").select("from_id", F.coalesce("next", "to_id").alias("to_id")))
         if not m.join(one.select(F.col("from_id").alias("to_id")), "to_id", "left_semi").limit(1).count():
             return m
-    return m.join(one.select(F.col("from_id").alias("to_id")), "to_id", "left_anti")
+    return m.join(one.select(F.col("from_id").alias("to_id")), "to_id", "left_anti").select("from_id", "to_id")
 
 
 def rekeyed(df: DataFrame, column: str, closure: DataFrame) -> DataFrame:

@@ -80,13 +80,13 @@ def import_documents(spark: SparkSession, entities: str | None, events: str | No
     ent = "map<string,struct<sources:array<string>,first_seen:string,published_at:string,reported_at:string,original_forms:array<string>>>"
     evt = "map<string,struct<sources:array<string>,first_seen:string,published_at:string,reported_at:string,event_summary:string,entities:array<string>>>"
 
-    def rows(path, kind, name):
+    def rows(path, kind, name, *more):
         text = spark.read.text(path, wholetext=True)
         j = text.select(F.explode(F.from_json("value", kind)).alias(name, "d"))
-        return j.select(name, F.get("d.sources", 0).alias("source"), F.coalesce("d.reported_at", "d.published_at", "d.first_seen").alias("reported_at"), "d.*")
+        return j.select(name, F.get("d.sources", 0).alias("source"), F.coalesce("d.reported_at", "d.published_at", "d.first_seen").alias("reported_at"), "d.first_seen", *more)
 
-    e = rows(entities, ent, "name").drop("published_at") if entities else None
-    v = rows(events, evt, "abstract").drop("published_at") if events else None
+    e = rows(entities, ent, "name", "d.original_forms") if entities else None
+    v = rows(events, evt, "abstract", "d.event_summary", "d.entities") if events else None
     return e, v
 
 

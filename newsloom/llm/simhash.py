@@ -106,6 +106,7 @@ def trie_links(values: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.n
         a0, a1, b0, b1, err = (np.concatenate(x) for x in zip(*parts, swap, strict=True))
         ok = (err <= budget) & (a1 > a0) & (b1 > b0) & ~((a0 == b0) & (a1 - a0 == 1))
         a0, a1, b0, b1, err = (x[ok] for x in (a0, a1, b0, b1, err))
+    out.append((a0, b0))  # single values, told apart by the last bit
     i, j = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
     return i, j
 

@@ -145,15 +145,16 @@ def fit(bags: pa.Table, size: int, steps: int = 400, rate: float = 0.1, ridge: f
     return w, b
 
 
-def train(labelled: DataFrame, most_documents: int = 20_000, most_features: int = 4096, lift: float = 6.0) -> Model:
-    """A model from labelled(doc_id, text, toxic).
+def train(docs: DataFrame, labels: DataFrame, most_documents: int = 20_000, most_features: int = 4096, lift: float = 6.0) -> Model:
+    """A model from docs(doc_id, text) and labels(doc_id, toxic), one label per doc_id.
 
     At most about `most_documents` documents are used, those with the lowest hashed ids. Of the word
     features that are `lift` times as frequent in toxic documents, the `most_features` that tell most are kept.
     """
-    n = labelled.count()
+    n = labels.count()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = labelled.where(part < min(1.0, most_documents / max(n, 1))).select(F.col("text").cast("string"), F.col("toxic").cast("int"))
+    few = F.broadcast(labels.where(part < min(1.0, most_documents / max(n, 1))))  # about most_documents rows of two numbers
+    some = docs.where(F.col("text").isNotNull()).join(few, "doc_id").select(F.col("text").cast("string"), F.col("toxic").cast("int"))
     counts = arrow_map(some, _counts, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     total = counts.where("h = 0").first()
     if total is None or not total["bad"] or not total["good"]:
@@ -199,14 +200,13 @@ def fold() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the training folds; null labels, ids or texts are left out."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.where(F.col("text").isNotNull() & (fold() != 0)).select("doc_id", "text").join(known, "doc_id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the training folds; null labels and ids are left out, toxic wins where an id has two labels."""
+    return labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(labelled_rows(docs, table(spark, sf_dir, "labels")))
+    model = train(docs, training_labels(table(spark, sf_dir, "labels")))
     out = toxicity(docs, model, locate=None)
     return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -81,10 +81,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
 # ---------------------------------------------------------------- bin completion
 
-def best_filling(room: int, have: dict[int, int], sizes: list[int], effort: int) -> list[int]:
+def best_filling(room: int, have: dict[int, int], sizes: list[int], effort: int, enough: int = 0) -> list[int]:
     """Sizes that fill `room` with the least waste; larger sizes first, so dominated fillings come later and are pruned.
 
-    sizes: descending, have: count of each. effort bounds the branches; the incumbent is then the answer.
+    sizes: descending, have: count of each. The first descent is the best-fit filling, the incumbent.
+    The search ends at a waste of `enough` or less, or after `effort` branches.
     """
     from bisect import bisect_left
 
@@ -101,10 +102,10 @@ def best_filling(room: int, have: dict[int, int], sizes: list[int], effort: int)
         nonlocal best, waste, left
         if room < waste:
             best, waste = chosen.copy(), room
-        if not waste:
+        if waste <= enough:
             return
         i = max(at, bisect_left(down, -room))
-        while i < len(sizes) and waste and left > 0 and room - total[i] < waste:
+        while i < len(sizes) and waste > enough and left > 0 and room - total[i] < waste:
             s = sizes[i]
             left -= 1
             free = have[s] - used.get(s, 0)
@@ -116,20 +117,28 @@ def best_filling(room: int, have: dict[int, int], sizes: list[int], effort: int)
                 used[s] -= 1
             i += 1
 
-    if sizes and room >= sizes[-1]:
+    first, space, i = [], room, 0
+    while i < len(sizes):
+        i = max(i, bisect_left(down, -space))
+        if i < len(sizes):
+            fit = min(have[sizes[i]], space // sizes[i])
+            first += [sizes[i]] * fit
+            space -= fit * sizes[i]
+            i += 1
+    best, waste = first, space
+    if waste > enough:
         go(room, 0)
     return best
 
 
-def fill_bins(hist: dict[int, int], capacity: int, effort: int = 3000) -> list[tuple[list[int], int]]:
-    """[(sizes of one bin, number of such bins)] that hold all pieces of hist = {size: count}."""
+def _complete(hist: dict[int, int], capacity: int, effort: int, enough: int) -> list[tuple[list[int], int]]:
     have = {s: c for s, c in hist.items() if c > 0}
     sizes = sorted(have, reverse=True)
     bins = []
     while sizes:
         top = sizes[0]
         have[top] -= 1
-        rest = best_filling(capacity - top, have, [s for s in sizes if have[s] > 0], effort)
+        rest = best_filling(capacity - top, have, [s for s in sizes if have[s] > 0], effort, enough)
         have[top] += 1
         need: dict[int, int] = {}
         for s in (top, *rest):
@@ -142,6 +151,26 @@ def fill_bins(hist: dict[int, int], capacity: int, effort: int = 3000) -> list[t
     return bins
 
 
+def fill_bins(hist: dict[int, int], capacity: int, effort: int = 3000) -> list[tuple[list[int], int]]:
+    """[(sizes of one bin, number of such bins)] that hold all pieces of hist = {size: count}.
+
+    The solution that takes every bin's best-fit filling (it equals first-fit decreasing) is the first
+    incumbent; searches that accept more or less waste in a bin follow until one reaches the lower bound.
+    """
+    total, n = sum(s * c for s, c in hist.items()), sum(hist.values())
+    least = max(-(-total // capacity), sum(c for s, c in hist.items() if 2 * s > capacity))
+    mean = (least * capacity - total) // max(1, least)
+    best: list[tuple[list[int], int]] = []
+    fewest = n + 1
+    for enough in dict.fromkeys((capacity, 0, mean, 2 * mean, capacity // 64)):
+        bins = _complete(hist, capacity, effort, enough)
+        if (count := sum(k for _, k in bins)) < fewest:
+            best, fewest = bins, count
+        if fewest <= least:
+            break
+    return best
+
+
 # ---------------------------------------------------------------- Spark
 
 def pack(pieces: DataFrame, capacity: int = 2048, size: str = "length", by: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:

@@ -3,7 +3,7 @@
 A source's target over its size is the number of times each of its documents is wanted. The whole
 part is allocated as certain copies. For the fraction f, documents are ranked by random odds over
 inclusion odds, (u / (1 - u)) / (f / (1 - f)), and the lowest are taken up to the words still wanted.
-What remains after that is closed by the one document that fits it best. Words before a rank are
+What remains after that is closed by the documents that fit it best, a few at most. Words before a rank are
 found by two rounds of 1024 buckets and an exact sum inside the last one, so a hot source is never
 sorted in one task.
 """
@@ -18,6 +18,8 @@ from newsloom.llm.quality import split_words
 from newsloom.llm.util import materialize
 
 BITS = 10
+#: Documents at most that close a source's gap, one by one.
+CLOSERS = 4
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -89,13 +91,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     early = at.where(place < F.col("_path")).select("source", "_row", "size")
     drawn = materialize(early.union(edge.where("_upto <= need").select("source", "_row", "size")), "drawn")
 
-    gap = _same(cut.select("source", "need"), drawn.groupBy("source").agg(F.sum("size").alias("_got")))
-    gap = cut.select("source", "need").join(gap.select(F.col("source").alias("_g"), "_got"), F.col("source").eqNullSafe(F.col("_g")), "left")
-    gap = gap.select("source", (F.col("need") - F.coalesce("_got", F.lit(0))).alias("_gap"))
-    left = _same(d.join(drawn.select("_row"), "_row", "left_anti"), gap)
-    off = F.abs(F.col("_gap") - F.col("size"))
-    close = left.where(off < F.col("_gap")).groupBy("source").agg(F.min(F.struct(off.alias("o"), F.col("_odds"), F.col("doc_id"), F.col("_row"))).alias("_c"))
-    extra = materialize(drawn.select("_row").union(close.select("_c._row")).withColumn("_x", F.lit(1)), "extra")
+    for _ in range(CLOSERS):
+        got = drawn.groupBy("source").agg(F.sum("size").alias("_got")).withColumnRenamed("source", "_g")
+        gap = cut.select("source", "need").join(got, F.col("source").eqNullSafe(F.col("_g")), "left")
+        gap = gap.select("source", (F.col("need") - F.coalesce("_got", F.lit(0))).alias("_gap"))
+        left = _same(d.join(drawn.select("_row"), "_row", "left_anti"), gap)
+        off = F.abs(F.col("_gap") - F.col("size"))
+        close = left.where(off < F.col("_gap")).groupBy("source").agg(F.min(F.struct(off.alias("o"), F.col("_odds"), F.col("doc_id"), F.col("_row"), F.col("size"))).alias("_c"))
+        close = materialize(close.select("source", "_c._row", "_c.size"), "close")
+        if not close.limit(1).count():
+            break
+        drawn = drawn.union(close)
+    extra = drawn.select("_row").withColumn("_x", F.lit(1))
     out = _same(sized, by.drop("need")).join(extra, "_row", "left")
     copies = (F.col("whole") + F.coalesce("_x", F.lit(0))).cast("int")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
@@ -134,11 +141,13 @@ m AS (SELECT *, target - whole * source_size AS need FROM n),
 r AS (SELECT d.*, m.source_size, m.target, m.whole, m.need,
         sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source),
-g AS (SELECT source, any_value(need) - coalesce(sum(size) FILTER (upto <= need), 0) AS gap FROM r WHERE need > 0 GROUP BY source),
-c AS (SELECT r.source, arg_min(doc_id, {'o': abs(gap - size), 'u': u, 'd': doc_id}) AS doc_id
-      FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source
-      WHERE need > 0 AND upto > need AND abs(gap - size) < gap GROUP BY r.source)
-SELECT r.doc_id, r.size, r.source_size, r.target,
-  (r.size * (r.whole + CASE WHEN r.need > 0 AND (r.upto <= r.need OR c.doc_id IS NOT NULL) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM r LEFT JOIN c ON r.source IS NOT DISTINCT FROM c.source AND r.doc_id = c.doc_id
+k0 AS (SELECT *, upto <= need AS inn FROM r WHERE need > 0)""" + "".join(
+    f""",
+g{i} AS (SELECT source, any_value(need) - coalesce(sum(size) FILTER (inn), 0) AS gap FROM k{i} GROUP BY source),
+c{i} AS (SELECT k.source, arg_min(doc_id, {{'o': abs(gap - size), 'u': u, 'd': doc_id}}) AS doc_id FROM k{i} k JOIN g{i} g ON k.source IS NOT DISTINCT FROM g.source WHERE NOT inn AND abs(gap - size) < gap GROUP BY k.source),
+k{i + 1} AS (SELECT k.* REPLACE (inn OR c.doc_id IS NOT NULL AS inn) FROM k{i} k LEFT JOIN c{i} c ON k.source IS NOT DISTINCT FROM c.source AND k.doc_id = c.doc_id)"""
+    for i in range(CLOSERS)
+) + f"""
+SELECT r.doc_id, r.size, r.source_size, r.target, (r.size * (r.whole + CASE WHEN k.inn THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r LEFT JOIN k{CLOSERS} k ON r.doc_id = k.doc_id
 """

@@ -1,6 +1,6 @@
 import hashlib
 
-from conftest import DATA, rows
+from helpers import DATA, rows
 from pyspark.sql import functions as F
 
 from newsloom.operators import dedup, resolve

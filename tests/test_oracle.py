@@ -1,7 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import pytest
-from conftest import DATA, same
+from helpers import DATA, same
 
 from newsloom import catalog
 

@@ -3,7 +3,7 @@
 import glob
 
 import pytest
-from conftest import DATA, rows
+from helpers import DATA, rows
 from pyspark.sql import functions as F
 
 from newsloom.operators import ingest, temporal

@@ -231,7 +231,7 @@ def _decode(t: Tree, p: np.ndarray) -> np.ndarray:
     best = np.zeros(n)
     state = np.zeros(n, np.int8)  # 1 kept, 0 dropped, 2 open
     for i in range(n - 1, -1, -1):
-        options = (all_no[i], all_yes[i], mixed[i] - 0.7 if kids[i] else -np.inf)
+        options = (all_no[i], all_yes[i], mixed[i] - 0.3 if kids[i] else -np.inf)
         state[i] = int(np.argmax(options))
         best[i] = options[state[i]]
         q = t.parent[i]

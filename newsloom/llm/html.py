@@ -109,8 +109,8 @@ class Writer:
                 parts.append("<ul>" + "".join(f"<li>{self.words(1, 20)}</li>" for _ in range(r.randint(1, 6))) + "</ul>")
             if r.random() < 0.05:
                 parts.append(f"<blockquote><p>{self.words(3, 40)}</p></blockquote>")
-            if r.random() < 0.06 and k:
-                parts.append(self.junk(r.choice(("advert", "share", "side", "notice", "form"))))
+            if r.random() < 0.15 and k or k == count - 1 and r.random() < 0.1:
+                parts.append(self.junk(r.choice(("advert", "advert", "share", "side", "notice", "form", "reader"))))
         inside = "".join(parts)
         how = r.random()
         if how < 0.45:

@@ -161,6 +161,7 @@ def _candidates(base: DataFrame, order: DataFrame, k: int) -> DataFrame:
     """(row, base, grams) of documents that share a minimizer with another text."""
     found = arrow_map(base, partial(_minimizers, k=k), "gram long, row long, class long")
     twice = found.groupBy("gram").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("gram")
+    twice = materialize(twice, "twice")  # as a table, so that the join below can split a gram that very many texts have
     by = found.select("gram", "row").join(twice, "gram").groupBy("row").agg(F.collect_list("gram").alias("grams"))
     return materialize(by.join(order.select("row", "base"), "row"), "candidates")
 
@@ -169,6 +170,7 @@ def _compact(pending: DataFrame, k: int) -> DataFrame:
     """(base, start, n, cb, cstart): n windows from word `start` of a document repeat those from `cstart` of an earlier one."""
     edges = arrow_map(pending.select("text", "base", "grams"), partial(_edges, k=k), "edge long, coord long, base long")
     source = edges.groupBy("edge").agg(F.min("coord").alias("c"), F.min("base").alias("cb"), F.max("base").alias("mb")).where("mb > cb").select("edge", "c", "cb")
+    source = materialize(source, "source")  # as a table, so that the join can split a hot edge
     later = edges.join(source, "edge").where("base > cb").select("coord", "base", "c", "cb")
     sorted_ = later.repartition("base").sortWithinPartitions("coord")
     return materialize(arrow_map(sorted_, _paths, "base long, start long, n long, cb long, cstart long").distinct(), "paths")

@@ -27,7 +27,7 @@ from newsloom.llm.util import arrow_map, materialize, slices
 
 _WORDS: dict[str, dict[bytes, bytes]] = {}
 _TOKENIZER: dict[str, object] = {}
-KEPT_WORDS = 500_000
+KEPT_WORDS = 1_000_000
 
 
 def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:

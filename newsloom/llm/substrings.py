@@ -3,8 +3,8 @@
 Edges of the graph are windows of k words, nodes the k - 1 words that neighbours share. An edge's
 coordinate is its first place in the corpus: words are numbered through all documents in doc_id order.
 
-1. Only windows that can repeat become edges: a window's minimizer (a three-word gram, the longest
-   and then the lowest by hash) must occur in two different texts. One count over minimizers, about
+1. Only windows that can repeat become edges: a window's minimizer (a three-word gram, the one with
+   the most bytes in its words and then the lowest by hash) must occur in two different texts. One count over minimizers, about
    a sixth of the windows, decides that.
 2. Edges found in two documents keep the smallest coordinate. A join gives it to every other
    occurrence, and occurrences that follow their source edge by edge, with no branch, compact into
@@ -55,7 +55,8 @@ def windows(b: pa.RecordBatch, k: int):
     if not len(edge):
         return edge, pos, doc, edge, whole, first
     gram = span_hash(word, np.arange(len(word) - GRAM + 1), np.arange(GRAM, len(word) + 1), 1)
-    size = np.minimum(end[GRAM - 1 :] - start[: len(gram)], 255).astype(U)
+    letters = np.r_[0, np.cumsum(end - start)]  # the words' own bytes: what stands between them must not count
+    size = np.minimum(letters[GRAM:] - letters[:-GRAM], 255).astype(U)
     order = ((U(255) - size) << U(56)) | (mix(gram) >> U(8))
     at = np.lib.stride_tricks.sliding_window_view(order, k - GRAM + 1)[pos].argmin(axis=1) + pos
     return edge, pos, doc, gram[at], whole, first

@@ -44,6 +44,18 @@ def test_random_passages(spark):
     assert result(substrings.repeated_passages(docs(spark, rows))) == brute(rows)
 
 
+def test_separators_do_not_matter(spark):
+    rng = random.Random(12)
+    between = lambda: rng.choice((" ", " ", "  ", "\n", "\n\n", "\r\n", "\n        ", "\t", " " * 40, "\n" * 300))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    passages = [[word() for _ in range(rng.randint(13, 60))] for _ in range(8)]
+    rows = []
+    for d in range(80):
+        w = [word() for _ in range(rng.randint(1, 20))] + rng.choice(passages) + [word() for _ in range(rng.randint(1, 20))]
+        rows.append((d, "".join(x + between() for x in w)))
+    assert result(substrings.repeated_passages(docs(spark, rows))) == brute(rows)
+
+
 def test_edges_of_the_input(spark):
     long = " ".join(f"w{i}" for i in range(30000))
     part = " ".join(f"w{i}" for i in range(100, 160))

@@ -21,6 +21,8 @@ SIZES = (2, 3, 4)
 BLANK = 32
 #: Bytes of text that are counted at once.
 SLICE = 1 << 19
+#: How far below the lowest hundredth of its language's documents a text's share of known n-grams may lie, and by how many standard deviations of the share more.
+MARGIN, SLACK = 0.1, 3.0
 
 
 @lru_cache(1)
@@ -78,25 +80,39 @@ def cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filters:
-    """names: the languages; mask: the filter, a bit per language in each cell; rate: each slice's share of false positives."""
+    """names: the languages; mask: the filter, a bit per language in each cell; rate: each slice's share of false positives.
 
-    def __init__(self, names: list[str], mask: np.ndarray, bits: int):
+    limit: per language, the least share of n-grams known to any language that its documents have (0: no limit).
+    """
+
+    def __init__(self, names: list[str], mask: np.ndarray, bits: int, limit: np.ndarray | None = None):
         self.names, self.mask, self.bits = names, mask, bits
+        self.limit = np.zeros(len(names)) if limit is None else limit
+        one, other = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << bits, (2, 1 << 20))
+        self.any_rate = float(np.mean((mask[one] & mask[other]) != 0))
         self.rate = np.array([float(np.mean(mask >> mask.dtype.type(k) & mask.dtype.type(1))) ** 2 for k in range(len(names))])
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: its n-grams; those of each language; the share known to any language, false positives taken out; whether it has a letter."""
         hashes, owners, has = ngrams(texts)
-        n, count = np.zeros(len(texts)), np.zeros((len(self.names), len(texts)))
+        n, count, known = np.zeros(len(texts)), np.zeros((len(self.names), len(texts))), np.zeros(len(texts))
         for h, o in zip(hashes, owners, strict=True):
             a, b = cells(h, self.bits)
             both = self.mask[a] & self.mask[b]
             n += np.bincount(o, minlength=len(texts))[: len(texts)]
+            known += np.bincount(o[both != 0], minlength=len(texts))[: len(texts)]
             for k in range(len(self.names)):
                 count[k] += np.bincount(o[(both >> both.dtype.type(k) & both.dtype.type(1)).astype(bool)], minlength=len(texts))[: len(texts)]
+        return n, count, np.maximum(known / np.maximum(n, 1) - self.any_rate, 0) / (1 - self.any_rate), has
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        n, count, known, has = self.counts(texts)
         true = np.maximum(count - n * self.rate[:, None], 0) / (1 - self.rate)[:, None]
         total = true.sum(0)
         best = true.argmax(0)
         share = np.where(total > 0, true.max(0) / np.where(total > 0, total, 1), 1 / len(self.names))
+        limit = self.limit[best]
+        has = has & (known >= limit - SLACK * np.sqrt(limit * (1 - limit) / np.maximum(n, 1)))
         return [self.names[k] if ok else "und" for k, ok in zip(best, has, strict=True)], np.where(has, share, 0.0)
 
 
@@ -145,7 +161,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model, text: bool) -> Iterator[p
 
 
 def predict(docs: DataFrame, model: Filters, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep (with or without the text), lang_pred, score of every row: `und` and 0 where the text is null or has no letter."""
+    """keep (with or without the text), lang_pred, score of every row: `und` and 0 where the text is null, has no letter or is under the model's limit."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits cells of 1 to 8 bytes
     rest = [c for c in keep if c != "text"]
     few = docs.select(*rest, F.col("text").cast("string").alias("text"))
@@ -162,8 +178,36 @@ def trained_on(docs: DataFrame, **options) -> Filters:
     return train(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder() != 2)).select("doc_id", "text", "lang"), **options)
 
 
+def _known(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in slices(batch, most=SLICE):
+            _, _, known, has = model.value.counts(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(known)], ["lang", "known"]).filter(pa.array(has))
+
+
+def with_limit(docs: DataFrame, most_documents: int = 2000) -> Filters:
+    """Filters that also tell texts in no learned language.
+
+    Two of the training folds teach the n-grams. On the third, the limit is set for each language:
+    the share of known n-grams that all but the lowest hundredth of its documents reach, less MARGIN.
+    About `most_documents` of a language are used. A language without documents there has no limit.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    model = train(labelled.where(~remainder().isin(2, 3)), most_documents)
+    own = labelled.where((remainder() == 3) & F.col("lang").isin(model.names))
+    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # 64 rows at most
+    if not counts:
+        return model
+    rate = F.element_at(F.create_map(*[F.lit(x) for n, c in counts.items() for x in (n, min(1.0, most_documents / c))]), F.col("lang"))
+    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < rate).select("text", "lang")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    low = arrow_map(some, partial(_known, model=shared), "lang string, known double").groupBy("lang").agg(F.percentile_approx("known", 0.01, 10000).alias("low")).collect()
+    least = {r["lang"]: max(r["low"] - MARGIN, 0.0) for r in low}
+    return Filters(model.names, model.mask, model.bits, np.array([least.get(n, 0.0) for n in model.names]))
+
+
 def with_language(docs: DataFrame, model: Filters) -> DataFrame:
-    """docs without those whose language can't be told (no letters at all); columns unchanged."""
+    """docs without those whose language can't be told (no letters, or too few known n-grams for the model's limit); columns unchanged."""
     own = {c: f"_{i}" if c != "text" else c for i, c in enumerate(docs.columns)}  # no clash with the results' names
     out = predict(docs.select(*[F.col(c).alias(n) for c, n in own.items()]), model, tuple(own.values()))
     return out.where("lang_pred <> 'und'").select(*[F.col(n).alias(c) for c, n in own.items()])

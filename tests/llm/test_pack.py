@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from newsloom.llm import pack
 from pyspark.sql import functions as F
 from tests_llm import DATA, docs
@@ -14,8 +15,20 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def test_ids_are_the_tokenizers(spark):
     t = Tokenizer.from_file(PATH)
     texts = ["", "Hello, World!", "it's ‘odd’ – naïve éÉ\x85x\xa0y\x1cz", "a<|endoftext|>b c", "数 字 123", "don't\tstop\n\nnow  " * 40, "ﬁ ǅ İ ẞ ΑΣ Σ"]
-    for text, got in zip(texts, pack.token_bytes(texts, PATH), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    texts += [None, "Größe, (ÉCOLE) ÀÿÞß. #$%&* -- ...a... Ñandú!? x-y it's <b>bold</b> ﬀ ß-ß 12a a12", "***", "a" * 5000, "Æther×÷ª º K Å"]
+    ids, off = pack.token_ids(pa.array(texts), PATH, 7)
+    for text, a, b in zip(texts, off, off[1:], strict=False):
+        assert ids[a:b].tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 7]
+    assert pack.token_ids(pa.array([], pa.string()), PATH, 7)[1].tolist() == [0]
+
+
+def test_ids_of_generated_texts():
+    t = Tokenizer.from_file(PATH)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aBcÉßñöÿÐ.,;:!?()#$%&*-'’<>|19 \n\t ") for _ in range(60)) for _ in range(600)]
+    ids, off = pack.token_ids(pa.array(texts), PATH, 0)
+    for text, a, b in zip(texts, off, off[1:], strict=False):
+        assert ids[a : b - 1].tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
 def first_fit_decreasing(sizes, capacity):
@@ -62,6 +75,13 @@ def test_small_cases_are_optimal():
     assert pack.fill_bins({}, 10) == []
 
 
+def test_bins_of_very_many_pieces():
+    for hist in ({2045: 3, 45: 1, 2: 1006}, {2000: 3, 1: 5000, 2: 5000, 3: 7}, {1: 10**9}):
+        bins = pack.fill_bins(dict(hist), 2048)
+        assert sum(n * sum(sizes) for sizes, n in bins) == sum(s * c for s, c in hist.items())
+    assert sum(n for _, n in pack.fill_bins({7: 1, 6: 1, 3: 2, 2: 1, 1: 1, 8: 1}, 10, effort=None)) == 3
+
+
 def test_random_histograms():
     rng = random.Random(2)
     for _ in range(40):

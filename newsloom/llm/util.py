@@ -74,6 +74,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with names that no operator uses, and these names by column: an operator's own columns never clash with a caller's."""
+    name = {c: f"_own{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*name.values()), name
+
+
 # ---------------------------------------------------------------- Arrow text
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

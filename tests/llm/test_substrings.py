@@ -82,3 +82,38 @@ def test_texts_are_cut(spark):
 def test_the_rest_of_the_table(spark):
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     assert result(substrings.op2_substrings(spark, DATA)) == brute(list(text.items()))
+
+
+def test_branching_graph_and_cycles(spark):
+    """Paths that fork and meet, words that go round, and sources that lie in different documents."""
+    rng = random.Random(6)
+    parts = [[f"p{i}w{j}" for j in range(rng.randint(3, 40))] for i in range(12)]
+    ring = [f"r{j}" for j in range(17)]
+    rows = [(d, " ".join(w for _ in range(rng.randint(1, 5)) for w in rng.choice(parts))) for d in range(60)]
+    rows += [(100 + d, " ".join((ring * 6)[d * 5 : d * 5 + 40])) for d in range(8)]
+    chain = [f"c{j}" for j in range(200)]
+    rows += [(200 + d, " ".join(chain[d * 9 : d * 9 + 30])) for d in range(18)] + [(300, " ".join(chain))]
+    assert result(substrings.repeated_passages(docs(spark, rows))) == brute(rows)
+    spans = substrings.repeated_spans(docs(spark, rows)).collect()
+    words = {d: t.split() for d, t in rows}
+    for r in spans:
+        assert r["source_doc_id"] < r["doc_id"] and r["n_words"] >= 13
+        assert words[r["doc_id"]][r["start"] : r["start"] + r["n_words"]] == words[r["source_doc_id"]][r["source_start"] : r["source_start"] + r["n_words"]]
+    last = sorted((r["offset"], r["unitig"]) for r in spans if r["doc_id"] == 300)
+    assert len({u for _, u in last}) == 1 and [o for o, _ in last] == sorted({o for o, _ in last})  # one path through all sources
+
+
+def test_equal_hashes_of_different_words(spark):
+    """With hashes of eight bits very many windows collide: their words decide."""
+    rng = random.Random(8)
+    passages = [[f"{i}.{j}" for j in range(rng.randint(13, 30))] for i in range(5)]
+    rows = [(d, " ".join([f"x{rng.randrange(99)}" for _ in range(rng.randint(1, 9))] + rng.choice(passages) + rng.choice(passages)[:15])) for d in range(40)]
+    assert result(substrings.repeated_passages(docs(spark, rows), bits=8)) == brute(rows)
+
+
+def test_clashing_columns(spark):
+    t = " ".join(f"w{i}" for i in range(20))
+    d = spark.createDataFrame([(1, t, "a", 7, "x", 1), (2, t + " z", "b", 8, "y", 2), (None, None, None, None, None, None)], "doc_id long, text string, row string, n_words int, kept_text string, _row int")
+    out = substrings.without_repeats(d)
+    assert out.columns == d.columns
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([(1, t, "a", 7, "x", 1), (2, "z", "b", 8, "y", 2), (None, None, None, None, None, None)], key=repr)

@@ -354,7 +354,8 @@ def repeated_passages(docs: DataFrame, k: int = 13, text_out: bool = False, bits
     source = _repeated(pending, k, bits)
     spans = _compact(pending, source, _segments(pending, source, k), k, bits)
     cut = _checked(pending, spans, k, text_out, bits).join(order.select("base", "sha"), "base").drop("base")
-    out = measured.join(classes.select("sha", "did"), "sha").join(cut, "sha", "left")
+    told = materialize(classes.select("sha", "did").join(cut, "sha", "left"), "told")
+    out = measured.join(told, "sha")  # the only join that a text of very many copies meets, so that it can be split
     copy = (F.col("n_words") >= k) & F.coalesce(F.col("doc_id") > F.col("did"), F.col("doc_id").isNull() & F.col("did").isNotNull())
     more = [F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if text_out else []
     return out.select(

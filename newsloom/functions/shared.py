@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder where it is unset (tests)."""
+    """spark.checkpoint.dir; a temporary folder where it is unset and all run on one machine (tests)."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     own = getattr(spark.sparkContext, "_newsloom_rounds", None)
     if own is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = spark.sparkContext._newsloom_rounds = "file://" + tempfile.mkdtemp(prefix="newsloom-rounds-")
     return own
 

@@ -29,8 +29,7 @@ MARGIN, SLACK = 0.1, 3.0
 def letters() -> np.ndarray:
     """Of each code point: itself if it is a letter (0 stays, as the mark between texts), else a blank."""
     code = np.arange(0x110000, dtype=np.uint32)
-    keep = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    code[~keep] = BLANK
+    code[~np.strings.isalpha(code.view("U1"))] = BLANK
     code[0] = 0
     return code
 
@@ -62,15 +61,13 @@ def ngrams(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray],
 def _documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in slices(batch, most=SLICE):
-            lang = np.array(b.column("lang").to_pylist(), object)
             hashes, owners, _ = ngrams(b.column("text").to_pylist())
-            for one in {*lang.tolist()}:
-                rows = np.flatnonzero(lang == one)
-                grams = []
-                for h, o in zip(hashes, owners, strict=True):
-                    mine = np.isin(o, rows)
-                    pair = np.unique(np.rec.fromarrays([h[mine], o[mine]], names="h,o"))
-                    grams.append(pair["h"])
+            cut = [np.searchsorted(o, np.arange(b.num_rows + 1)) for o in owners]
+            of: dict[str, list[np.ndarray]] = {}
+            for i, one in enumerate(b.column("lang").to_pylist()):
+                own = np.concatenate([h[c[i] : c[i + 1]] for h, c in zip(hashes, cut, strict=True)])
+                of.setdefault(one, []).append(np.unique(own))
+            for one, grams in of.items():
                 gram, n = np.unique(np.concatenate(grams), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([one] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
@@ -80,17 +77,24 @@ def cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filters:
-    """names: the languages; mask: the filter, a bit per language in each cell; rate: each slice's share of false positives.
+    """names: the languages; masks: the filter, a bit per language in each cell, for each 64 languages; rate: each slice's share of false positives.
 
     limit: per language, the least share of n-grams known to any language that its documents have (0: no limit).
     """
 
-    def __init__(self, names: list[str], mask: np.ndarray, bits: int, limit: np.ndarray | None = None):
-        self.names, self.mask, self.bits = names, mask, bits
+    def __init__(self, names: list[str], masks: list[np.ndarray], bits: int, limit: np.ndarray | None = None):
+        self.names, self.masks, self.bits = names, masks, bits
         self.limit = np.zeros(len(names)) if limit is None else limit
         one, other = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << bits, (2, 1 << 20))
-        self.any_rate = float(np.mean((mask[one] & mask[other]) != 0))
-        self.rate = np.array([float(np.mean(mask >> mask.dtype.type(k) & mask.dtype.type(1))) ** 2 for k in range(len(names))])
+        hit = np.zeros(len(one), bool)
+        for mask in masks:
+            hit |= (mask[one] & mask[other]) != 0
+        self.any_rate = min(float(np.mean(hit)), 0.999)
+        self.rate = np.array([float(np.mean(self.of(masks[k // 64], k))) ** 2 for k in range(len(names))])
+
+    @staticmethod
+    def of(mask: np.ndarray, k: int) -> np.ndarray:
+        return (mask >> mask.dtype.type(k % 64) & mask.dtype.type(1)).astype(bool)
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: its n-grams; those of each language; the share known to any language, false positives taken out; whether it has a letter."""
@@ -98,14 +102,19 @@ class Filters:
         n, count, known = np.zeros(len(texts)), np.zeros((len(self.names), len(texts))), np.zeros(len(texts))
         for h, o in zip(hashes, owners, strict=True):
             a, b = cells(h, self.bits)
-            both = self.mask[a] & self.mask[b]
             n += np.bincount(o, minlength=len(texts))[: len(texts)]
-            known += np.bincount(o[both != 0], minlength=len(texts))[: len(texts)]
-            for k in range(len(self.names)):
-                count[k] += np.bincount(o[(both >> both.dtype.type(k) & both.dtype.type(1)).astype(bool)], minlength=len(texts))[: len(texts)]
+            some = np.zeros(len(o), bool)
+            for word, mask in enumerate(self.masks):
+                both = mask[a] & mask[b]
+                some |= both != 0
+                for k in range(64 * word, min(64 * word + 64, len(self.names))):
+                    count[k] += np.bincount(o[self.of(both, k)], minlength=len(texts))[: len(texts)]
+            known += np.bincount(o[some], minlength=len(texts))[: len(texts)]
         return n, count, np.maximum(known / np.maximum(n, 1) - self.any_rate, 0) / (1 - self.any_rate), has
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        if not self.names:
+            return ["und"] * len(texts), np.zeros(len(texts))
         n, count, known, has = self.counts(texts)
         true = np.maximum(count - n * self.rate[:, None], 0) / (1 - self.rate)[:, None]
         total = true.sum(0)
@@ -121,12 +130,13 @@ def train(labelled: DataFrame, most_documents: int = 2000, least_share: float =
 
     At most about `most_documents` documents of each language are used, those with the lowest hashed ids.
     An n-gram belongs to a language if `least_share` of its documents have it (two at least), and if
-    that share is `beside` times the largest share in any language. There can be 64 languages.
+    that share is `beside` times the largest share in any language. The filters take 2^bits / 8 bytes for each
+    language; every 64 languages have a table of their own. Without labelled rows there is no language, and every text is `und`.
     """
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(65).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row per language
     names = sorted(counts, key=lambda x: (-counts[x], x))
-    if not 1 <= len(names) <= 64:
-        raise ValueError("1 to 64 languages are needed")
+    if not names:
+        return Filters([], [], bits)
     rate = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, most_documents / counts[n]))]), F.col("lang"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = labelled.where(part < rate).select("text", "lang")
@@ -139,12 +149,12 @@ def train(labelled: DataFrame, most_documents: int = 2000, least_share: float =
     kept = by.select("gram", F.explode("each").alias("e"), "top").where(F.col("e.share") >= F.col("top") * beside)
     low = F.col("gram").bitwiseAND((1 << bits) - 1)
     high = F.shiftrightunsigned("gram", 64 - bits)
-    cell = kept.select(F.explode(F.array(low, high)).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("e.bit")).alias("bit"))
-    rows = cell.groupBy("cell").agg(F.bit_or("bit").alias("mask")).toArrow()  # a row per cell at most: 2^bits
-    mask = np.zeros(1 << bits, np.int64)
-    mask[rows.column("cell").to_numpy()] = rows.column("mask").to_numpy()
-    width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(names) <= np.dtype(t).itemsize * 8)
-    return Filters(names, mask.view(np.uint64).astype(width), bits)
+    cell = kept.select(F.explode(F.array(low, high)).alias("cell"), F.floor(F.col("e.bit") / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("e.bit") % 64).cast("int")).alias("bit"))
+    rows = cell.groupBy("cell", "word").agg(F.bit_or("bit").alias("mask")).toArrow()  # 2^bits rows at most for each 64 languages
+    table = np.zeros((-(-len(names) // 64), 1 << bits), np.int64)
+    table[rows.column("word").to_numpy(), rows.column("cell").to_numpy()] = rows.column("mask").to_numpy()
+    width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if min(64, len(names)) <= np.dtype(t).itemsize * 8)
+    return Filters(names, [mask.view(np.uint64).astype(width) for mask in table], bits)
 
 
 def of_small(counts: dict[str, int], most: int):
@@ -195,7 +205,7 @@ def with_limit(docs: DataFrame, most_documents: int = 2000) -> Filters:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     model = train(labelled.where(~remainder().isin(2, 3)), most_documents)
     own = labelled.where((remainder() == 3) & F.col("lang").isin(model.names))
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # 64 rows at most
+    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # a row per language
     if not counts:
         return model
     rate = F.element_at(F.create_map(*[F.lit(x) for n, c in counts.items() for x in (n, min(1.0, most_documents / c))]), F.col("lang"))
@@ -203,11 +213,16 @@ def with_limit(docs: DataFrame, most_documents: int = 2000) -> Filters:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     low = arrow_map(some, partial(_known, model=shared), "lang string, known double").groupBy("lang").agg(F.percentile_approx("known", 0.01, 10000).alias("low")).collect()
     least = {r["lang"]: max(r["low"] - MARGIN, 0.0) for r in low}
-    return Filters(model.names, model.mask, model.bits, np.array([least.get(n, 0.0) for n in model.names]))
+    return Filters(model.names, model.masks, model.bits, np.array([least.get(n, 0.0) for n in model.names]))
 
 
 def with_language(docs: DataFrame, model: Filters) -> DataFrame:
-    """docs without those whose language can't be told (no letters, or too few known n-grams for the model's limit); columns unchanged."""
+    """docs without those whose language can't be told (no letters, or too few known n-grams for the model's limit); columns unchanged.
+
+    A model without languages (nothing was labelled) can't tell any: then only texts without letters go.
+    """
+    if not model.names:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     own = {c: f"_{i}" if c != "text" else c for i, c in enumerate(docs.columns)}  # no clash with the results' names
     out = predict(docs.select(*[F.col(c).alias(n) for c, n in own.items()]), model, tuple(own.values()))
     return out.where("lang_pred <> 'und'").select(*[F.col(n).alias(c) for c, n in own.items()])

@@ -2,8 +2,9 @@
 
 Files are written by Spark's text writer, one record per row with two line ends as the separator, in
 gzip. To read, tasks emit every place that looks like a record, with the place where the next record
-must start if it is one. From each file's first byte, pointer jumping over these links keeps what is
-reachable; what looks like a record inside a payload is not.
+must start if it is one. Candidates that only follow each other are one link of a chain from the start. From each file's first byte,
+pointer jumping over these links keeps what is reachable; what looks like a record inside a payload is not. A chain must
+reach the end of its file.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """pages with html (null: empty), bytes, digest, first: the page_id that a revisit refers to, null for a response."""
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
-    p = p.withColumn("_k", F.xxhash64("page_id", "digest"))
+    p = p.withColumn("_k", F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "digest"))
     thin = materialize(p.select("page_id", "bytes", "digest", "_k"), "digests")
     first = thin.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     again = thin.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("_k", "first").dropDuplicates(["_k"])
@@ -82,14 +83,40 @@ def _ident(value: str) -> int | None:
     return int(tail) if re.fullmatch(r"-?\d+", tail) else None
 
 
+def _members(data: bytes) -> bytes:
+    """The bytes of all gzip members, or data itself if it is not compressed."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(47)
+        out.append(d.decompress(data))
+        if not d.eof:  # cut off: what there is counts, and the chain will not reach the end
+            return b"".join(out) + b"\0"
+        data = d.unused_data
+    return b"".join(out) + data
+
+
+def _heads(out: list[dict]) -> None:
+    """Give each candidate `head`: the first of the candidates that lead to it with no other way in, and `last`: whether it ends such a run."""
+    at = {r["at"]: i for i, r in enumerate(out)}
+    ways: dict[int, int] = {}
+    for r in out:
+        ways[r["next"]] = ways.get(r["next"], 0) + 1
+    for r in out:
+        r.setdefault("head", r["at"])
+        i = at.get(r["next"])
+        r["last"] = i is None or ways[r["next"]] > 1
+        if not r["last"]:
+            out[i]["head"] = r["head"]
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
-    """Every place that looks like a record, parsed as if it were one."""
-    kind = [("file", pa.int64()), ("at", pa.int64()), ("next", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
+    """Every place that looks like a record, parsed as if it were one; and each file's end, without a type."""
+    kind = [("file", pa.int64()), ("at", pa.int64()), ("next", pa.int64()), ("head", pa.int64()), ("last", pa.bool_()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
     schema = pa.schema([*kind, *([("url", pa.string()), ("payload", pa.binary())] if payload else [])])
     for b in batches:
         for file, raw in zip(b.column("file").to_pylist(), b.column("content"), strict=True):
             data = raw.as_py()
-            data = zlib.decompress(data, 47) if data[:2] == b"\x1f\x8b" else data
+            data = _members(data)
             out = []
             for m in MAGIC.finditer(data):
                 head, body = _header(data, m.start())
@@ -106,19 +133,21 @@ def _candidates(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa
                 else:
                     row |= {"refers_to": None, "payload_bytes": len(content), "payload_digest": hashlib.sha256(content).hexdigest()}
                 out.append(row | ({"url": head.get("warc-target-uri"), "payload": content} if payload else {}))
+            out.append({"file": file, "at": len(data), "next": -1})
+            _heads(out)
             yield pa.RecordBatch.from_pylist(out, schema)
 
 
-def reachable(links: DataFrame, rounds: int = 48) -> DataFrame:
+def reachable(links: DataFrame) -> DataFrame:
     """(file, at) of links(file, at, next) that a chain from the file's first byte reaches, by pointer jumping.
 
-    Each round, what is reached marks what its jump leads to, and every jump is doubled: a file of n
-    records takes about log2 n rounds. Jumps that lead to no candidate end there.
+    Each round, what is reached marks what its jump leads to, and every jump is doubled: a chain of n
+    links takes about log2 n rounds. Jumps that lead to no candidate end there. Links only lead forward.
     """
     jump = materialize(links.select("file", "at", "next"), "jump")
     reach = materialize(jump.where("at = 0").select("file", "at"), "reach")
     n = reach.count()
-    for _ in range(rounds):
+    while True:
         hit = jump.join(reach, ["file", "at"]).select("file", F.col("next").alias("at"))
         hit = hit.join(jump.select("file", "at"), ["file", "at"])
         new = materialize(reach.union(hit).distinct(), "reach")
@@ -128,19 +157,25 @@ def reachable(links: DataFrame, rounds: int = 48) -> DataFrame:
         n, reach = m, new
         then = jump.select("file", F.col("at").alias("next"), F.col("next").alias("_n"))
         jump = materialize(jump.join(then, ["file", "next"], "left").select("file", "at", F.coalesce("_n", F.lit(-1).cast("long")).alias("next")), "jump")
-    raise RuntimeError("a chain is too long")
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: bool = True, strict: bool = True) -> DataFrame:
     """The records of all files under path: file (a hash of the path), at (offset), next, page_id, record_type, refers_to,
     payload_bytes, payload_digest (of the full payload; for a revisit, as its headers state them)[, url, payload].
 
-    A file is read in one piece, so files should be of tens of MB, as write_warc makes them.
+    Plain files and gzip files of one or many members are read. A file is read in one piece, so files should be of tens of MB, as
+    write_warc makes them. Where a file's chain stops before its end (a broken or cut record), ValueError is
+    raised; with strict=False the records before that place are returned.
     """
     files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content")
-    kind = "file long, at long, next long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string" + (", url string, payload binary" if payload else "")
+    kind = "file long, at long, next long, head long, last boolean, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string" + (", url string, payload binary" if payload else "")
     found = materialize(arrow_map(files, partial(_candidates, payload=payload), kind), "candidates")
-    return found.join(reachable(found), ["file", "at"])
+    reached = reachable(found.where("last").select("file", F.col("head").alias("at"), "next")).withColumnRenamed("at", "head")
+    if strict:
+        broken = found.where("next < 0").join(reached, ["file", "head"], "left_anti").count()
+        if broken:
+            raise ValueError(f"{broken} files have records that do not lead to the file's end")
+    return found.where("next >= 0").join(reached, ["file", "head"]).drop("head", "last")
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|([^<]+)|(<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>|([^<]+)|(<)", re.S)
+#: A tag whose quotes do not close before the page ends: it ends at the first > or with the page.
+OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)")
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 # Fixed values of HTML: elements without an end tag, with raw text, that end a paragraph, that stay inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,7 +49,10 @@ class Tree:
 
 
 def parse(page: str) -> Tree:
-    """The tree of a page; unclosed and misplaced tags are repaired as browsers mostly do. Script, style and comments have no text."""
+    """The tree of a page; unclosed and misplaced tags are repaired as browsers mostly do. Script, style and comments have no text.
+
+    A page cut inside a tag loses that tag. From the first tag whose quotes never close, quotes count as plain marks.
+    """
     t = Tree()
     stack: list[int] = []
     block = 0
@@ -57,12 +63,26 @@ def parse(page: str) -> Tree:
 
     stack.append(open_("html", ""))
     at, n = 0, len(page)
+    opened: Counter[str] = Counter()
+    quotes = True
+
+    def pop() -> str:
+        tag = t.tag[stack.pop()]
+        opened[tag] -= 1
+        return tag
+
     while at < n:
-        m = TOKEN.match(page, at)
+        m = TOKEN.match(page, at) if quotes else None
+        if m is None or m.group(5):
+            cut = OPEN_TAG.match(page, at)
+            quotes &= cut is None
+            m = cut or TOKEN.match(page, at)
         at = m.end()
-        closing, tag, attr, text, _ = m.groups()
-        if text is None and m.group(5):
+        closing, tag, attr, text = (*m.groups(), None)[:4]
+        if m.re is TOKEN and m.group(5):
             text = "<"
+        if m.re is OPEN_TAG and not m.group().endswith(">"):
+            break
         if text is not None:
             t.text.append((stack[-1], block, text))
             continue
@@ -70,8 +90,8 @@ def parse(page: str) -> Tree:
             continue
         tag = tag.lower()
         if closing:
-            if tag not in VOID and any(t.tag[x] == tag for x in stack[1:]):
-                while t.tag[stack.pop()] != tag:
+            if tag not in VOID and opened[tag]:
+                while pop() != tag:
                     pass
             block += tag not in INLINE
             continue
@@ -85,12 +105,13 @@ def parse(page: str) -> Tree:
         if tag in ("html", "body") and len(stack) < 3 and tag in (t.tag[x] for x in stack):
             continue
         if t.tag[stack[-1]] == "head" and tag not in HEAD:
-            stack.pop()
+            pop()
         close = tag if tag in CLOSES_SAME else "p" if tag in ENDS_P else None
-        if close:
+        if close and opened[close]:
             for k in range(len(stack) - 1, 0, -1):
                 if t.tag[stack[k]] == close:
-                    del stack[k:]
+                    while len(stack) > k:
+                        pop()
                     break
                 if t.tag[stack[k]] not in INLINE and t.tag[stack[k]] != "p":
                     break
@@ -98,6 +119,7 @@ def parse(page: str) -> Tree:
         node = open_(tag, attr or "")
         if tag not in VOID and not (attr or "").endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return t
 
 

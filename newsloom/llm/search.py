@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.util import materialize, ship, table
 
+#: Scores that a task holds at once, and bytes of a block of vectors.
+SCORES, BLOCK = 1 << 22, 64 << 20
 OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("shard", pa.int64())])
 
 
@@ -32,15 +34,13 @@ def matrix(t: pa.Table, scale: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in doubles while every sum is below 2^53, else in Python integers."""
+    """Exact integer inner products: in doubles while every sum is below 2^53, else in Python integers. Those beyond a long become the nearest long."""
     largest = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
     if largest < 2.0**53:
         return (q @ x.T).astype(np.int64)
     whole = np.frompyfunc(int, 1, 1)
     out = whole(q) @ whole(x).T if q.shape[1] else np.zeros((len(q), len(x)), object)
-    if np.abs(out).max(initial=0) >= 2**63:
-        raise OverflowError("a score does not fit a long")
-    return out.astype(np.int64)
+    return np.clip(out, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def best(score: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +65,10 @@ def _tile(queries: pa.Table, rows: pa.Table, k: int, scale: float) -> pa.Table:
     qid, q = matrix(queries, scale)
     vid, x = matrix(rows, scale)
     out = []
-    for lo in range(0, len(qid), 1024):
-        s = products(q[lo : lo + 1024], x)
-        r, c = best(s, qid[lo : lo + 1024, None] == vid[None, :], k)
+    step = max(1, SCORES // len(vid))
+    for lo in range(0, len(qid), step):
+        s = products(q[lo : lo + step], x)
+        r, c = best(s, qid[lo : lo + step, None] == vid[None, :], k)
         out.append((qid[lo + r], vid[c], s[r, c]))
     a, b, s = (np.concatenate(z) for z in zip(*out, strict=True))
     shard = rows.column("shard")[0].as_py()
@@ -79,17 +80,19 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, scale: float = 1024.
 
     Rows without an id, and vectors that are null, empty or hold a null or a non-finite component, take
     no part. Vectors are compared with vectors of their own length. Rows with the query's own id are
-    never among its results; other repeated rows each count. Of query rows that repeat an id, one is used.
+    never among its results; other repeated rows each count. Of query rows that repeat an id, the one with the smallest
+    vector (component by component) is used. A score beyond a long is given, and ranked, as the nearest long.
     """
     ship(rows.sparkSession)
     whole = lambda d: d.select(F.col("vec_id").cast("long"), "embedding").where(
         F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ).withColumn("width", F.size("embedding"))
-    q = whole(queries).dropDuplicates(["vec_id"])
+    q = materialize(whole(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("width", F.size("embedding")), "queries")
     x = materialize(whole(rows), "vectors")
-    n, nq = x.count(), q.count()
-    each = min(65536, max(512, math.ceil(n / 256)))
-    shards, blocks = max(1, math.ceil(n / each)), max(1, math.ceil(nq / 65536))
+    (n, wide), nq = x.agg(F.count("*"), F.max("width")).first(), q.count()
+    most = max(1, BLOCK // (8 * (wide or 1)))
+    each = min(most, max(512, math.ceil(n / 256)))
+    shards, blocks = max(1, math.ceil(n / each)), max(1, math.ceil(nq / most))
     x = x.withColumn("shard", F.pmod(F.xxhash64(F.lit("row"), "vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     q = q.withColumn("block", F.pmod(F.xxhash64(F.lit("query"), "vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     key = ["width", "block", "shard"]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.util import U, arrow_map, connected_components, materialize
+from newsloom.llm.util import U, arrow_map, connected_components, materialize, own_names
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -151,11 +151,20 @@ def _solve(batches: Iterator[pa.RecordBatch], budget: int, rows: int = 40_000) -
         yield links(node, fp)
 
 
-def links_within(prints: DataFrame, budget: int = 4, blocks: int = 6, exact: int = 2, most: int = 2048) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints `fp`, with the same components as all pairs within `budget` bits."""
+def links_within(prints: DataFrame, budget: int = 4, blocks: int | None = None, exact: int = 2, most: int = 2048) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints `fp`, with the same components as all pairs within `budget` bits.
+
+    Without `blocks`, `exact` of budget + exact groups must agree, and exact is raised until the bits that agree
+    leave about `most` fingerprints to a trie: 21 bits of 64 up to some 10^9, 27 bits up to 10^11.
+    """
+    distinct = materialize(prints.select("fp").distinct(), "distinct")
+    if blocks is None:
+        n = distinct.count()
+        while exact < 8 and n > most * 2.0 ** (64 * exact // (budget + exact)):
+            exact += 1
+        blocks = budget + exact
     if blocks - budget < exact:
         raise ValueError("blocks - budget groups agree at least; exact can't be more")
-    distinct = prints.select("fp").distinct()
     split = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))).alias("node"), F.col("fp")) for t, m in enumerate(choices(2**64 - 1, blocks, exact))]))
     nodes = materialize(distinct.select(split.alias("x")).select("x.*"), "nodes")
     edges = None
@@ -204,9 +213,11 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     Rows without a doc_id are kept. Of rows that repeat the kept doc_id, all stay: an id is one document.
     """
-    found = simhash_components(docs, **options)
+    own, name = own_names(docs)
+    found = simhash_components(own.select(F.col(name["doc_id"]).alias("doc_id"), F.col(name["text"]).alias("text")), **options)
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("_gone"), "left_anti")
+    left = own.join(drop, F.col(name["doc_id"]).cast("long") == F.col("_gone"), "left_anti")
+    return left.select(*[F.col(n).alias(c) for c, n in name.items()])
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

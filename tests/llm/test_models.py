@@ -1,5 +1,6 @@
 """Language, toxicity and main text: held-out figures, and the input's edges."""
 
+import time
 import zlib
 from collections import Counter
 
@@ -33,6 +34,25 @@ def test_language_edges(spark, languages):
     assert langid.predict(d.limit(0), languages).count() == 0
 
 
+def test_no_labels_and_very_many_languages(spark):
+    d = spark.createDataFrame([(i, f"abc def {i}", None) for i in range(9)] + [(10, None, "en"), (11, "12", None)], "doc_id long, text string, lang string")
+    for some in (d, d.limit(0)):
+        model = langid.trained_on(some)
+        assert {(r["lang_pred"], r["score"]) for r in langid.predict(some, model).collect()} <= {("und", 0.0)}
+        assert langid.with_language(some, langid.with_limit(some)).count() == some.where("doc_id < 10").count()
+    letters = [chr(0x4E00 + k) for k in range(140)]
+    d = spark.createDataFrame([(100 * k + i, f"{c}{c} {c}abc{c} {c}{i}" * 5, f"l{k}") for k, c in enumerate(letters) for i in range(4)], "doc_id long, text string, lang string")
+    model = langid.train(d)
+    assert len(model.names) == 140 and len(model.masks) == 3
+    got = langid.predict(d, model, ("doc_id", "lang")).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def test_letters():
+    code = langid.letters()
+    assert all((code[i] == i) == chr(i).isalpha() for i in range(1, 0x30000) if i != langid.BLANK)
+
+
 def test_false_positives_are_corrected(languages):
     assert all(0 <= r < 0.05 for r in languages.rate)
     name, score = languages.predict(["the and of the", "und der die"])
@@ -96,6 +116,15 @@ def test_one_page(trees):
     assert html.main_text(PAGE, trees) == "Head & line First paragraph with a long text that goes on, and on. Next line. Second <one> é end of it, with more words."
 
 
+def test_pages_cut_inside_a_tag():
+    for page in ("<p>text</p><a " + "x='1' y=\"2\" " * 5000, "<p>text</p>" + "<a b=\"" * 50_000, "<p>text</p>" + "<div>" * 30_000 + "</p>" * 30_000, "<p>text</p>" + "<b><p>" * 20_000, "<p>text</p><a title='it's \"" + "=" * 100_000):
+        began = time.time()
+        t = dom.parse(page)
+        assert "".join(s for _, _, s in t.text).startswith("text") and time.time() - began < 5
+    t = dom.parse("<p a=\"x>y\" b='<'>one</p> 1 < 2 <i>two</i><b c=\"> three</b> four <u")
+    assert "".join(s for _, _, s in t.text) == "one 1 < 2 two three four "
+
+
 def test_page_edges(spark, trees):
     deep = "<div>" * 3000 + "text" + "</div>" * 10
     rows = [(1, None), (2, ""), (3, "no markup, only a line of text."), (4, "<p>" + "word " * 60000), (5, "</p></div><<<>"), (6, deep), (7, "<article><p>a < b and c</p>")]

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import math
 import uuid
@@ -42,8 +43,16 @@ def test_ties_and_odd_vectors(spark):
 def test_large_numbers_stay_exact():
     a = np.floor(np.array([[2.0**33 + 1, 3.0]])), np.floor(np.array([[2.0**28 + 1, 5.0]]))
     assert search.products(*a)[0, 0] == (2**33 + 1) * (2**28 + 1) + 15
-    with pytest.raises(OverflowError):
-        search.products(np.array([[2.0**40]]), np.array([[2.0**40]]))
+    far = search.products(np.array([[2.0**40]]), np.array([[2.0**40], [-(2.0**40)], [1.0]]))
+    assert far.tolist() == [[2**63 - 1, -(2**63), 2**40]]
+
+
+def test_scores_beyond_a_long_and_repeated_queries(spark):
+    rows = spark.createDataFrame([(0, [1e12, 1.0]), (0, [-1.0, 2.0]), (1, [1e12, 0.0]), (2, [2e12, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in search.top_k(rows.where("vec_id = 0"), rows, 2).orderBy("rank").collect()]
+    assert got == [(0, 1, 3, 2 * 2**20), (0, 2, 1, -(10**12) * 2**20)]
+    got = [tuple(r) for r in search.top_k(rows.where("vec_id = 1"), rows.where("vec_id in (0, 2)"), 9).orderBy("rank").collect()]
+    assert [(i, s) for _, _, i, s in got] == [(0, 2**63 - 1), (2, 2**63 - 1), (0, -(10**12) * 2**20)]
 
 
 def test_round_trip(spark, tmp_path):
@@ -68,6 +77,30 @@ def test_chain_is_what_counts(spark):
     assert got == [(1, 0), (1, 10), (1, 30), (3, 0)] + [(4, i) for i in range(300)]
 
 
+def record(i, body):
+    http = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:%d>\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (i, len(http), http)
+
+
+def test_files_of_many_members_and_broken_files(spark, tmp_path):
+    fake = record(9, b"inside")
+    parts = [record(i, fake if i == 2 else b"body %d" % i) for i in range(5)]
+    files = {"one": b"".join(parts), "members": b"".join(map(gzip.compress, parts)), "whole": gzip.compress(b"".join(parts))}
+    for name, data in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        got = warc.read_warc(spark, f"file://{tmp_path}/{name}").collect()
+        assert sorted((r["page_id"], bytes(r["payload"])) for r in got) == [(i, fake if i == 2 else b"body %d" % i) for i in range(5)]
+    cut = {"short": parts[0] + parts[1][:-3], "wrong": parts[0] + b"x" + parts[1], "member": gzip.compress(parts[0]) + gzip.compress(parts[1])[:-9]}
+    for name, data in cut.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        with pytest.raises(ValueError, match="1 files"):
+            warc.read_warc(spark, f"file://{tmp_path}/{name}")
+        got = warc.read_warc(spark, f"file://{tmp_path}/{name}", strict=False).collect()
+        assert 0 in [r["page_id"] for r in got]
+
+
 def test_no_pages(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(none, f"file://{tmp_path}/none")

@@ -83,3 +83,11 @@ def test_edges_of_the_input(spark):
     assert simhash.simhash_components(d.limit(0)).count() == 0
     left = simhash.near_duplicates(d)
     assert left.columns == d.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "7", "7", "9", "None"]
+
+
+def test_clashing_columns(spark):
+    d = docs(spark, [(1, "a b c d e"), (2, "a b c d e"), (3, "v w x y z")])
+    for c in ("_gone", "component_id", "fp"):
+        d = d.withColumn(c, d["doc_id"] + 1)
+    out = simhash.near_duplicates(d)
+    assert out.columns == d.columns and sorted((r["doc_id"], r["_gone"]) for r in out.collect()) == [(1, 2), (3, 4)]

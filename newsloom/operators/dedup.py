@@ -101,16 +101,17 @@ def cosine(a: Column, b: Column) -> Column:
 # ---------------------------------------------------------------- greedy
 
 
-def greedy_leaders(rows: DataFrame, near: DataFrame, rounds: int = 100) -> DataFrame:
+def greedy_leaders(rows: DataFrame, near: DataFrame) -> DataFrame:
     """rows(id), near(a, b) with a earlier than b -> (id, leader): kept rows lead themselves, others go to their earliest kept neighbour.
 
-    Earlier means the smaller id. Rows without earlier neighbours are kept at once.
+    Earlier means the smaller id. Rows without earlier neighbours are kept at once; each round decides the earliest open
+    row at least.
     """
     near = settle(near.select("a", "b").distinct())
     late = near.select(F.col("b").alias("id")).distinct()
     free = rows.select("id").join(late, "id", "left_anti").withColumn("kept", F.lit(True))
     decided = settle(free)
-    for _ in range(rounds):
+    while True:
         known = decided.select(F.col("id").alias("a"), "kept")
         open_ = near.join(decided.select(F.col("id").alias("b")), "b", "left_anti").join(known, "a", "left")
         each = open_.groupBy("b").agg(F.bool_or("kept").alias("drop"), F.count_if(F.col("kept").isNull()).alias("wait"))
@@ -119,8 +120,6 @@ def greedy_leaders(rows: DataFrame, near: DataFrame, rounds: int = 100) -> DataF
         if not grown.join(decided, "id", "left_anti").limit(1).count():
             break
         decided = grown
-    else:
-        raise RuntimeError("greedy rounds did not settle")
     kept = decided.where("kept").select("id")
     lead = near.join(kept.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.min("a").alias("leader"))
     gone = decided.where("not kept").join(lead, F.col("id") == F.col("b")).select("id", "leader")
@@ -189,12 +188,16 @@ def merge_similar_events(events: DataFrame, least: float = 0.8, block: Column |
 
 
 def precluster(rows: DataFrame, least: float = 0.93, name: str = "name") -> DataFrame:
-    """rows(id, name) -> (id, leader) by greedy leader clustering on H14 inside blocks of the first two letters."""
-    block = F.substring(expr.normalize_alnum(F.col(name)), 1, 2)
-    r = rows.select("id", F.col(name).alias("t"), block.alias("block"))
+    """rows(id, name) -> (id, leader) by greedy leader clustering on H14 inside blocks of the first two letters.
+
+    Rows of one name go where the first of them goes, so only distinct names are compared.
+    """
+    first = settle(rows.groupBy(F.col(name).alias("t")).agg(F.min("id").alias("id")))
+    r = first.select("id", "t", F.substring(expr.normalize_alnum(F.col("t")), 1, 2).alias("block"))
     pair = r.select(F.col("id").alias("a"), F.col("t").alias("ta"), "block").join(r.select(F.col("id").alias("b"), F.col("t").alias("tb"), "block"), "block")
     near = pair.where("a < b").where(similarity(F.col("ta"), F.col("tb")) >= least).select("a", "b")
-    return greedy_leaders(rows, near)
+    lead = first.join(greedy_leaders(first, near), "id").select("t", "leader")
+    return rows.select("id", F.col(name).alias("t")).join(lead, "t").select("id", "leader")
 
 
 # ---------------------------------------------------------------- first-fit buckets

@@ -143,9 +143,18 @@ def event_report(events: DataFrame, k: int) -> DataFrame:
 
 
 def news_for_entities(news: DataFrame, forms: DataFrame, k: int) -> DataFrame:
-    """forms(entity_id, form), single words: the newest k articles that contain one, once per (entity, url, published_at)."""
-    words = news.select("id", "url", "published_at", F.explode(F.array_distinct(F.split(F.lower("content"), r"[^\p{L}\p{N}_]+"))).alias("form"))
-    hit = words.join(forms.select("entity_id", F.lower("form").alias("form")).distinct(), "form")
+    """forms(entity_id, form) of one or more words: the newest k articles that contain one, once per (entity, url, published_at).
+
+    A form meets the articles that have its longest word; those of more words are then looked for in the article as a phrase.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
+    f = forms.select("entity_id", plain("form").alias("form")).where("form <> ''").distinct()
+    f = f.withColumn("_w", F.split("form", " ")).withColumn("word", F.element_at(F.array_sort(F.transform("_w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"])
+    f = f.withColumn("_one", F.size("_w") == 1).drop("_w")
+    words = news.select("id", "url", "published_at", F.explode(F.array_distinct(F.split(plain("content"), " "))).alias("word"))
+    met = words.join(f, "word")
+    phrase = met.where("not _one").join(news.select("id", plain("content").alias("_t")), "id").where(F.concat(F.lit(" "), "_t", F.lit(" ")).contains(F.concat(F.lit(" "), "form", F.lit(" "))))
+    hit = met.where("_one").select("entity_id", "id", "url", "published_at").union(phrase.select("entity_id", "id", "url", "published_at"))
     one = hit.groupBy("entity_id", "url", "published_at").agg(F.min("id").alias("id"))
     w = W.partitionBy("entity_id").orderBy(F.desc("published_at"), "id")
     return one.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
@@ -162,6 +171,14 @@ def queue_stats(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("type").agg(F.count("*").alias("n"), *[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "done", "failed")])
 
 
+def evolution_stats(edges: DataFrame, decisions: DataFrame, tasks: DataFrame, kind: str) -> DataFrame:
+    """One row: event edges, decisions of one kind of review, and its tasks by status; decisions(type), tasks(type, status)."""
+    one = lambda df, *aggs: df.agg(*aggs).withColumn("_k", F.lit(1))
+    by = [F.count_if(F.col("status") == s).alias(s) for s in ("pending", "running", "done", "failed")]
+    out = one(edges, F.count("*").alias("event_edges")).join(one(decisions.where(F.col("type") == kind), F.count("*").alias("decisions")), "_k")
+    return out.join(one(tasks.where(F.col("type") == kind), *by), "_k").drop("_k")
+
+
 def failed_tasks(tasks: DataFrame, k: int) -> DataFrame:
     """The k latest failures."""
     return tasks.where("status = 'failed'").orderBy(F.desc("created_at"), "task_id").limit(k)
@@ -214,6 +231,13 @@ def missing_observations(events: DataFrame, observations: DataFrame, field: str)
     return events.join(observations.where(F.col("field") == field).select("event_id").distinct(), "event_id", "left_anti")
 
 
+def missing_by_algorithm(events: DataFrame, observations: DataFrame, algorithm: str, k: int | None = None) -> DataFrame:
+    """Event ids without an observation of the algorithm, the earliest seen first; the first k, if set."""
+    left = events.join(observations.where(F.col("algorithm") == algorithm).select("event_id").distinct(), "event_id", "left_anti")
+    out = left.select("event_id", "first_seen").orderBy("first_seen", "event_id")
+    return out if k is None else out.limit(k)
+
+
 def seed_observations(events: DataFrame, mentions: DataFrame, k: int = 3) -> DataFrame:
     """K4: start_time and description observations of every event, with its first k mentions as evidence."""
     w = W.partitionBy("event_id").orderBy("reported_at", "mention_id")

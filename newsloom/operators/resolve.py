@@ -47,7 +47,9 @@ def enqueue_event_candidates(pairs: DataFrame, participants: DataFrame, most_ent
     """(a, b, priority, entities): event pairs with the first shared entities; pairs(a, b, n)."""
     p = participants.select("event_id", "entity_id").distinct()
     both = pairs.join(p.select(F.col("event_id").alias("a"), "entity_id"), "a").join(p.select(F.col("event_id").alias("b"), "entity_id"), ["b", "entity_id"])
-    packed = both.groupBy("a", "b", "n").agg(F.slice(F.array_sort(F.collect_list("entity_id")), 1, most_entities).alias("entities"))
+    place = F.row_number().over(W.partitionBy("a", "b").orderBy("entity_id"))
+    few = both.withColumn("_n", place).where(F.col("_n") <= most_entities)
+    packed = few.groupBy("a", "b", "n").agg(F.array_sort(F.collect_list("entity_id")).alias("entities"))
     return packed.withColumn("priority", F.least(F.lit(100), F.col("n") * 10).cast("int"))
 
 
@@ -102,20 +104,23 @@ def set_main_names(current: DataFrame, updates: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- redirects
 
 
-def resolve_redirects(redirects: DataFrame, rounds: int = 6) -> DataFrame:
+def resolve_redirects(redirects: DataFrame) -> DataFrame:
     """redirects(from_id, to_id) -> (from_id, to_id) with chains followed to their end, by doubling jumps.
 
-    `rounds` doublings follow 2^rounds hops. Ids on or behind a cycle, and self redirects, stay where
-    they are: they are not returned.
+    Of several targets the smallest counts. Rounds go on until every chain has ended: on a chain some id ends in
+    each round, so ids still under way after a round in which none ended are on or behind a cycle. Those, and
+    self redirects, stay where they are: they are not returned.
     """
-    one = redirects.where("from_id <> to_id").groupBy("from_id").agg(F.min("to_id").alias("to_id"))
-    m = settle(one)
-    for _ in range(rounds):
+    one = settle(redirects.where("from_id <> to_id").groupBy("from_id").agg(F.min("to_id").alias("to_id")))
+    source = one.select(F.col("from_id").alias("to_id"))
+    m, waiting = one, None
+    while True:
+        left = m.join(source, "to_id", "left_semi").count()
+        if left == 0 or left == waiting:
+            return m.join(source, "to_id", "left_anti").select("from_id", "to_id")
+        waiting = left
         nxt = m.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("next"))
         m = settle(m.join(nxt, "to_id", "left").select("from_id", F.coalesce("next", "to_id").alias("to_id")))
-        if not m.join(one.select(F.col("from_id").alias("to_id")), "to_id", "left_semi").limit(1).count():
-            return m
-    return m.join(one.select(F.col("from_id").alias("to_id")), "to_id", "left_anti").select("from_id", "to_id")
 
 
 def rekeyed(df: DataFrame, column: str, closure: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import expr
+from newsloom.functions.shared import settle
 
 TRIPLE = ["subject", "predicate", "object"]
 
@@ -58,7 +59,7 @@ def keyframes(starts: DataFrame, max_frames: int = 60) -> DataFrame:
     Starts are numbered inside range partitions and shifted by the counts before, so no task sorts all of them.
     """
     spark = starts.sparkSession
-    part = starts.select("time").where("time is not null").distinct().repartitionByRange("time").withColumn("_p", F.spark_partition_id()).persist()
+    part = settle(starts.select("time").where("time is not null").distinct().repartitionByRange("time").withColumn("_p", F.spark_partition_id()))
     counts = sorted((r["_p"], r["count"]) for r in part.groupBy("_p").count().collect())  # a row per partition
     low, before = 0, []
     for p, n in counts:
@@ -122,29 +123,42 @@ def active_per_frame(states: DataFrame, frames: DataFrame) -> DataFrame:
     return out.select("idx", (started - F.col("e0") - F.coalesce("e1", F.lit(0))).alias("active"), started.alias("started"))
 
 
-def frame_deltas(frames: DataFrame, intervals: DataFrame, most: int = 10_000) -> DataFrame:
+def frame_deltas(frames: DataFrame, intervals: DataFrame) -> DataFrame:
     """C17: (id, enters, exits): the frames at which an interval enters and leaves the picture, for those that are seen.
 
-    frames(idx, ts) are what a viewer steps through (E5, E6 bound their number); more than `most` are refused.
+    frames(idx, ts), idx in order of ts. An instant meets the frames of its own day and, after those, the first
+    frame of the days to come, so intervals are never compared with all frames.
     """
-    rows = frames.orderBy("ts").select("idx", F.col("ts").cast("string").alias("ts")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} frames")
-    if not rows:
+    fr = settle(frames.select("idx", "ts", F.to_date("ts").alias("day")))
+    span = fr.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()  # one row
+    if span["lo"] is None:
         return intervals.select("id", F.lit(None).cast("int").alias("enters"), F.lit(None).cast("int").alias("exits")).limit(0)
     kind = intervals.schema["start"].dataType
-    steps = F.array(*[F.struct(F.lit(r["ts"]).cast(kind).alias("ts"), F.lit(r["idx"]).alias("idx")) for r in rows])
-    first = lambda test: F.get(F.filter(steps, test), 0)["idx"]
-    out = intervals.where((F.col("start") <= F.lit(rows[-1]["ts"]).cast(kind)) & (F.col("end").isNull() | (F.col("end") >= F.lit(rows[0]["ts"]).cast(kind))))
-    out = out.select("id", first(lambda x: x["ts"] >= F.col("start")).alias("enters"), first(lambda x: x["ts"] > F.col("end")).alias("exits"))
-    return out.where(F.col("exits").isNull() | (F.col("enters") < F.col("exits")))
+    lo, hi = (F.lit(str(span[c])).cast(kind) for c in ("lo", "hi"))
+    seen = intervals.where((F.col("start") <= hi) & (F.col("end").isNull() | (F.col("end") >= lo)))
+    seen = settle(seen.select("id", "start", "end"))
+    asked = seen.select(F.to_date("start").alias("day")).union(seen.where("end is not null").select(F.to_date("end"))).distinct()
+    first = fr.groupBy("day").agg(F.min("idx").alias("idx"))
+    # one row per day of history
+    later = F.min("idx").over(W.orderBy("day").rowsBetween(1, W.unboundedFollowing))
+    days = asked.join(first, "day", "full").select("day", later.alias("later"))
+
+    def at(column: str, test: str, name: str) -> DataFrame:
+        t = seen.where(f"{column} is not null").select(F.col(column).alias("t")).distinct().withColumn("day", F.to_date("t"))
+        same = t.join(fr.select("day", "idx", "ts"), "day").where(test).groupBy("t").agg(F.min("idx").alias("here"))
+        return t.join(days, "day", "left").join(same, "t", "left").select(F.col("t").alias(column), F.coalesce("here", "later").alias(name))
+
+    out = seen.join(at("start", "ts >= t", "enters"), "start", "left").join(at("end", "ts > t", "exits"), "end", "left")
+    return out.where(F.col("exits").isNull() | (F.col("enters") < F.col("exits"))).select("id", "enters", "exits")
 
 
 def relation_summary(relations: DataFrame, k: int = 5) -> DataFrame:
     """Per triple the first and last time, its rows, and the first k distinct evidences by (time, event, line)."""
     one = relations.groupBy(*TRIPLE, "evidence").agg(F.min(F.struct("time", "event", "line")).alias("at"), F.max("time").alias("hi"), F.count("*").alias("n"))
-    out = one.groupBy(*TRIPLE).agg(F.min("at.time").alias("first_time"), F.max("hi").alias("last_time"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "evidence"))).alias("_e"))
-    return out.withColumn("evidence", F.transform(F.slice("_e", 1, k), lambda x: x["evidence"])).drop("_e")
+    one = one.withColumn("_n", F.row_number().over(W.partitionBy(*TRIPLE).orderBy("at", "evidence")))
+    few = F.array_sort(F.collect_list(F.when(F.col("_n") <= k, F.struct("_n", "evidence"))))  # k at most are kept
+    out = one.groupBy(*TRIPLE).agg(F.min("at.time").alias("first_time"), F.max("hi").alias("last_time"), F.sum("n").alias("n"), few.alias("_e"))
+    return out.withColumn("evidence", F.transform("_e", lambda x: x["evidence"])).drop("_e")
 
 
 def relation_history(relations: DataFrame, k: int = 200) -> DataFrame:

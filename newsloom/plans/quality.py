@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import expr
 from newsloom.operators import quality as Q
 from newsloom.plans.graph import kg
-from newsloom.plans.views import KG, MENTION, NEWS, REL, TASK, sql, ts
+from newsloom.plans.views import EDGE, KG, MENTION, NEWS, REL, TASK, sql, ts
 from newsloom.sources import views as V
 
 tt = lambda c: expr.ts_text(F.col(c)).alias(c)
@@ -107,12 +107,12 @@ B9 = sql(f"SELECT entity_id, name, {ts('last_seen')} AS first_seen FROM ent WHER
 
 
 def b10(spark, d):
-    m = V.mentions(spark, d).where("seq % 20 = 0")
+    m = V.mentions(spark, d)
     e = m.select(F.col("entity").alias("name"), F.col("source").alias("form"))
     return Q.expand_synonyms(e.select("name").union(e.select("form")).distinct(), e).select("name", F.array_join("synonyms", ",").alias("synonyms"))
 
 
-B10 = sql(""", e AS (SELECT entity AS name, source AS form FROM mention WHERE seq % 20 = 0), b AS (SELECT name, form FROM e UNION SELECT form, name FROM e UNION SELECT name, name FROM e UNION SELECT form, form FROM e)
+B10 = sql(""", e AS (SELECT entity AS name, source AS form FROM mention), b AS (SELECT name, form FROM e UNION SELECT form, name FROM e UNION SELECT name, name FROM e UNION SELECT form, form FROM e)
 SELECT name, string_agg(form, ',' ORDER BY form) AS synonyms FROM b GROUP BY name""", MENTION)
 
 
@@ -167,14 +167,32 @@ FROM news n ORDER BY n.published_at DESC, abstract LIMIT 30""", NEWS)
 
 def b17(spark, d):
     n = V.news(spark, d)
-    f = n.where("id % 50 = 0").select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("entity_id"), F.lower(F.regexp_extract("content", r"([\p{L}\p{N}_]{6,})", 1)).alias("form")).where("form <> ''")
+    f = n.select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("entity_id"), F.lower(F.regexp_extract("content", r"([\p{L}\p{N}_]{6,}(?: [\p{L}\p{N}_]+)?)", 1)).alias("form")).where("form <> ''")
     return Q.news_for_entities(n, f, 5).select("entity_id", "id", "n", tt("published_at"))
 
 
-B17 = sql(f""", f AS (SELECT 'e' || id AS entity_id, lower(regexp_extract(content, '([\\p{{L}}\\p{{N}}_]{{6,}})', 1)) AS form FROM news WHERE id % 50 = 0),
-w AS (SELECT DISTINCT id, url, published_at, form FROM (SELECT id, url, published_at, unnest(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}_]+')) AS form FROM news)),
-o AS (SELECT entity_id, url, published_at, min(id) AS id FROM w JOIN f USING (form) WHERE form <> '' GROUP BY ALL)
-SELECT entity_id, id, n::INT AS n, {ts('q.published_at')} AS published_at FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY published_at DESC, id) AS n FROM o) q WHERE n <= 5""", NEWS)
+B17 = sql(f""", p AS (SELECT id, url, published_at, ' ' || trim(regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) || ' ' AS t FROM news),
+f AS (SELECT 'e' || id AS entity_id, lower(regexp_extract(content, '([\\p{{L}}\\p{{N}}_]{{6,}}(?: [\\p{{L}}\\p{{N}}_]+)?)', 1)) AS form FROM news),
+g AS (SELECT form, url, p.published_at, min(id) AS id FROM (SELECT DISTINCT form FROM f WHERE form <> '') q JOIN p ON contains(t, ' ' || form || ' ') GROUP BY ALL)
+SELECT entity_id, id, n::INT AS n, {ts('q.published_at')} AS published_at FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY published_at DESC, id) AS n FROM f JOIN g USING (form)) q WHERE n <= 5""", NEWS)
+
+
+def d12c(spark, d):
+    t = V.tasks(spark, d)
+    return Q.evolution_stats(V.event_edges(spark, d), t.where("status = 'done'"), t, "event_merge")
+
+
+D12C = sql("""SELECT (SELECT count(*) FROM edge) AS event_edges, count(*) FILTER (status = 'done') AS decisions, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running,
+count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed FROM task WHERE type = 'event_merge'""", EDGE, TASK)
+
+
+def c6b(spark, d):
+    m, _, ev, _ = kg(spark, d)
+    seen = m.where("value > 20").select(expr.event_id(F.col("abstract")).alias("event_id"), F.when(F.col("seq") % 2 == 0, "builder").otherwise("seed").alias("algorithm"))
+    return Q.missing_by_algorithm(ev, seen, "builder").select("event_id", expr.ts_text(F.col("first_seen")).alias("first_seen"))
+
+
+C6B = sql(f"SELECT event_id, {ts('ev.first_seen')} AS first_seen FROM ev WHERE abstract NOT IN (SELECT abstract FROM mention WHERE value > 20 AND seq % 2 = 0)", KG)
 
 
 def f4(spark, d):
@@ -296,7 +314,7 @@ def k8(spark, d):
 K8 = sql("""SELECT abstract AS event_id, event_type AS field, source AS value_text, concat_ws(',', CASE WHEN seq % 2 = 0 THEN seq::VARCHAR END, CASE WHEN seq % 5 = 0 THEN 'x' END) AS evidence, 1 AS revision
 FROM mention WHERE event_type IN ('click', 'error') AND seq % 3 <> 0 AND (seq % 2 = 0 OR seq % 5 = 0)""", MENTION)
 
-_NAMES = {
+_NAMES = {"D12C": "evolution_stats", "C6B": "missing_by_algorithm", 
     "B1": "validate_events", "B2": "clean_events", "B3": "quality_errors", "B4": "days_window_filter", "B5": "filter_by_type_and_date", "B6": "filter_edges_by_hours", "B7": "normalize_nodes", "B8": "validate_snapshot", "B9": "recent_entities",
     "B10": "expand_synonyms", "B11": "keyword_search", "B12": "search_events", "B13": "time_ranges", "B14": "stop_word_filter", "B15": "truncate_content", "B16": "event_report_rows", "B17": "news_for_entities",
     "F4": "next_task_per_type", "D12": "queue_stats", "D12B": "failed_tasks", "D13": "signal_check_summary", "D14": "article_metrics", "C6": "missing_observations",

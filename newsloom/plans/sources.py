@@ -19,6 +19,7 @@ from newsloom.plans.temporal import OBS, STATES, observations
 from newsloom.plans.views import EDGE, KG, MENTION, NEWS, REL, sql, ts
 from newsloom.sources import news as N
 from newsloom.sources import views as V
+from newsloom.streaming import jobs as S
 
 tt = lambda c: expr.ts_text(F.col(c)).alias(c)
 
@@ -26,11 +27,11 @@ tt = lambda c: expr.ts_text(F.col(c)).alias(c)
 def a2(spark, d):
     n = V.news(spark, d)
     seen = F.when(F.col("id") % 2 == 0, F.date_format("published_at", "yyyyMMddHHmmss")).otherwise(expr.ts_text(F.col("published_at")))
-    a = n.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("id", "url", F.when(F.col("id") % 3 == 0, " ").otherwise(F.substring("title", 1, 20)).alias("title"), F.when(F.col("id") % 4 == 0, "").otherwise(F.substring("content", 1, 30)).alias("snippet"), seen.alias("seendate")))).alias("articles"))
+    a = n.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("id", "url", F.when(F.col("id") % 3 == 0, " ").otherwise(F.col("title")).alias("title"), F.when(F.col("id") % 4 == 0, "").otherwise(F.col("content")).alias("snippet"), seen.alias("seendate")))).alias("articles"))
     return N.normalize_articles(a).select("id", "title", "content", tt("published_at"))
 
 
-A2 = sql(f""", a AS (SELECT id AS i, source, url, CASE WHEN id % 3 = 0 THEN NULL ELSE nullif(trim(title[:20], ' '), '') END AS t, CASE WHEN id % 4 = 0 THEN NULL ELSE nullif(trim(content[:30], ' '), '') END AS s, published_at FROM news)
+A2 = sql(f""", a AS (SELECT id AS i, source, url, CASE WHEN id % 3 = 0 THEN NULL ELSE nullif(trim(title, ' '), '') END AS t, CASE WHEN id % 4 = 0 THEN NULL ELSE nullif(trim(content, ' '), '') END AS s, published_at FROM news)
 SELECT url AS id, coalesce(t, url) AS title, coalesce(s, t) AS content, {ts('a.published_at')} AS published_at FROM a QUALIFY row_number() OVER (PARTITION BY url ORDER BY i) = 1""", NEWS)
 
 
@@ -55,10 +56,11 @@ A8 = sql("SELECT 'entities' AS name, count(*) AS n FROM ent UNION ALL SELECT 'ev
 
 def a9(spark, d):
     m, ent, _, p = kg(spark, d)
-    return N.export_entities(ent, p, m.select(expr.entity_id(F.col("entity")).alias("entity_id"), "source")).select("entity_id", "name", tt("first_seen"), "n_events", "n_mentions", "n_sources")
+    return N.export_entities(ent, p, m.select(expr.entity_id(F.col("entity")).alias("entity_id"), "source", F.col("entity").alias("form"))).select(
+        "entity_id", "name", tt("first_seen"), "n_events", "n_mentions", "n_sources", F.array_join("sources", ",").alias("sources"), F.array_join("original_forms", ",").alias("forms"))
 
 
-A9 = sql(f"SELECT sha1('ent:' || entity) AS entity_id, entity AS name, {ts('min(reported_at)')} AS first_seen, count(DISTINCT abstract) AS n_events, count(*) AS n_mentions, count(DISTINCT source) AS n_sources FROM mention GROUP BY entity", MENTION)
+A9 = sql(f"SELECT sha1('ent:' || entity) AS entity_id, entity AS name, {ts('min(reported_at)')} AS first_seen, count(DISTINCT abstract) AS n_events, count(*) AS n_mentions, count(DISTINCT source) AS n_sources, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, entity AS forms FROM mention GROUP BY entity", MENTION)
 
 
 def a10(spark, d):
@@ -135,6 +137,98 @@ def m2(spark, d):
 
 M2 = sql("SELECT id, CASE WHEN length(trim(abstract, ' ')) > 20 THEN trim(abstract, ' ')[:20] || '...[cut]' ELSE trim(abstract, ' ') END AS abstract, 0::BIGINT AS errors FROM x WHERE trim(abstract) <> '' AND event_summary IS NOT NULL AND len(entities) > 0", NEWS, EXTRACTED)
 
-_NAMES = {"A2": "normalize_articles", "A4": "union_sources", "A8": "scan_graph", "A9": "export_entities_view", "A10": "export_events_view", "A12": "write_and_list_snapshots", "A13": "export_property_graph", "A15": "find_news", "K9": "extract_main_text", "K10": "enrich_fulltext", "M2": "standard_event_pipeline"}
+def folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def a1(spark, d):
+    """News written as JSON lines with broken lines among them, and read again."""
+    n, path = V.news(spark, d), folder(spark, "jsonl")
+    N.write_json(n.select(F.col("id").cast("string").alias("id"), "source", "title", "content", "url", "language"), path)
+    n.select(F.concat(F.lit('{"id": "'), "id", F.lit('", "title": ')).alias("value")).write.mode("append").text(path)
+    return N.read_news_jsonl(spark, path).select("id", "source", F.md5("content").alias("content"), "url")
+
+
+A1 = sql("SELECT id::VARCHAR AS id, source, md5(content) AS content, url FROM news", NEWS)
+
+
+def a3(spark, d):
+    n = V.news(spark, d)
+    row = n.select("title", F.col("language").alias("description"), F.when(F.col("id") % 3 != 0, F.col("content")).otherwise("").alias("content"), F.concat("url", F.lit("/"), "id").alias("url"), expr.ts_text(F.col("published_at")).alias("publishedAt"), F.when(F.col("id") % 5 != 0, F.struct(F.col("source").alias("name"))).alias("source"))
+    return N.normalize_search_articles(row).select("id", F.md5("content").alias("content"), "source", tt("published_at"))
+
+
+A3 = sql(f"SELECT url || '/' || id AS id, md5(CASE WHEN id % 3 <> 0 AND content <> '' THEN content ELSE coalesce(language, '') END) AS content, CASE WHEN id % 5 <> 0 THEN source ELSE 'unknown' END AS source, {ts('n.published_at')} AS published_at FROM news n", NEWS)
+
+
+def stored(spark, d):
+    n = V.news(spark, d)
+    return n.select(F.col("title").alias("abstract"), F.array("source", "language").alias("entities"), F.col("id").cast("string").alias("news_id"))
+
+
+def a5(spark, d):
+    """Events from JSON text: one object, or a list of two."""
+    e = stored(spark, d).withColumn("j", F.to_json(F.struct("abstract", "entities", "news_id")))
+    two = F.when(F.col("news_id").cast("long") % 2 == 0, F.concat(F.lit("["), "j", F.lit(", "), "j", F.lit("]"))).otherwise(F.col("j"))
+    got = N.events_from_text(e.select(two.alias("t")), "t")
+    return got.groupBy("news_id").agg(F.count("*").alias("n"), F.min(F.array_join("entities", ",")).alias("entities"))
+
+
+A5 = sql("SELECT id::VARCHAR AS news_id, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END AS n, concat_ws(',', source, language) AS entities FROM news", NEWS)
+
+
+def a14(spark, d):
+    """Extracted events saved, and the newest files read again."""
+    path = folder(spark, "extracted")
+    N.write_json(stored(spark, d), path)
+    return N.read_extracted_events(spark, f"{path}/*.json", 1_000_000).select("news_id", F.array_join("entities", ",").alias("entities"))
+
+
+A14 = sql("SELECT id::VARCHAR AS news_id, concat_ws(',', source, language) AS entities FROM news", NEWS)
+
+
+def following(spark, d, name):
+    """A table, one file or a folder of files, as a stream of its files."""
+    return spark.readStream.schema(V.table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+def l1(spark, d):
+    path = folder(spark, "news")
+    q = S.stream_news(V.news_of(following(spark, d, "documents")), late="36500 days").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("global_id", "language")
+
+
+L1 = sql("SELECT source || ':' || id AS global_id, language FROM news", NEWS)
+
+
+def l2(spark, d):
+    path = folder(spark, "upserts")
+    S.run_once(V.mentions_of(following(spark, d, "events")), S.upsert_batches(spark, path), f"{path}/log")
+    return S.Table(spark, f"{path}/entities").read().select("entity_id", "name", tt("first_seen"), tt("last_seen"))
+
+
+L2 = sql(f"SELECT entity_id, name, {ts('ent.first_seen')} AS first_seen, {ts('ent.last_seen')} AS last_seen FROM ent", KG)
+
+
+def l3(spark, d):
+    path = folder(spark, "states")
+    S.run_once(V.relations(spark, d, following(spark, d, "lineitem")), S.state_batches(spark, path), f"{path}/log")
+    return S.Table(spark, f"{path}/states").read().select("event", "line", tt("valid_from"), tt("valid_to"))
+
+
+L3 = sql(f"SELECT event, line, {ts('valid_from')} AS valid_from, {ts('valid_to')} AS valid_to FROM st", REL, STATES)
+
+
+def l4(spark, d):
+    path = folder(spark, "processed")
+    S.run_once(V.news_of(following(spark, d, "documents")), S.processed_batches(spark, path, lambda n: n.where("language is not null").select("global_id", "language")), f"{path}/log")
+    return S.Table(spark, f"{path}/processed_ids").read().select("global_id")
+
+
+L4 = sql("SELECT source || ':' || id AS global_id FROM news WHERE language IS NOT NULL", NEWS)
+
+
+_NAMES = {"A1": "read_news_jsonl", "A3": "normalize_search_articles", "A5": "events_from_text", "A14": "save_and_read_extracted_events", "L1": "stream_news", "L2": "stream_upserts", "L3": "stream_states", "L4": "stream_processed", "A2": "normalize_articles", "A4": "union_sources", "A8": "scan_graph", "A9": "export_entities_view", "A10": "export_events_view", "A12": "write_and_list_snapshots", "A13": "export_property_graph", "A15": "find_news", "K9": "extract_main_text", "K10": "enrich_fulltext", "M2": "standard_event_pipeline"}
 QUERIES = {f"{k}_{v}": globals()[k.lower()] for k, v in _NAMES.items()}
 ORACLE = {f"{k}_{v}": globals()[k] for k, v in _NAMES.items() if k in globals()}

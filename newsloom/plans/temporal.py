@@ -127,11 +127,11 @@ UNION ALL SELECT idx, 0, 0 FROM fr WHERE NOT EXISTS (SELECT 1 FROM st WHERE vali
 
 
 def c17(spark, d):
-    s = states(spark, d).where("subject < 'Supplier#000000003'").select(F.concat_ws("-", "event", "line").alias("id"), F.col("valid_from").alias("start"), F.col("valid_to").alias("end"))
-    return T.frame_deltas(frames(spark, d).select("idx", F.col("time").alias("ts")).where("idx % 2 = 0"), s).select("id", "enters", F.coalesce("exits", F.lit(-1)).alias("exits"))
+    s = states(spark, d).select(F.concat_ws("-", "event", "line").alias("id"), F.col("valid_from").alias("start"), F.col("valid_to").alias("end"))
+    return T.frame_deltas(frames(spark, d).select("idx", F.col("time").alias("ts")), s).select("id", "enters", F.coalesce("exits", F.lit(-1)).alias("exits"))
 
 
-C17 = sql(""", s AS (SELECT event || '-' || line AS id, valid_from AS a, valid_to AS b FROM st WHERE subject < 'Supplier#000000003'), f AS (SELECT * FROM fr WHERE idx % 2 = 0)
+C17 = sql(""", s AS (SELECT event || '-' || line AS id, valid_from AS a, valid_to AS b FROM st), f AS (SELECT * FROM fr)
 SELECT id, enters, coalesce(exits, -1)::INT AS exits FROM (SELECT id, any_value(a) AS a, any_value(b) AS b, (SELECT min(idx) FROM f WHERE f.time >= s.a) AS enters, (SELECT min(idx) FROM f WHERE f.time > s.b) AS exits FROM s GROUP BY id, s.a, s.b)
 WHERE a <= (SELECT max(time) FROM f) AND (b IS NULL OR b >= (SELECT min(time) FROM f)) AND (exits IS NULL OR enters < exits)""", REL, STATES, FRAMES)
 

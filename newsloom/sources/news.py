@@ -96,10 +96,11 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def export_entities(entities: DataFrame, participants: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Entity documents: sources, number of events, mentions and sources."""
+    """Entity documents: sources and original forms (sorted), number of events, mentions and sources; mentions(entity_id, source, form)."""
     from newsloom.operators.graph import entity_stats
 
-    return entity_stats(entities, participants, mentions)
+    lists = mentions.groupBy("entity_id").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("form")).alias("original_forms"))
+    return entity_stats(entities, participants, mentions).join(lists, "entity_id", "left")
 
 
 def export_events(events: DataFrame, participants: DataFrame, relations: DataFrame, defaults: DataFrame) -> DataFrame:

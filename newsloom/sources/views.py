@@ -15,7 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, abstract, entity, reported_at, source, event_type, value: one row per row of events."""
-    e = table(spark, sf_dir, "events")
+    return mentions_of(table(spark, sf_dir, "events"))
+
+
+def mentions_of(e: DataFrame) -> DataFrame:
+    """Mentions from rows of events, a stream of them too."""
     return e.select(
         F.col("event_id").alias("seq"),
         F.concat_ws("|", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("abstract"),
@@ -26,10 +30,10 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event, line, subject, predicate, object, time, kind, evidence: one row per line item."""
+def relations(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """From line items (or a stream of them): event, line, subject, predicate, object, time, kind, evidence: one row per line item."""
     t = lambda n: table(spark, sf_dir, n)
-    li = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = (t("lineitem") if lines is None else lines).join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     li = li.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     li = li.join(t("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     li = li.join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -57,7 +61,11 @@ def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, source, url, title, content, language, published_at: documents as articles."""
-    d = table(spark, sf_dir, "documents")
+    return news_of(table(spark, sf_dir, "documents"))
+
+
+def news_of(d: DataFrame) -> DataFrame:
+    """Articles from documents, a stream of them too."""
     return d.select(
         F.col("doc_id").alias("id"), "source",
         F.concat(F.lit("http://"), F.col("source"), F.lit("/"), (F.col("doc_id") % 300).cast("string")).alias("url"),

@@ -91,6 +91,9 @@ def processed_batches(spark: SparkSession, path: str, extract: Callable[[DataFra
     def run(batch: DataFrame, batch_id: int) -> None:
         if ids.done(batch_id):
             return
+        if out.done(batch_id):  # the batch failed between the two tables: only the marks are missing
+            ids.write(out.read().select("global_id").distinct(), batch_id)
+            return
         known = ids.read()
         fresh = batch.withColumn("global_id", expr.global_id(F.col("source"), F.col("id").cast("string"))) if known is None else ingest.drop_processed(batch, known)
         got = extract(fresh)

@@ -68,3 +68,20 @@ def test_refresh_does_not_mix_types(spark):
     none = spark.createDataFrame([], "from_id string, to_id string")
     rules = spark.createDataFrame([], "alias string, primary string")
     assert rows(resolve.refresh(e, none, rules, 0.9)) == [("1", "2")]
+
+
+def test_long_chains_and_cycles(spark):
+    r = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (201, 202), (202, 200), (203, 200), (300, 300), (301, 300)], "from_id long, to_id long")
+    assert rows(resolve.resolve_redirects(r)) == sorted([(i, 100) for i in range(100)] + [(301, 300)], key=repr)
+    assert resolve.resolve_redirects(r.limit(0)).count() == 0
+
+
+def test_chains_of_near_rows(spark):
+    ids = spark.createDataFrame([(i,) for i in range(12)], "id long")
+    near = spark.createDataFrame([(i, i + 1) for i in range(11)], "a long, b long")
+    assert sorted(tuple(r) for r in dedup.greedy_leaders(ids, near).collect()) == [(i, i - i % 2) for i in range(12)]
+
+
+def test_equal_names_follow_the_first(spark):
+    n = spark.createDataFrame([(1, "Anna Smith"), (2, "Bob Jones"), (3, "Anna Smyth"), (4, "Anna Smyth"), (5, "Bob Jones")], "id long, name string")
+    assert rows(dedup.precluster(n, 0.93)) == [(1, 1), (2, 2), (3, 1), (4, 1), (5, 2)]

@@ -62,6 +62,17 @@ def test_failures_come_again(spark, parts, tmp_path):
     assert jobs.Table(spark, f"{tmp_path}/extracted").read().count() == 20
 
 
+def test_a_crash_between_the_two_tables(spark, parts, tmp_path):
+    _, v = parts
+    n = v["news"].where("id < 20")
+    run = jobs.processed_batches(spark, str(tmp_path), lambda d: d.select("global_id", "id"))
+    run(n.where("id < 10"), 0)
+    jobs.Table(spark, f"{tmp_path}/extracted").write(jobs.Table(spark, f"{tmp_path}/extracted").read().unionByName(n.where("id >= 10").selectExpr("concat_ws(':', source, id) as global_id", "id")), 1)
+    run(n.where("id >= 10"), 1)  # its marks were lost, its rows were not
+    assert jobs.Table(spark, f"{tmp_path}/extracted").read().count() == 20
+    assert jobs.Table(spark, f"{tmp_path}/processed_ids").read().count() == 20
+
+
 def test_news_once(spark, parts, tmp_path):
     base, v = parts
     n = v["news"]

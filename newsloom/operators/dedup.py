@@ -177,10 +177,85 @@ def blocked_pairs(rows: DataFrame, text: str, block: Column, score, least: float
     return x.join(y, "block").where((F.col("a") < F.col("b")) & can).select("a", "b", score(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") >= least)
 
 
-def merge_similar_events(events: DataFrame, least: float = 0.8, block: Column | None = None) -> DataFrame:
-    """events(id, abstract, entities, source) -> leaders with the united entities and sources of what they absorb."""
-    block = F.substring(expr.normalize_name(F.col("abstract")), 1, 4) if block is None else block
-    lead = settle(greedy_leaders(events, blocked_pairs(events, "abstract", block, ratio, least)))
+def _marks(text: pd.Series) -> pd.Series:
+    """Each character with the number of its occurrence in the text so far."""
+
+    def one(t):
+        seen, out = {}, []
+        for ch in t:
+            seen[ch] = seen.get(ch, 0) + 1
+            out.append(f"{ch}{seen[ch]}")
+        return out
+
+    return text.map(one)
+
+
+def overlapping_pairs(texts: DataFrame, own_need, pair_need) -> DataFrame:
+    """texts(id, t), one id per text -> (a, b), a < b: all pairs with pair_need(n, m) characters in common, repeats counted.
+
+    n and m are the lengths, and own_need(n) is the least that a text of length n needs with any partner. In one
+    order of all marks (character and occurrence), the rarest first, two such texts share one of their first
+    n - own_need(n) + 1, so no pair is missed; where they first agree, what follows must still reach the need.
+    """
+    marked = settle(texts.where("t is not null").select("id", ship(F.pandas_udf(_marks, "array<string>"))(F.col("t")).alias("marks")))
+    each = marked.select("id", F.size("marks").alias("n"), F.explode("marks").alias("mark"))
+    often = each.groupBy("mark").agg(F.count("*").alias("often"))
+    place = F.row_number().over(W.partitionBy("id").orderBy("often", "mark"))
+    head = each.join(often, "mark").withColumn("place", place).where(F.col("place") <= F.col("n") - F.greatest(own_need(F.col("n")), F.lit(1)) + 1)
+    head = settle(head.where("often > 1").select("id", "n", "mark", "place"))
+    x, y = (head.select("mark", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "place")]) for k in "ab")
+    rest = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    pair = x.join(y, "mark").where((F.col("id_a") < F.col("id_b")) & (rest >= pair_need(F.col("n_a"), F.col("n_b"))))
+    pair = pair.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    x, y = (marked.select(F.col("id").alias(k), F.col("marks").alias(f"m{k}")) for k in "ab")
+    return pair.join(x, "a").join(y, "b").where(F.size(F.array_intersect("ma", "mb")) >= pair_need(F.size("ma"), F.size("mb"))).select("a", "b")
+
+
+#: Against rounding: a need that is too small by this costs nothing.
+_SLACK = 1e-9
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    x, y = (texts.select(F.col("id").alias(k), F.col("t").alias(f"t{k}")) for k in "ab")
+    return pairs.join(x, "a").join(y, "b")
+
+
+def ratio_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """texts(id, t) -> (a, b), a < b: the ratio (H15) of the later text to the earlier is `least` (above 0) or more."""
+    own = lambda n: F.ceil(n * (least / (2 - least)) - _SLACK)
+    both = lambda n, m: (n + m) * (least / 2) - _SLACK
+    return with_texts(overlapping_pairs(texts, own, both), texts).where(ratio(F.col("tb"), F.col("ta")) >= least).select("a", "b")
+
+
+def name_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """texts(id, t) -> (a, b), a < b, whose similarity (H14) is `least` (above 0) or more.
+
+    A Jaro-Winkler of w needs a Jaro of (w - 0.4) / 0.6, which is (k/n + k/m + 1) / 3 at most with k common
+    characters. Names of equal letters meet on those.
+    """
+    jaro = (least - 0.4) / 0.6
+    own = lambda n: F.ceil(n * (3 * jaro - 2) - _SLACK)
+    both = lambda n, m: n * m / (n + m) * (3 * jaro - 1) - _SLACK
+    close = overlapping_pairs(texts.select("id", F.lower("t").alias("t")), own, both)
+    key = texts.select("id", expr.normalize_alnum(F.col("t")).alias("key")).where("key <> ''")
+    equal = key.select("key", F.col("id").alias("a")).join(key.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+    return with_texts(close.union(equal).distinct(), texts).where(similarity(F.col("ta"), F.col("tb")) >= least).select("a", "b")
+
+
+def _lead(rows: DataFrame, text: Column, pairs) -> DataFrame:
+    """(id, leader): greedy over the distinct texts, pairs(texts) being the near ones; rows of one text go where its first row goes."""
+    all_ = rows.select("id", text.alias("t"))
+    first = settle(all_.groupBy("t").agg(F.min("id").alias("id")).where("t is not null"))
+    lead = first.join(greedy_leaders(first, pairs(first)), "id").select("t", "leader")
+    return all_.join(lead, "t").select("id", "leader")
+
+
+def merge_similar_events(events: DataFrame, least: float = 0.8) -> DataFrame:
+    """events(id, abstract, entities, source) -> leaders with the united entities and sources of what they absorb.
+
+    An event goes to the earliest kept one whose abstract is similar (H15); a null abstract is an empty one.
+    """
+    lead = settle(_lead(events, F.coalesce("abstract", F.lit("")), lambda t: ratio_pairs(t, least)))
     both = events.join(lead, "id")
     ents = both.select("leader", F.explode("entities").alias("e")).groupBy("leader").agg(F.array_sort(F.collect_set("e")).alias("entities"))
     rest = both.groupBy("leader").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("n"))
@@ -188,51 +263,70 @@ def merge_similar_events(events: DataFrame, least: float = 0.8, block: Column |
 
 
 def precluster(rows: DataFrame, least: float = 0.93, name: str = "name") -> DataFrame:
-    """rows(id, name) -> (id, leader) by greedy leader clustering on H14 inside blocks of the first two letters.
+    """rows(id, name) -> (id, leader) by greedy leader clustering on H14; rows without a name go."""
+    return _lead(rows, F.col(name), lambda t: name_pairs(t, least))
 
-    Rows of one name go where the first of them goes, so only distinct names are compared.
-    """
-    first = settle(rows.groupBy(F.col(name).alias("t")).agg(F.min("id").alias("id")))
-    r = first.select("id", "t", F.substring(expr.normalize_alnum(F.col("t")), 1, 2).alias("block"))
-    pair = r.select(F.col("id").alias("a"), F.col("t").alias("ta"), "block").join(r.select(F.col("id").alias("b"), F.col("t").alias("tb"), "block"), "block")
-    near = pair.where("a < b").where(similarity(F.col("ta"), F.col("tb")) >= least).select("a", "b")
-    lead = first.join(greedy_leaders(first, near), "id").select("t", "leader")
-    return rows.select("id", F.col(name).alias("t")).join(lead, "t").select("id", "leader")
+
+def precluster_events(events: DataFrame, least: float = 0.93, most: int | None = None) -> DataFrame:
+    """events(id, abstract, summary) -> (id, leader) on abstract and summary together, the first `most` characters of it if set."""
+    summary = F.trim(F.coalesce("summary", F.lit("")))
+    text = F.lower(F.concat(F.col("abstract"), F.lit(" "), summary if most is None else F.substring(summary, 1, most)))
+    return _lead(events, text, lambda t: name_pairs(t, least))
 
 
 # ---------------------------------------------------------------- first-fit buckets
 
 
+def components(members: DataFrame) -> DataFrame:
+    """members(id, key) -> (id, label): the smallest id reachable through shared keys.
+
+    Each round takes the smallest label of a row's keys, then the label of that row (pointer jumping), until none falls.
+    """
+    members = settle(members.distinct())
+    label = settle(members.groupBy("id").agg(F.min("id").alias("label")))
+    while True:
+        low = members.join(label, "id").groupBy("key").agg(F.min("label").alias("low"))
+        met = members.join(low, "key").groupBy("id").agg(F.min("low").alias("low"))
+        jump = label.select(F.col("id").alias("low"), F.col("label").alias("further"))
+        new = settle(met.join(jump, "low").select("id", F.least("low", "further").alias("label")))
+        if not new.join(label.withColumnRenamed("label", "was"), "id").where("label < was").limit(1).count():
+            return new
+        label = new
+
+
 def _first_fit(days: int, overlap: int, most: int):
     window = days * 86400
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        buckets, out = [], []
-        for r in group.sort_values(["t", "event_id"]).itertuples():
-            mine = set(r.entities)
-            for k, b in enumerate(buckets):
-                if b["n"] < most and b["lo"] - window <= r.t <= b["hi"] + window and (overlap <= 0 or len(b["e"] & mine) >= overlap):
-                    break
-            else:
-                k, b = len(buckets), {"n": 0, "lo": r.t, "hi": r.t, "e": set()}
-                buckets.append(b)
-            b["n"] += 1
-            b["e"] |= mine
-            b["lo"], b["hi"] = min(b["lo"], r.t), max(b["hi"], r.t)
-            out.append((r.event_id, f"{r.part}-{k}"))
-        return pd.DataFrame(out, columns=["event_id", "bucket"])
+        group = group.sort_values(["t", "event_id"])
+        live, made, out = {}, 0, []  # bucket -> [events, last time, entities], in order of opening; only those that may still take events
+        for t, entities in zip(group["t"], group["entities"], strict=True):
+            mine = set(() if entities is None else entities)
+            live = {k: b for k, b in live.items() if t - b[1] <= window and b[0] < most}
+            k = next((k for k, b in live.items() if overlap <= 0 or len(b[2] & mine) >= overlap), made)
+            made = max(made, k + 1)
+            size, _, known = live.get(k, (0, t, set()))
+            live[k] = (size + 1, t, known | mine)
+            out.append(k)
+        return pd.DataFrame({"event_id": group["event_id"], "bucket": [f"{p}-{k}" for p, k in zip(group["part"], out, strict=True)]})
 
     return run
 
 
 def bucket_events(events: DataFrame, days: int = 7, overlap: int = 1, most: int = 50) -> DataFrame:
-    """I16: events(event_id, time, entities) -> (event_id, bucket), first fit in time order.
+    """I16: events(event_id, time, entities) -> (event_id, bucket), first fit in time order; events without a time go.
 
-    A bucket never spans a gap longer than `days`, so the history is cut there and each stretch is one
-    group: exact, and as parallel as the history has gaps. One unbroken stretch is one task.
+    A bucket never spans a gap longer than `days`, so the history is cut there. With an overlap of 1 or more it never
+    spans events that no chain of shared entities links either, so each stretch falls into those components. Both
+    cuts are exact. One component of one stretch (with overlap 0, one stretch) is one task.
     """
     w = W.partitionBy(F.lit(0)).orderBy("day")
     day = events.where("time is not null").select(F.to_date("time").alias("day")).distinct()  # a row per day of history
     part = day.withColumn("part", F.sum(F.coalesce(F.datediff("day", F.lag("day").over(w)) > days + 1, F.lit(False)).cast("int")).over(w))
     e = events.where("time is not null").select("event_id", "entities", F.unix_seconds(F.col("time").cast("timestamp")).alias("t"), F.to_date("time").alias("day"))
-    return e.join(part, "day").drop("day").groupBy("part").applyInPandas(ship(_first_fit)(days, overlap, most), "event_id string, bucket string")
+    e = e.join(part, "day").drop("day").withColumn("part", F.col("part").cast("string"))
+    if overlap > 0:
+        e = settle(e)
+        linked = components(e.select(F.col("event_id").alias("id"), F.explode("entities").alias("entity"), "part").select("id", F.struct("part", "entity").alias("key")))
+        e = e.join(linked.withColumnRenamed("id", "event_id"), "event_id", "left").withColumn("part", F.concat_ws("/", "part", F.coalesce("label", "event_id"))).drop("label")
+    return e.groupBy("part").applyInPandas(ship(_first_fit)(days, overlap, most), "event_id string, bucket string")

@@ -33,6 +33,50 @@ def lookup(names: DataFrame, asked: DataFrame) -> DataFrame:
     return hit.groupBy("name").agg(F.min(F.struct("way", "entity_id")).alias("_b")).select("name", F.col("_b.entity_id").alias("entity_id"), F.col("_b.way").alias("way"))
 
 
+def entity_records(entities: DataFrame, asked: DataFrame, main_names: DataFrame, aliases: DataFrame, redirects: DataFrame) -> DataFrame:
+    """asked(name) -> name, the record of the entity it is known as (its columns, main_name, aliases) and the way it was found.
+
+    entities(entity_id, name, ...), main_names(entity_id, main_name), aliases(entity_id, alias), redirects(from_id, to_id).
+    Main names come before names, names before aliases; an alias follows redirects to their end. Of several entities
+    the smallest id counts. Names that nobody has give no row.
+    """
+    from newsloom.operators.resolve import rekeyed, resolve_redirects
+
+    known = main_names.select(F.col("main_name").alias("name"), "entity_id", F.lit(0).alias("way"))
+    known = known.union(entities.select("name", "entity_id", F.lit(1)))
+    far = rekeyed(aliases.select(F.col("alias").alias("name"), "entity_id", F.lit(2).alias("way")), "entity_id", resolve_redirects(redirects))
+    live = entities.select("entity_id")
+    want = asked.select(F.trim("name").alias("name")).where("name <> ''")
+    hit = lookup(known.unionByName(far).join(live, "entity_id", "left_semi"), want)
+    mine = aliases.join(hit.select("entity_id").distinct(), "entity_id", "left_semi").where(F.trim("alias") != "")
+    mine = mine.groupBy("entity_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    full = hit.join(entities.withColumnRenamed("name", "_own"), "entity_id").join(main_names.select("entity_id", "main_name"), "entity_id", "left").join(mine, "entity_id", "left")
+    return full.withColumn("main_name", F.coalesce("main_name", "_own")).withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))).drop("_own")
+
+
+def event_records(events: DataFrame, asked: DataFrame, aliases: DataFrame, redirects: DataFrame) -> DataFrame:
+    """C19 for events(event_id, abstract, ...): asked(name) by abstract, else by alias and redirects."""
+    none = events.select(F.col("event_id").alias("entity_id"), F.col("abstract").alias("main_name")).limit(0)
+    e = events.withColumnsRenamed({"event_id": "entity_id", "abstract": "name"})
+    found = entity_records(e, asked, none, aliases.withColumnRenamed("event_id", "entity_id"), redirects)
+    return found.withColumnsRenamed({"entity_id": "event_id", "main_name": "abstract"})
+
+
+def news_bridge(extracted: DataFrame) -> DataFrame:
+    """(news_id, event_id), each once, from extracted events(news_id, abstract); rows that lack either go."""
+    return extracted.where("trim(news_id) <> '' and trim(abstract) <> ''").select("news_id", expr.event_id(F.col("abstract")).alias("event_id")).distinct()
+
+
+def events_by_news(bridge: DataFrame, events: DataFrame, asked: DataFrame) -> DataFrame:
+    """The events of asked(news_id)."""
+    return bridge.join(asked.select("news_id").distinct(), "news_id", "left_semi").join(events, "event_id")
+
+
+def news_by_event(bridge: DataFrame, news: DataFrame, asked: DataFrame) -> DataFrame:
+    """The news of asked(event_id)."""
+    return bridge.join(asked.select("event_id").distinct(), "event_id", "left_semi").join(news, "news_id")
+
+
 def entity_timeline(participants: DataFrame, events: DataFrame, ids: DataFrame) -> DataFrame:
     """Events of the entities in ids(entity_id), dated by their start, else their first report."""
     mine = participants.join(ids.select("entity_id").distinct(), "entity_id", "left_semi").select("event_id").distinct()

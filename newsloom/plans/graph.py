@@ -72,6 +72,23 @@ def c19(spark, d):
 C19 = sql("SELECT name, arg_min(entity_id, (way, entity_id)) AS entity_id, min(way) AS way FROM nm GROUP BY name", KG, NAMES)
 
 
+def c19b(spark, d):
+    """Asked by upper-case main names (every third user), names, aliases ("a_" + name) and aliases that a redirect moves."""
+    _, ent, _, _ = kg(spark, d)
+    k = F.regexp_extract("name", r"(\d+)", 1).cast("int")
+    main = ent.where(k % 3 == 0).select("entity_id", F.upper("name").alias("main_name"))
+    alias = ent.select("entity_id", F.concat(F.lit("a_"), F.col("name")).alias("alias"))
+    moved = ent.where(k >= 40).select(F.col("entity_id").alias("from_id"), expr.entity_id(F.concat(F.lit("user_"), (k % 40).cast("string"))).alias("to_id"))
+    asked = main.select(F.col("main_name").alias("name")).union(ent.select("name")).union(alias.select("alias"))
+    return G.entity_records(ent, asked, main, alias, moved).select("name", "entity_id", "main_name", "way", tt("first_seen"), F.array_join("aliases", ",").alias("aliases"))
+
+
+C19B = sql(f""", k AS (SELECT *, regexp_extract(name, '(\\d+)', 1)::INT AS k FROM ent),
+w AS (SELECT upper(name) AS name, entity_id, 0 AS way FROM k WHERE k % 3 = 0 UNION ALL SELECT name, entity_id, 1 FROM k
+UNION ALL SELECT 'a_' || name, CASE WHEN k >= 40 THEN sha1('ent:user_' || (k % 40)) ELSE entity_id END, 2 FROM k)
+SELECT w.name, entity_id, CASE WHEN k % 3 = 0 THEN upper(k.name) ELSE k.name END AS main_name, way, {ts('first_seen')} AS first_seen, 'a_' || k.name AS aliases FROM w JOIN k USING (entity_id)""", KG)
+
+
 def c4(spark, d):
     _, ent, _, p = kg(spark, d)
     return G.cooccurrence(p, 20)
@@ -98,13 +115,27 @@ def c9(spark, d):
 C9 = sql("SELECT event, line, lower(subject) AS subject_name, lower(object) AS object_name FROM rel", REL)
 
 
+def _bridge(m):
+    return G.news_bridge(m.select(F.col("source").alias("news_id"), "abstract"))
+
+
 def c10(spark, d):
-    m = V.mentions(spark, d)
-    bridge = m.select(F.col("source").alias("news_id"), expr.event_id(F.col("abstract")).alias("event_id")).distinct()
-    return bridge.groupBy("news_id").agg(F.count("*").alias("n_events"), F.array_join(F.slice(F.sort_array(F.collect_list("event_id")), 1, 3), ",").alias("first_events"))
+    m, _, ev, _ = kg(spark, d)
+    b = _bridge(m)
+    got = G.events_by_news(b, ev, b.select("news_id"))
+    return got.groupBy("news_id").agg(F.count("*").alias("n_events"), F.min("event_id").alias("first_event"), F.max("abstract").alias("last_abstract"))
+
+
+C10 = sql("SELECT source AS news_id, count(*) AS n_events, min(e) AS first_event, max(abstract) AS last_abstract FROM (SELECT DISTINCT source, abstract, sha1('evt:' || abstract) AS e FROM mention) GROUP BY source", MENTION)
+
+
+def c10b(spark, d):
+    m, _, ev, _ = kg(spark, d)
+    news = m.groupBy(F.col("source").alias("news_id")).agg(F.min("seq").alias("first_seq"))
+    return G.news_by_event(_bridge(m), news, ev.where("event_type <> 'click'")).select("event_id", "news_id", "first_seq")
 
 
-C10 = sql("SELECT source AS news_id, count(*) AS n_events, array_to_string(list(e ORDER BY e)[:3], ',') AS first_events FROM (SELECT DISTINCT source, sha1('evt:' || abstract) AS e FROM mention) GROUP BY source", MENTION)
+C10B = sql("SELECT DISTINCT sha1('evt:' || abstract) AS event_id, source AS news_id, first_seq FROM mention JOIN (SELECT source, min(seq) AS first_seq FROM mention GROUP BY source) USING (source) WHERE event_type <> 'click'", MENTION)
 
 
 def c11(spark, d):
@@ -351,8 +382,8 @@ def d17(spark, d):
 D17 = sql("SELECT entity_id, n::INT AS n, abstract[:9] AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY time, event_id) AS n FROM part_) JOIN ev USING (event_id) WHERE n <= 3", KG)
 
 _NAMES = {
-    "C1": "participants_with_events", "C2": "display_names", "C3": "entity_timeline", "C4": "entity_cooccurrence", "C4B": "shared_events", "C9": "relations_named", "C10": "events_by_news", "C11": "entity_event_samples",
-    "C13": "event_pairs", "C18": "neighbour_edges", "C19": "lookup_entity", "D7": "entity_stats", "D8": "mention_counts", "D10": "node_degree", "D11": "kg_stats", "D15": "cooccurrence_weight", "D16": "facets", "D17": "entity_evidence",
+    "C1": "participants_with_events", "C2": "display_names", "C3": "entity_timeline", "C4": "entity_cooccurrence", "C4B": "shared_events", "C9": "relations_named", "C10": "events_by_news", "C10B": "news_by_event", "C11": "entity_event_samples",
+    "C13": "event_pairs", "C18": "neighbour_edges", "C19": "lookup_entity", "C19B": "entity_records", "D7": "entity_stats", "D8": "mention_counts", "D10": "node_degree", "D11": "kg_stats", "D15": "cooccurrence_weight", "D16": "facets", "D17": "entity_evidence",
     "F1": "top_nodes_pooled", "F2": "top_nodes_per_type", "F3": "cap_edges", "F5": "event_timeline", "G1": "all_edges", "J1": "graph_ge", "J2": "graph_get", "J3": "graph_ee", "J4": "graph_ee_evo", "J4B": "graph_ee_evo_sessions",
     "J5": "graph_event_evo", "J6": "affects_edges", "J7": "graph_visual", "J8": "k_hop", "J9": "document_to_graph", "J10": "min_degree_subgraph", "J12": "entity_story",
 }

@@ -73,12 +73,18 @@ I1C = sql("SELECT min(id) AS id, url FROM news GROUP BY url", NEWS)
 def i2(spark, d):
     m = V.mentions(spark, d)
     e = m.groupBy("abstract").agg(F.min("seq").alias("id"), F.collect_set("entity").alias("entities"), F.min("source").alias("source"))
-    return D.merge_similar_events(e, 0.95).select("leader", "abstract", "n", F.size("entities").alias("n_entities"))
+    return D.merge_similar_events(e).select("leader", "abstract", "n", F.size("entities").alias("n_entities"))
 
 
 def i3(spark, d):
     n = V.table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
-    return D.precluster(n, 0.9)
+    return D.precluster(n)
+
+
+def i3b(spark, d):
+    m = V.mentions(spark, d)
+    e = m.groupBy("abstract").agg(F.min("seq").alias("id"), F.min("source").alias("summary"))
+    return D.precluster_events(e)
 
 
 def i4(spark, d):
@@ -316,7 +322,7 @@ def k11(spark, d):
 K11 = "SELECT 'r' || n_regionkey AS duplicate, arg_min(n_name, n_nationkey) AS primary FROM nation GROUP BY n_regionkey"
 
 _NAMES = {
-    "C14": "pairs_same_form", "C14B": "pairs_same_form_star", "C15": "pairs_similar", "C15B": "pairs_jaro_winkler", "I1": "dedup_news_simhash", "I1B": "dedup_with_history", "I1C": "dedup_by_url", "I2": "merge_similar_events", "I3": "precluster_entities",
+    "C14": "pairs_same_form", "C14B": "pairs_same_form_star", "C15": "pairs_similar", "C15B": "pairs_jaro_winkler", "I1": "dedup_news_simhash", "I1B": "dedup_with_history", "I1C": "dedup_by_url", "I2": "merge_similar_events", "I3": "precluster_entities", "I3B": "precluster_events",
     "I4": "block_cross_type_groups", "I5": "choose_primary", "I6": "merge_entities", "I6B": "merge_participants", "I6C": "merge_relations", "I7": "merge_event_edges", "I7B": "merge_events", "I8": "semantic_entity_matches", "I9": "resolve_redirects",
     "I10": "apply_merge_rules", "I11": "enqueue_entity_candidates", "I12": "enqueue_event_candidates", "I13": "plan_entity_merges", "I14": "plan_event_decisions", "I15": "upsert_merge_decisions", "I15B": "complete_and_requeue_tasks", "I16": "bucket_events",
     "I17": "set_main_names", "I18": "resolve_end_to_end", "I19": "refresh_graph", "K6": "parse_llm_responses", "K7": "clean_extractions", "K11": "merge_decisions_parse",

@@ -79,18 +79,7 @@ string_agg(DISTINCT entity, ',' ORDER BY entity) AS entities, count(DISTINCT ent
 def a12(spark, d):
     """All five snapshots written, then listed."""
     path = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
-    for name, (nodes, edges) in snapshots(spark, d).items():
-        N.write_snapshot(nodes, edges, name, path)
-    return N.list_snapshots(spark, path)
-
-
-def snapshots(spark, d, k: int = 60, most: int = 300) -> dict[str, tuple[DataFrame, DataFrame]]:
-    _, _, _, p = kg(spark, d)
-    r = V.relations(spark, d)
-    return {
-        "GE": G.graph_ge(p, k, most), "GET": G.graph_get(p, T.before_edges(p), k, most), "EE": G.graph_ee(T.relation_summary(r), k, most),
-        "EE_EVO": G.graph_ee_evo(T.relation_states(r)), "EVENT_EVO": G.graph_event_evo(V.event_edges(spark, d), k, most),
-    }
+    return N.snapshot_all(kg(spark, d)[3], V.relations(spark, d), V.event_edges(spark, d), path, 60, 300).drop("params")
 
 
 def a13(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -146,6 +147,25 @@ def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/meta").select("graph_type", "n_nodes", "n_edges")
 
 
+def snapshot_all(participants: DataFrame, relations: DataFrame, edges: DataFrame, path: str, top_nodes: int = 500, max_edges: int = 5000) -> DataFrame:
+    """All five graphs written under path with their counts and parameters, then listed with both.
+
+    participants(event_id, entity_id, time), relations as temporal.relation_states takes them, edges of events.
+    """
+    from newsloom.operators import graph as G
+    from newsloom.operators import temporal as T
+
+    graphs = {
+        "GE": G.graph_ge(participants, top_nodes, max_edges), "GET": G.graph_get(participants, T.before_edges(participants), top_nodes, max_edges),
+        "EE": G.graph_ee(T.relation_summary(relations), top_nodes, max_edges), "EE_EVO": G.graph_ee_evo(T.relation_states(relations)),
+        "EVENT_EVO": G.graph_event_evo(edges, top_nodes, max_edges),
+    }
+    params = json.dumps({"top_nodes": top_nodes, "max_edges": max_edges})
+    for name, (nodes, links) in graphs.items():
+        write_snapshot(nodes, links, name, path, params)
+    return participants.sparkSession.read.parquet(f"{path}/meta").select("graph_type", "n_nodes", "n_edges", "params")
+
+
 # ---------------------------------------------------------------- page text
 
 # Elements whose text is left out, and elements that end a line.

@@ -1,4 +1,6 @@
 import hashlib
+import random
+from difflib import SequenceMatcher
 
 from helpers import DATA, rows
 from pyspark.sql import functions as F
@@ -85,3 +87,85 @@ def test_chains_of_near_rows(spark):
 def test_equal_names_follow_the_first(spark):
     n = spark.createDataFrame([(1, "Anna Smith"), (2, "Bob Jones"), (3, "Anna Smyth"), (4, "Anna Smyth"), (5, "Bob Jones")], "id long, name string")
     assert rows(dedup.precluster(n, 0.93)) == [(1, 1), (2, 2), (3, 1), (4, 1), (5, 2)]
+
+
+def greedy(texts, near):
+    """Each id's leader, row after row."""
+    leaders, out = [], []
+    for i, t in texts:
+        lead = next((j for j, u in leaders if near(u, t)), i)
+        if lead == i:
+            leaders.append((i, t))
+        out.append((i, lead))
+    return sorted(out)
+
+
+def variants(n, seed=7):
+    """Texts of few words with letters changed anywhere, the first ones too, repeats, an empty one and other scripts."""
+    r = random.Random(seed)
+    base = ["the storm hit the northern coast", "a vote was held in parliament", "Anna Maria Smith", "Acme Corp.", "北京大学", "aab"]
+    out = ["", "Acme-Corp", "ACME corp", "北京 大学"]
+    while len(out) < n:
+        t = list(r.choice(base))
+        for _ in range(r.randrange(5)):
+            i = r.randrange(len(t))
+            t[i : i + r.randrange(2)] = r.choice("abst 1北")
+        out.append("".join(t))
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_events_merge_as_row_after_row(spark):
+    texts = variants(150)
+    e = spark.createDataFrame([(i, t or None, ["x"], "s") for i, t in texts], "id long, abstract string, entities array<string>, source string")
+    for least in (0.6, 0.8):
+        want = greedy(texts, lambda u, t: SequenceMatcher(None, t, u).ratio() >= least)  # noqa: B023
+        n = {}
+        for _, lead in want:
+            n[lead] = n.get(lead, 0) + 1
+        assert rows(dedup.merge_similar_events(e, least).select("leader", "n")) == rows(spark.createDataFrame(list(n.items()), "leader long, n long"))
+    assert dedup.merge_similar_events(e.limit(0)).count() == 0
+
+
+def h14(a, b):
+    letters = lambda t: "".join(c for c in t if c.isalnum() or c == "_").lower()
+    han = lambda t: any("\u4e00" <= c <= "\u9fff" for c in t)
+    if a == b:
+        return 1.0
+    if letters(a) and letters(a) == letters(b):
+        return 0.98
+    jw = dedup.jaro_winkler_of(a.lower(), b.lower())
+    return jw * 0.3 if han(a) != han(b) else jw
+
+
+def test_names_cluster_as_row_after_row(spark):
+    texts = variants(150, 11)
+    n = spark.createDataFrame([*texts, (900, None)], "id long, name string")
+    for least in (0.75, 0.93):
+        want = greedy(texts, lambda u, t: h14(u, t) >= least)  # noqa: B023
+        assert sorted(tuple(r) for r in dedup.precluster(n, least).collect()) == want
+    e = spark.createDataFrame([(1, "Storm hits", "the coast"), (2, "storm hits", "the coasts"), (3, "Vote", None)], "id long, abstract string, summary string")
+    assert rows(dedup.precluster_events(e)) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_first_fit_is_exact_over_components(spark):
+    r = random.Random(3)
+    day = [r.randrange(60) for _ in range(120)]
+    events = [(f"e{i:03}", d, sorted({f"x{r.randrange(40)}" for _ in range(r.randrange(4))})) for i, d in enumerate(day)]
+    e = spark.createDataFrame(events, "event_id string, day int, entities array<string>").select("event_id", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(day)").alias("time"), "entities")
+    for overlap, most in ((0, 6), (1, 3), (2, 50)):
+        buckets = []
+        for ident, d, ents in sorted(events, key=lambda x: (x[1], x[0])):
+            for b in buckets:
+                if len(b["ids"]) < most and d - b["hi"] <= 2 and (overlap == 0 or len(b["e"] & set(ents)) >= overlap):
+                    break
+            else:
+                b = {"ids": set(), "e": set(), "hi": d}
+                buckets.append(b)
+            b["ids"].add(ident)
+            b["e"] |= set(ents)
+            b["hi"] = d
+        got = {}
+        for ident, b in dedup.bucket_events(e, 2, overlap, most).collect():
+            got.setdefault(b, set()).add(ident)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(b["ids"]) for b in buckets)

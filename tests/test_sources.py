@@ -1,10 +1,10 @@
 import json
 
-from helpers import rows
+from helpers import DATA, rows
 from pyspark.sql import functions as F
 
 from newsloom.operators import resolve
-from newsloom.sources import news
+from newsloom.sources import news, views
 
 
 def test_malformed_lines_are_left_out(spark, tmp_path):
@@ -73,3 +73,12 @@ def test_responses_with_a_fence(spark):
     c = resolve.clean_extractions(ok).first()
     assert c["entities"] == ["x", "y"] and [(r["subject"], r["relation_kind"]) for r in c["relations"]] == [("x", "event")]
     assert [r["id"] for r in bad.collect()] == [2]
+
+
+def test_all_snapshots_keep_their_parameters(spark, tmp_path):
+    from newsloom.plans.graph import kg
+
+    got = news.snapshot_all(kg(spark, DATA)[3], views.relations(spark, DATA), views.event_edges(spark, DATA), str(tmp_path), 50, 200)
+    got = {r["graph_type"]: r for r in got.collect()}
+    assert sorted(got) == ["EE", "EE_EVO", "EVENT_EVO", "GE", "GET"]
+    assert got["GE"]["n_nodes"] == 50 and got["GE"]["n_edges"] <= 200 and '"top_nodes": 50' in got["EE"]["params"]

@@ -185,8 +185,8 @@ def block_cross_type(groups: DataFrame) -> DataFrame:
 
 
 def choose_primary(groups: DataFrame) -> DataFrame:
-    """Of each leader's group the primary: Chinese names first, then the earliest, the shortest, the name."""
-    order = F.struct((~expr.is_chinese(F.col("name"))).cast("int"), "first_seen", F.length("name"), "name")
+    """Of each leader's group the primary: Chinese names first, then the earliest, the shortest, the name, the id."""
+    order = F.struct((~expr.is_chinese(F.col("name"))).cast("int"), "first_seen", F.length("name"), "name", "id")
     return groups.groupBy("leader").agg(F.min_by("id", order).alias("primary"))
 
 

@@ -15,6 +15,11 @@ from newsloom.sources import views as V
 tt = lambda c: expr.ts_text(F.col(c)).alias(c)
 #: Part names as entity forms: 64 names among them.
 FORM = "form AS (SELECT p_partkey AS id, upper(p_name[1]) || p_name[2:] || CASE WHEN p_partkey % 2 = 0 THEN ' .' ELSE '' END AS form, p_name FROM part)"
+#: The similarity of two texts of ASCII letters, and greedy leaders over first(id, t): each text's earliest leader that is similar.
+LIKE = "(CASE WHEN {0} = {1} THEN 1.0 WHEN regexp_replace(lower({0}), '\\W', '', 'g') = regexp_replace(lower({1}), '\\W', '', 'g') THEN 0.98 ELSE jaro_winkler_similarity(lower({0}), lower({1})) END >= 0.93)"
+LED = f"""heads AS (SELECT list_reduce(list([t] ORDER BY id), lambda acc, x: CASE WHEN len(list_filter(acc, lambda h: {LIKE.format('h', 'x[1]')})) > 0 THEN acc ELSE list_concat(acc, x) END) AS h FROM first),
+led AS (SELECT f.id, f.t, min(m.id) AS leader FROM first f JOIN (SELECT unnest(h) AS t FROM heads) USING (t) JOIN first m ON m.id = f.id GROUP BY ALL
+  UNION SELECT f.id, f.t, min(m.id) AS leader FROM first f, (SELECT first.* FROM first JOIN (SELECT unnest(h) AS t FROM heads) USING (t)) m WHERE m.id < f.id AND f.t NOT IN (SELECT unnest(h) FROM heads) AND {LIKE.format('m.t', 'f.t')} GROUP BY ALL)"""
 CLOSED = "closed AS (SELECT from_id, 0::BIGINT AS to_id FROM redirect)"
 
 
@@ -81,12 +86,18 @@ def i3(spark, d):
     return D.precluster(n)
 
 
+I3 = sql("SELECT id, leader FROM led", "first AS (SELECT min(p_partkey) AS id, p_name AS t FROM part GROUP BY p_name)", LED)
+
+
 def i3b(spark, d):
     m = V.mentions(spark, d)
     e = m.groupBy("abstract").agg(F.min("seq").alias("id"), F.min("source").alias("summary"))
     return D.precluster_events(e)
 
 
+I3B = sql("SELECT id, leader FROM led", MENTION, "first AS (SELECT min(seq) AS id, lower(abstract || ' ' || min(source)) AS t FROM mention GROUP BY abstract)", LED)
+
+
 def i4(spark, d):
     return R.block_cross_type(groups(spark, d)).select("leader", "id")
 
@@ -282,6 +293,11 @@ def i18(spark, d):
     return R.merge_entities(e, R.resolve_redirects(plan)).select("entity_id", "name", F.size("aliases").alias("n_aliases"))
 
 
+I18 = sql(""", g AS (SELECT id, form, p_name, min(id) OVER (PARTITION BY p_name) AS a, min(id) FILTER (id % 2 = 0) OVER (PARTITION BY p_name) AS even FROM form),
+t AS (SELECT *, CASE WHEN a % 2 = 0 THEN a WHEN id % 2 = 0 THEN id ELSE coalesce(even, a) END AS entity_id FROM g)
+SELECT entity_id, max(form) FILTER (id = entity_id) AS name, count(DISTINCT form)::INT AS n_aliases FROM t GROUP BY entity_id""", FORM)
+
+
 def i19(spark, d):
     p = V.table(spark, d, "part")
     e = p.select(F.col("p_partkey").cast("string").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_size").alias("first_seen"))
@@ -289,6 +305,12 @@ def i19(spark, d):
     return R.refresh(e, decided, spark.createDataFrame([("x", "y")], "alias string, primary string"))
 
 
+I19 = sql(""", best AS (SELECT leader, arg_min(e.id, (size, length(e.t), e.t, e.id)) AS best FROM e JOIN led USING (t) GROUP BY leader),
+m AS (SELECT e.id AS from_id, best AS to_id FROM e JOIN led USING (t) JOIN best USING (leader) WHERE e.id <> best)
+SELECT * FROM m UNION ALL SELECT p_partkey::VARCHAR, coalesce((SELECT to_id FROM m WHERE from_id = '1'), '1') FROM part WHERE p_partkey::VARCHAR LIKE '1_'""",
+    "e AS (SELECT p_partkey::VARCHAR AS id, p_name AS t, p_size AS size FROM part WHERE p_partkey::VARCHAR NOT LIKE '1_')", "first AS (SELECT min(id) AS id, t FROM e GROUP BY t)", LED)
+
+
 def responses(spark, d):
     r = V.relations(spark, d)
     ev = r.groupBy("event").agg(F.array_sort(F.collect_set("subject")).alias("s"), F.array_sort(F.collect_set("object")).alias("o"), F.array_sort(F.collect_list(F.struct("line", F.struct("subject", "predicate", "object", F.lit("state").alias("relation_kind"), F.array("evidence").alias("evidence"))))).alias("rel"))

@@ -117,6 +117,10 @@ def k10(spark, d):
     return N.enrich_fulltext(n, N.main_text(V.table(spark, d, "pages"))).select("id", F.length("content").cast("long").alias("n"))
 
 
+K10 = f"""SELECT p.page_id AS id, CASE WHEN length(t.text) >= 200 AND length(t.text) > length(p.url[:300]) THEN length(t.text) ELSE length(p.url[:300]) END AS n
+FROM pages p LEFT JOIN ({K9}) t ON p.url = t.url"""
+
+
 def m2(spark, d):
     """The standard event pipeline: validate, clean, mark errors, truncate."""
     x = extracted(spark, d)

@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 from helpers import DATA, rows
 from pyspark.sql import functions as F
 
+from newsloom.functions import expr
 from newsloom.operators import dedup, resolve
 from newsloom.sources import views
 
@@ -169,3 +170,32 @@ def test_first_fit_is_exact_over_components(spark):
         for ident, b in dedup.bucket_events(e, 2, overlap, most).collect():
             got.setdefault(b, set()).add(ident)
         assert sorted(map(sorted, got.values())) == sorted(sorted(b["ids"]) for b in buckets)
+
+
+def test_pairs_similar_against_all_pairs(spark):
+    names = ["Harbour storm", "harbour  storm", "Harbour storms", "Harbour star", "Harbours", "", None, "Harbour storm", "Market storm"]
+    got = resolve.pairs_similar(spark.createDataFrame(list(enumerate(names)), "id int, name string"))
+    plain = [(n or "").strip().lower().replace(" ", "") for n in names]
+    want = []
+    for a in range(len(names)):
+        for b in range(a + 1, len(names)):
+            score = SequenceMatcher(None, plain[a], plain[b]).ratio()
+            if plain[a][:6] == plain[b][:6] and score >= 0.92:
+                want.append((a, b, round(score, 9)))
+    assert sorted((r.a, r.b, round(r.score, 9)) for r in got.collect()) == want
+    assert (0, 2, round(24 / 25, 9)) in want
+
+
+def test_history_is_skipped_before_the_fingerprints(spark):
+    texts = ["one two three four", "one two three four", "five six seven", None]
+    news = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "id int, source string, content string")
+    done = spark.createDataFrame([("s", "0")], "source string, id string").select(expr.global_id(F.col("source"), F.col("id")).alias("global_id"))
+    kept, counts = dedup.dedup_with_history(news, done)
+    assert sorted(r.id for r in kept.collect()) == [1, 2]  # the first text's copy now comes first
+    assert [tuple(r) for r in counts.collect()] == [(4, 2, 2)]
+
+
+def test_primary_of_equal_names_is_the_smallest_id(spark):
+    rows = [("g", i, "Name", 3) for i in (7, 2, 5)]
+    got = resolve.choose_primary(spark.createDataFrame(rows, "leader string, id int, name string, first_seen int"))
+    assert [r.primary for r in got.collect()] == [2]

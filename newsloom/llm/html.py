@@ -9,17 +9,17 @@ and scored where they lie, with no shuffle.
 from __future__ import annotations
 
 import random
+import sys
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import dom
+from newsloom.llm.trees import Trees, boosted, kept
 from newsloom.llm.util import arrow_map, materialize, table
 
 #: In front of every piece of text that does not belong to the article, in training pages only.
@@ -164,52 +164,14 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), flat), pa.array(y)], ["x", "label"])
 
 
-class Trees:
-    """Boosted trees as arrays: feature (-1: leaf), threshold, left, right, value; one row per tree."""
-
-    def __init__(self, trees: list[list[tuple[int, float, int, int, float]]], weights: list[float]):
-        size = max(map(len, trees))
-        pad = [t + [(-1, 0.0, 0, 0, 0.0)] * (size - len(t)) for t in trees]
-        self.feature = np.array([[n[0] for n in t] for t in pad])
-        self.threshold = np.array([[n[1] for n in t] for t in pad])
-        self.next = np.array([[(n[3], n[2]) for n in t] for t in pad])
-        self.value = np.array([[n[4] for n in t] for t in pad])
-        self.weights = np.array(weights)
-
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        margin, row = np.zeros(len(x)), np.arange(len(x))
-        for k, w in enumerate(self.weights):
-            at = np.zeros(len(x), np.int64)
-            while True:
-                f = self.feature[k, at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                at = np.where(inner, self.next[k, at, (x[row, np.maximum(f, 0)] <= self.threshold[k, at]).astype(int)], at)
-            margin += w * self.value[k, at]
-        return 1 / (1 + np.exp(-2 * margin))
+def train(spark: SparkSession, pages: int = 800, rounds: int = 36, depth: int = 5, seed: int = 7) -> Trees:
+    """Boosted trees from `pages` generated pages, kept in the shared folder."""
 
+    def fit() -> Trees:
+        rows = materialize(arrow_map(spark.range(seed * 10**6, seed * 10**6 + pages, 1, 8), _training, "x array<double>, label double"), "nodes")
+        return boosted(rows, rounds, depth, seed)
 
-def train(spark: SparkSession, pages: int = 800, rounds: int = 36, depth: int = 5, seed: int = 7) -> Trees:
-    """Boosted trees from `pages` generated pages."""
-    rows = materialize(arrow_map(spark.range(seed * 10**6, seed * 10**6 + pages, 1, 8), _training, "x array<double>, label double"), "nodes")
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.35, seed=seed, maxBins=64, cacheNodeIds=False).fit(rows.select(array_to_vector("x").alias("features"), "label"))
-
-    def flat(node, out: list) -> int:
-        at = len(out)
-        out.append(None)
-        if node.getClass().getSimpleName() == "LeafNode":
-            out[at] = (-1, 0.0, 0, 0, node.prediction())
-        else:
-            split = node.split()
-            out[at] = (split.featureIndex(), split.threshold(), flat(node.leftChild(), out), flat(node.rightChild(), out), 0.0)
-        return at
-
-    trees = []
-    for tree in model._java_obj.trees():
-        flat(tree.rootNode(), own := [])
-        trees.append(own)
-    return Trees(trees, list(model.treeWeights))
+    return kept(spark, f"html-{pages}-{rounds}-{depth}-{seed}", fit, dom, sys.modules[__name__])
 
 
 def main_text(page: str | None, trees: Trees) -> str:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import expr
 from newsloom.functions.shared import settle, ship
+from newsloom.operators.components import components
 
 # ---------------------------------------------------------------- similarity
 
@@ -277,21 +278,12 @@ def precluster_events(events: DataFrame, least: float = 0.93, most: int | None =
 # ---------------------------------------------------------------- first-fit buckets
 
 
-def components(members: DataFrame) -> DataFrame:
-    """members(id, key) -> (id, label): the smallest id reachable through shared keys.
-
-    Each round takes the smallest label of a row's keys, then the label of that row (pointer jumping), until none falls.
-    """
-    members = settle(members.distinct())
-    label = settle(members.groupBy("id").agg(F.min("id").alias("label")))
-    while True:
-        low = members.join(label, "id").groupBy("key").agg(F.min("label").alias("low"))
-        met = members.join(low, "key").groupBy("id").agg(F.min("low").alias("low"))
-        jump = label.select(F.col("id").alias("low"), F.col("label").alias("further"))
-        new = settle(met.join(jump, "low").select("id", F.least("low", "further").alias("label")))
-        if not new.join(label.withColumnRenamed("label", "was"), "id").where("label < was").limit(1).count():
-            return new
-        label = new
+def linked(members: DataFrame) -> DataFrame:
+    """members(id, key) -> (id, label): the smallest id reachable through shared keys. A key of any size is a star, not a clique."""
+    members = settle(members.where("id is not null").distinct())
+    first = members.where("key is not null").groupBy("key").agg(F.min("id").alias("b"))
+    label = components(members.join(first, "key").select(F.col("id").alias("a"), "b"))
+    return members.select("id").distinct().join(label.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
 def _first_fit(days: int, overlap: int, most: int):
@@ -327,6 +319,6 @@ def bucket_events(events: DataFrame, days: int = 7, overlap: int = 1, most: int
     e = e.join(part, "day").drop("day").withColumn("part", F.col("part").cast("string"))
     if overlap > 0:
         e = settle(e)
-        linked = components(e.select(F.col("event_id").alias("id"), F.explode("entities").alias("entity"), "part").select("id", F.struct("part", "entity").alias("key")))
-        e = e.join(linked.withColumnRenamed("id", "event_id"), "event_id", "left").withColumn("part", F.concat_ws("/", "part", F.coalesce("label", "event_id"))).drop("label")
+        tied = linked(e.select(F.col("event_id").alias("id"), F.explode("entities").alias("entity"), "part").select("id", F.struct("part", "entity").alias("key")))
+        e = e.join(tied.withColumnRenamed("id", "event_id"), "event_id", "left").withColumn("part", F.concat_ws("/", "part", F.coalesce("label", "event_id"))).drop("label")
     return e.groupBy("part").applyInPandas(ship(_first_fit)(days, overlap, most), "event_id string, bucket string")

@@ -18,9 +18,14 @@ def relation_states(relations: DataFrame, algorithm: str = "timeline") -> DataFr
     Per triple by (time, event, line). state_text is capped at 240 characters, quote at 180.
     """
     w = W.partitionBy(*TRIPLE).orderBy("time", "event", "line")
-    to = F.when(F.col("kind") == "state", F.lead("time").over(w)).otherwise(F.col("time"))
+    return states_of(relations.withColumn("next", F.lead("time").over(w)), algorithm)
+
+
+def states_of(rows: DataFrame, algorithm: str = "timeline") -> DataFrame:
+    """The states of relation rows that know the time of their triple's next row."""
+    to = F.when(F.col("kind") == "state", F.col("next")).otherwise(F.col("time"))
     text = F.substring(F.concat_ws(" ", *TRIPLE, "evidence"), 1, 240)
-    s = relations.select(*TRIPLE, "kind", "event", "line", F.col("time").alias("valid_from"), to.alias("valid_to"), text.alias("state_text"), F.substring("evidence", 1, 180).alias("quote"))
+    s = rows.select(*TRIPLE, "kind", "event", "line", F.col("time").alias("valid_from"), to.alias("valid_to"), text.alias("state_text"), F.substring("evidence", 1, 180).alias("quote"))
     ident = expr.state_id(*[F.col(c) for c in TRIPLE], expr.ts_text(F.col("valid_from")), expr.ts_text(F.col("valid_to")), F.col("state_text"), F.lit(algorithm), F.lit(0))
     return s.withColumn("state_id", ident).withColumn("algorithm", F.lit(algorithm)).withColumn("revision", F.lit(0))
 

@@ -197,17 +197,20 @@ L1 = sql("SELECT source || ':' || id AS global_id, language FROM news", NEWS)
 
 def l2(spark, d):
     path = folder(spark, "upserts")
-    S.run_once(V.mentions_of(following(spark, d, "events")), S.upsert_batches(spark, path), f"{path}/log")
-    return S.Table(spark, f"{path}/entities").read().select("entity_id", "name", tt("first_seen"), tt("last_seen"))
+    log = S.Log(spark, f"{path}/entities")
+    S.run_once(S.stream_upserts(V.mentions_of(following(spark, d, "events")), log), S.following(log, f"{path}/log"), f"{path}/log")
+    return S.entities(log).select("entity_id", "name", tt("first_seen"), tt("last_seen"), F.array_join("sources", ",").alias("sources"))
 
 
-L2 = sql(f"SELECT entity_id, name, {ts('ent.first_seen')} AS first_seen, {ts('ent.last_seen')} AS last_seen FROM ent", KG)
+L2 = sql(f"""SELECT entity_id, name, {ts('ent.first_seen')} AS first_seen, {ts('ent.last_seen')} AS last_seen, sources FROM ent
+JOIN (SELECT entity AS name, string_agg(source, ',' ORDER BY s) AS sources FROM (SELECT entity, source, min(seq) AS s FROM mention GROUP BY ALL) GROUP BY entity) USING (name)""", KG)
 
 
 def l3(spark, d):
     path = folder(spark, "states")
-    S.run_once(V.relations(spark, d, following(spark, d, "lineitem")), S.state_batches(spark, path), f"{path}/log")
-    return S.Table(spark, f"{path}/states").read().select("event", "line", tt("valid_from"), tt("valid_to"))
+    log = S.Log(spark, f"{path}/states")
+    S.run_once(S.stream_states(V.relations(spark, d, following(spark, d, "lineitem")), log), S.following(log, f"{path}/log"), f"{path}/log")
+    return S.states(log).select("event", "line", tt("valid_from"), tt("valid_to"))
 
 
 L3 = sql(f"SELECT event, line, {ts('valid_from')} AS valid_from, {ts('valid_to')} AS valid_to FROM st", REL, STATES)
@@ -215,8 +218,9 @@ L3 = sql(f"SELECT event, line, {ts('valid_from')} AS valid_from, {ts('valid_to')
 
 def l4(spark, d):
     path = folder(spark, "processed")
-    S.run_once(V.news_of(following(spark, d, "documents")), S.processed_batches(spark, path, lambda n: n.where("language is not null").select("global_id", "language")), f"{path}/log")
-    return S.Table(spark, f"{path}/processed_ids").read().select("global_id")
+    log = S.Log(spark, f"{path}/extracted")
+    S.run_once(V.news_of(following(spark, d, "documents")), S.processed_batches(log, f"{path}/log", lambda n: n.where("language is not null").select("global_id", "language")), f"{path}/log")
+    return log.read().select("global_id")
 
 
 L4 = sql("SELECT source || ':' || id AS global_id FROM news WHERE language IS NOT NULL", NEWS)

@@ -1,49 +1,84 @@
 """Structured Streaming versions of the ingest jobs.
 
-Batches are merged into Parquet tables of one writer: each batch writes a new version of what it
-changes and then moves the pointer to it, so a batch that is replayed after a failure changes nothing.
+Upserts (L2) and relation states (L3) are keyed state: each entity and each triple keeps what it needs
+in the state store, and a batch touches only the keys that it has rows of. What changes is appended to
+a log with a revision per key; the table is the last revision of each. A batch's folder is named after its query and its
+number, so a batch that is replayed after a failure replaces itself, and a query with a new
+checkpoint never meets the names of an older one. Such a query starts from the table as it is.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from newsloom.functions import expr
+from newsloom.functions.shared import file_system, ship_package
 from newsloom.operators import ingest, temporal
 
 
-class Table:
-    """Versions of one table under a path that all machines share; the log holds a line per batch."""
+class Log:
+    """An append-only table under a path that all machines share: a folder per query and batch, complete or not there."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        self._fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs, self._at = file_system(spark, path)
 
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def versions(self) -> list[int]:
-        if not self._fs.exists(self._path("")):
+    def batches(self) -> list[str]:
+        if not self._fs.exists(self._at(self.path)):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and self._fs.exists(self._path(f"{n}/_SUCCESS")))
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(self.path))]
+        return sorted(n for n in names if self._fs.exists(self._at(f"{self.path}/{n}/_SUCCESS")))
 
     def read(self) -> DataFrame | None:
-        have = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v{have[-1]}") if have else None
+        have = self.batches()
+        return self.spark.read.parquet(*[f"{self.path}/{n}" for n in have]) if have else None
+
+    def done(self, query: str, batch: int) -> bool:
+        return f"{query}-{batch}" in self.batches()
+
+    def write(self, df: DataFrame, query: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{query}-{batch}")
+
+    def latest(self, keys: list[str]) -> DataFrame | None:
+        """The last revision of each key."""
+        log = self.read()
+        return None if log is None else log.groupBy(*keys).agg(F.max_by(F.struct("*"), "rev").alias("_r")).select("_r.*")
+
+
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query that a checkpoint belongs to: it outlives restarts, and each new checkpoint has another."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+
+
+def following(log: Log, checkpoint: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends each batch to a log."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        log.write(batch, query_id(log.spark, checkpoint), batch_id)
+
+    return run
+
 
-    def done(self, batch: int) -> bool:
-        return batch in self.versions()
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{batch}")
-        for old in self.versions()[:-2]:
-            self._fs.delete(self._path(f"v{old}"), True)
+
+def run_once(stream: DataFrame, batch, checkpoint: str) -> dict:
+    """Process all that is there, then stop; returns the last progress."""
+    conf, (name, store) = stream.sparkSession.conf, STORE
+    before = conf.get(name, None)
+    conf.set(name, store)
+    try:
+        q = stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+    return json.loads(q.lastProgress.json) if q.lastProgress else {}
 
 
 def stream_news(news: DataFrame, time: str = "published_at", late: str = "1 hour") -> DataFrame:
@@ -52,55 +87,175 @@ def stream_news(news: DataFrame, time: str = "published_at", late: str = "1 hour
     return n.withWatermark(time, late).dropDuplicatesWithinWatermark(["global_id"])
 
 
-def upsert_batches(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """L2: a foreachBatch function that merges mentions into entities under path/entities, in any order of arrival."""
-    table = Table(spark, f"{path}/entities")
+# ---------------------------------------------------------------- L2
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if not table.done(batch_id):
-            table.write(ingest.upsert_entities(table.read(), ingest.entity_rows(batch)), batch_id)
 
-    return run
+class _Entity(StatefulProcessor):
+    """An entity's name by its last mention, its times, and the first mention of each source and form."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.one = handle.getValueState("one", "name string, seq long, first_seen timestamp, last_seen timestamp, rev long")
+        self.sources = handle.getMapState("sources", "item string", "seq long")
+        self.forms = handle.getMapState("forms", "item string", "seq long")
 
-def state_batches(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """L3: a foreachBatch function that adds relations and rebuilds the states of the touched triples only."""
-    rel, st = Table(spark, f"{path}/relations"), Table(spark, f"{path}/states")
+    def _merge(self, rows: pd.DataFrame, state: tuple | None) -> tuple:
+        last = rows.loc[rows["seq"].idxmax()]
+        name, seq, lo, hi = last["name"], int(last["seq"]), rows["first_seen"].min(), rows["last_seen"].max()
+        rev = 0
+        if state is not None:
+            rev, lo, hi = state[4], min(lo, state[2]), max(hi, state[3])
+            if state[1] > seq:
+                name, seq = state[0], state[1]
+        for column, items in (("source", self.sources), ("form", self.forms)):
+            for item, at in rows.groupby(column)["seq"].min().items():
+                old = items.getValue((item,)) if items.containsKey((item,)) else None
+                if old is None or at < old[0]:
+                    items.updateValue((item,), (int(at),))
+        return name, seq, lo, hi, rev
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if not rel.done(batch_id):
-            old = rel.read()
-            rel.write(batch if old is None else old.unionByName(batch), batch_id)
-        if st.done(batch_id):
-            return
-        touched = batch.select(*temporal.TRIPLE).distinct()
-        new = temporal.relation_states(rel.read().join(touched, temporal.TRIPLE, "left_semi"))
-        old = st.read()
-        st.write(new if old is None else old.join(touched, temporal.TRIPLE, "left_anti").unionByName(new), batch_id)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = tuple(self.one.get()) if self.one.exists() else None
+        for part in rows:
+            state = self._merge(part, state)
+        state = (*state[:4], state[4] + 1)
+        self.one.update(state)
+        lists = [sorted((seq[0], item[0]) for item, seq in items.iterator()) for items in (self.sources, self.forms)]
+        out = {"entity_id": [key[0]], "name": [state[0]], "seq": [state[1]], "first_seen": [state[2]], "last_seen": [state[3]], "rev": [state[4]]}
+        for column, pairs in zip(("sources", "forms"), lists, strict=True):
+            out[column], out[f"{column}_seq"] = [[i for _, i in pairs]], [[s for s, _ in pairs]]
+        yield pd.DataFrame(out)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for r in initialState.itertuples():
+            self.one.update((r.name, int(r.seq), r.first_seen, r.last_seen, int(r.rev)))
+            for items, seqs, state in ((r.sources, r.sources_seq, self.sources), (r.forms, r.forms_seq, self.forms)):
+                for item, seq in zip(items, seqs, strict=True):
+                    state.updateValue((item,), (int(seq),))
+
+    def close(self) -> None:
+        pass
+
+
+ENTITY = "entity_id string, name string, seq long, first_seen timestamp, last_seen timestamp, rev long, sources array<string>, sources_seq array<long>, forms array<string>, forms_seq array<long>"
 
-    return run
 
+def _instants(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in columns})
 
-def processed_batches(spark: SparkSession, path: str, extract: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+
+def stream_upserts(mentions: DataFrame, log: Log) -> DataFrame:
+    """L2: the entities that each batch changes, merged with all before, in any order of arrival. A new query goes on from the log's table.
+
+    Mentions without an entity go; sources and forms that are null are not listed.
+    """
+    ship_package(log.spark)
+    rows = _instants(ingest.entity_rows(mentions.where("entity is not null")), "first_seen", "last_seen")
+    known = log.latest(["entity_id"])
+    start = None if known is None else known.groupBy("entity_id")
+    return rows.groupBy("entity_id").transformWithStateInPandas(_Entity(), ENTITY, "Update", "None", start)
+
+
+def entities(log: Log) -> DataFrame:
+    """The table of L2: as ingest.upsert_entities gives it."""
+    return log.latest(["entity_id"]).select("entity_id", "name", "first_seen", "last_seen", "sources", "forms")
+
+
+# ---------------------------------------------------------------- L3
+
+_ROW = "time timestamp, event long, line long"
+STATE = "subject string, predicate string, object string, time timestamp, event long, line long, kind string, evidence string, next timestamp, rev long"
+
+
+class _Triple(StatefulProcessor):
+    """A triple's rows in order; a row comes out when it is new or when what follows it has changed.
+
+    With a watermark, rows before it can get no new follower: only the last of them stays, by a timer if no more rows come.
+    """
+
+    def __init__(self, bounded: bool):
+        self.bounded = bounded
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getMapState("rows", _ROW, "kind string, evidence string, rev long")
+
+    def _known(self) -> dict[tuple, list]:
+        return {tuple(k): list(v) for k, v in self.rows.iterator()}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self._known()
+        order = sorted(known)
+        follower = dict(zip(order, [*order[1:], None], strict=False))
+        for part in rows:
+            for r in part.itertuples():
+                known[(r.time, int(r.event), int(r.line))] = [r.kind, r.evidence, known.get((r.time, int(r.event), int(r.line)), (0, 0, 0))[2]]
+        order, out = sorted(known), []
+        for k, after in zip(order, [*order[1:], None], strict=True):
+            if k not in follower or (follower[k] or (None,))[0] != (after or (None,))[0]:
+                kind, evidence, rev = known[k]
+                known[k] = [kind, evidence, rev + 1]
+                self.rows.updateValue(k, tuple(known[k]))
+                out.append((*key, *k, kind, evidence, after[0] if after else pd.NaT, rev + 1))
+        if self.bounded:
+            self._forget(order, timerValues)
+            self.handle.registerTimer(int(order[-1][0].timestamp() * 1000) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
+
+    def _forget(self, order: list[tuple], timerValues) -> None:
+        mark = timerValues.getCurrentWatermarkInMs()
+        for k, after in zip(order, order[1:], strict=False):
+            if after[0].timestamp() * 1000 < mark:
+                self.rows.removeKey(k)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._forget(sorted(self._known()), timerValues)
+        return iter(())
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for r in initialState.itertuples():
+            self.rows.updateValue((r.time, int(r.event), int(r.line)), (r.kind, r.evidence, int(r.rev)))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_states(relations: DataFrame, log: Log, late: str | None = None) -> DataFrame:
+    """L3: the relation rows of each batch, and those whose next row it changes, with the time of the next row.
+
+    Without `late` every row of a triple is kept, and rows may come in any order. With it, rows that come later than
+    that are dropped (Spark counts them), and the state of a triple shrinks to one row when it is quiet.
+    """
+    ship_package(log.spark)
+    r = relations.select(*temporal.TRIPLE, F.col("time").cast("timestamp").alias("time"), F.col("event").cast("long").alias("event"), F.col("line").cast("long").alias("line"), "kind", "evidence")
+    r = r.withWatermark("time", late) if late else r
+    known = log.latest([*temporal.TRIPLE, "time", "event", "line"])
+    start = None if known is None else known.groupBy(*temporal.TRIPLE)
+    return r.groupBy(*temporal.TRIPLE).transformWithStateInPandas(_Triple(bool(late)), STATE, "Update", "EventTime" if late else "None", start)
+
+
+def states(log: Log) -> DataFrame:
+    """The table of L3: as temporal.relation_states gives it."""
+    last = log.latest([*temporal.TRIPLE, "time", "event", "line"])
+    return temporal.states_of(last.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("time", "next")}))
+
+
+# ---------------------------------------------------------------- L4, L5
+
+
+def processed_batches(log: Log, checkpoint: str, extract: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """L4: a foreachBatch function that extracts from unprocessed news and marks only what succeeded; failures come again.
 
-    extract(news with global_id) -> rows with global_id of what succeeded.
+    extract(news with global_id) -> rows with global_id of what succeeded. The rows are the marks, so no crash can part them.
     """
-    ids, out = Table(spark, f"{path}/processed_ids"), Table(spark, f"{path}/extracted")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if ids.done(batch_id):
+        query = query_id(log.spark, checkpoint)
+        if log.done(query, batch_id):
             return
-        if out.done(batch_id):  # the batch failed between the two tables: only the marks are missing
-            ids.write(out.read().select("global_id").distinct(), batch_id)
-            return
-        known = ids.read()
+        known = log.read()
         fresh = batch.withColumn("global_id", expr.global_id(F.col("source"), F.col("id").cast("string"))) if known is None else ingest.drop_processed(batch, known)
-        got = extract(fresh)
-        before = out.read()
-        out.write(got if before is None else before.unionByName(got), batch_id)
-        now = out.read().select("global_id").distinct()
-        ids.write(now, batch_id)
+        log.write(extract(fresh), query, batch_id)
 
     return run
 
@@ -110,10 +265,3 @@ def stream_sessions(relations: DataFrame, gap_days: int = 30, late: str = "0 sec
     r = relations.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", late)
     w = F.session_window("time", f"{gap_days} days")
     return r.groupBy(*temporal.TRIPLE, w.alias("w")).agg(F.min("time").alias("start"), F.max("time").alias("end"), F.count("*").alias("n")).drop("w")
-
-
-def run_once(stream: DataFrame, batch, checkpoint: str) -> dict:
-    """Process all that is there, then stop; returns the last progress."""
-    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return json.loads(q.lastProgress.json) if q.lastProgress else {}

@@ -27,50 +27,124 @@ def stream(spark, base, name, df):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(base / name))
 
 
-def test_upserts(spark, parts, tmp_path):
+def entity_rows(df):
+    return rows(df.select("entity_id", "name", F.col("first_seen").cast("string"), F.col("last_seen").cast("string"), "sources", "forms"))
+
+
+def state_rows(df):
+    return rows(df.select("state_id", "event", "line", F.col("valid_from").cast("string"), F.col("valid_to").cast("string"), "state_text"))
+
+
+def upsert(spark, mentions, log, checkpoint):
+    return jobs.run_once(jobs.stream_upserts(mentions, log), jobs.following(log, checkpoint), checkpoint)
+
+
+def relate(spark, relations, log, checkpoint, late=None):
+    return jobs.run_once(jobs.stream_states(relations, log, late), jobs.following(log, checkpoint), checkpoint)
+
+
+def test_upserts_in_three_batches(spark, parts, tmp_path):
     base, v = parts
-    jobs.run_once(stream(spark, base, "mentions", v["mentions"]), jobs.upsert_batches(spark, str(tmp_path)), str(tmp_path / "c"))
-    got = jobs.Table(spark, f"{tmp_path}/entities").read()
-    want = ingest.upsert_entities(None, ingest.entity_rows(v["mentions"]))
-    pick = lambda d: d.select("entity_id", "name", "first_seen", "last_seen", F.array_sort("sources").alias("s"))
-    assert rows(pick(got)) == rows(pick(want))
+    log = jobs.Log(spark, f"{tmp_path}/entities")
+    upsert(spark, stream(spark, base, "mentions", v["mentions"]), log, str(tmp_path / "c"))
+    assert len(log.batches()) >= 3
+    assert entity_rows(jobs.entities(log)) == entity_rows(ingest.upsert_entities(None, ingest.entity_rows(v["mentions"])))
 
 
-def test_states(spark, parts, tmp_path):
+def test_states_in_three_batches(spark, parts, tmp_path):
     base, v = parts
-    jobs.run_once(stream(spark, base, "relations", v["relations"]), jobs.state_batches(spark, str(tmp_path)), str(tmp_path / "c"))
-    pick = lambda d: d.select("state_id", "event", "line", "valid_from", "valid_to")
-    assert rows(pick(jobs.Table(spark, f"{tmp_path}/states").read())) == rows(pick(temporal.relation_states(v["relations"])))
+    log = jobs.Log(spark, f"{tmp_path}/states")
+    relate(spark, stream(spark, base, "relations", v["relations"]), log, str(tmp_path / "c"))
+    assert len(log.batches()) >= 3
+    assert state_rows(jobs.states(log)) == state_rows(temporal.relation_states(v["relations"]))
 
 
-def test_a_replayed_batch_changes_nothing(spark, parts, tmp_path):
+def test_a_restart_and_a_new_checkpoint(spark, parts, tmp_path):
+    """Batch numbers begin again with a new checkpoint; nothing may be lost or counted twice."""
+    _, v = parts
+    for name, df, run, table, batch in (
+        ("m", v["mentions"], upsert, lambda g: entity_rows(jobs.entities(g)), entity_rows(ingest.upsert_entities(None, ingest.entity_rows(v["mentions"])))),
+        ("r", v["relations"], relate, lambda g: state_rows(jobs.states(g)), state_rows(temporal.relation_states(v["relations"]))),
+    ):
+        log, source = jobs.Log(spark, f"{tmp_path}/{name}/log"), f"{tmp_path}/{name}/in"
+        piece = lambda k: df.where(F.pmod(F.xxhash64(*df.columns), F.lit(3)) == k).coalesce(1)  # noqa: E731, B023
+        following = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+        for k, checkpoint in ((0, "one"), (1, "one"), (2, "two")):
+            if checkpoint == "two":
+                source = f"{tmp_path}/{name}/more"
+            piece(k).write.mode("append").parquet(source)
+            run(spark, following.parquet(source), log, f"{tmp_path}/{name}/{checkpoint}")
+        assert len({n.rsplit("-", 1)[0] for n in log.batches()}) == 2
+        assert table(log) == batch
+
+
+def test_a_batch_changes_only_its_keys(spark, parts, tmp_path):
     _, v = parts
-    run = jobs.upsert_batches(spark, str(tmp_path))
-    run(v["mentions"], 0)
-    run(v["mentions"], 0)
-    assert jobs.Table(spark, f"{tmp_path}/entities").versions() == [0]
+    log, source, one = jobs.Log(spark, f"{tmp_path}/log"), str(tmp_path / "in"), str(tmp_path / "c")
+    r = v["relations"]
+    r.coalesce(1).write.mode("append").parquet(source)
+    relate(spark, spark.readStream.schema(r.schema).parquet(source), log, one)
+    before = set(log.batches())
+    r.limit(1).withColumn("event", F.lit(10**9).cast(r.schema["event"].dataType)).write.mode("append").parquet(source)
+    relate(spark, spark.readStream.schema(r.schema).parquet(source), log, one)
+    new = [n for n in log.batches() if n not in before]
+    assert sum(spark.read.parquet(f"{log.path}/{n}").count() for n in new) <= 2
+
+
+def test_state_shrinks_behind_the_watermark(spark, tmp_path):
+    kind = "subject string, predicate string, object string, time timestamp_ntz, event long, line long, kind string, evidence string"
+    log, source = jobs.Log(spark, f"{tmp_path}/log"), str(tmp_path / "in")
+    for k, days in enumerate(([1, 3, 2, 4], [40, 41], [5], [80])):
+        row = [f"('a', 'p', 'b', timestamp_ntz'2024-01-01' + interval {d} day, {d}L, 1L, 'state', 'e{d}')" for d in days]
+        spark.sql(f"select * from values {', '.join(row)} as t(subject, predicate, object, time, event, line, kind, evidence)").coalesce(1).write.mode("append").parquet(source)
+        progress = relate(spark, spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source), log, str(tmp_path / "c"), "10 days")
+    got = {r["event"]: (r["valid_to"] - r["valid_from"]).days if r["valid_to"] else None for r in jobs.states(log).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 36, 40: 1, 41: 39, 80: None}  # day 5 came 26 days too late
+    assert progress["stateOperators"][0]["numRowsTotal"] <= 4
 
 
 def test_failures_come_again(spark, parts, tmp_path):
     _, v = parts
+    log, source, c = jobs.Log(spark, f"{tmp_path}/log"), str(tmp_path / "in"), str(tmp_path / "c")
     n = v["news"].where("id < 20")
-    run = jobs.processed_batches(spark, str(tmp_path), lambda d: d.where("id % 2 = 0").select("global_id", "id"))
-    run(n, 0)
+    n.coalesce(1).write.parquet(source)
+    follow = lambda: spark.readStream.schema(n.schema).parquet(source)
+    jobs.run_once(follow(), jobs.processed_batches(log, c, lambda d: d.where("id % 2 = 0").select("global_id", "id")), c)
     again = []
-    jobs.processed_batches(spark, str(tmp_path), lambda d: again.extend(r["id"] for r in d.collect()) or d.select("global_id", "id"))(n, 1)
+    c = str(tmp_path / "new")
+    jobs.run_once(follow(), jobs.processed_batches(log, c, lambda d: again.extend(r["id"] for r in d.collect()) or d.select("global_id", "id")), c)
     assert sorted(again) == [i for i in range(20) if i % 2]
-    assert jobs.Table(spark, f"{tmp_path}/extracted").read().count() == 20
+    assert log.read().count() == log.read().distinct().count() == 20
 
 
-def test_a_crash_between_the_two_tables(spark, parts, tmp_path):
+def test_a_batch_that_failed_half_way(spark, parts, tmp_path):
     _, v = parts
+    log, source, c = jobs.Log(spark, f"{tmp_path}/log"), str(tmp_path / "in"), str(tmp_path / "c")
     n = v["news"].where("id < 20")
-    run = jobs.processed_batches(spark, str(tmp_path), lambda d: d.select("global_id", "id"))
-    run(n.where("id < 10"), 0)
-    jobs.Table(spark, f"{tmp_path}/extracted").write(jobs.Table(spark, f"{tmp_path}/extracted").read().unionByName(n.where("id >= 10").selectExpr("concat_ws(':', source, id) as global_id", "id")), 1)
-    run(n.where("id >= 10"), 1)  # its marks were lost, its rows were not
-    assert jobs.Table(spark, f"{tmp_path}/extracted").read().count() == 20
-    assert jobs.Table(spark, f"{tmp_path}/processed_ids").read().count() == 20
+    n.coalesce(1).write.parquet(source)
+
+    def fail(d):
+        raise ValueError("no model")
+
+    follow = lambda: spark.readStream.schema(n.schema).parquet(source)
+    with pytest.raises(Exception, match="no model"):
+        jobs.run_once(follow(), jobs.processed_batches(log, c, fail), c)
+    assert log.read() is None
+    jobs.run_once(follow(), jobs.processed_batches(log, c, lambda d: d.select("global_id", "id")), c)
+    assert log.read().count() == 20
+
+
+def test_news_after_the_watermark(spark, tmp_path):
+    """Late repeats go, and so does what is too late to tell; the state holds no more than the last hour's ids."""
+    source = str(tmp_path / "in")
+    kind = "id long, source string, published_at timestamp"
+    for k, (ids, hour) in enumerate((([1, 2], 0), ([1, 3], 0), ([4], 5), ([5], 9), ([2, 6], 1))):
+        spark.sql(f"select explode(array({', '.join(map(str, ids))})) as x").selectExpr("cast(x as long) as id", "'s' as source", f"timestamp'2024-01-01 00:00:00' + interval {hour} hour as published_at").coalesce(1).write.mode("append").parquet(source)
+        s = jobs.stream_news(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source), late="1 hour")
+        q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4, 5]
+    assert q.lastProgress.stateOperators[0].numRowsTotal <= 2
 
 
 def test_news_once(spark, parts, tmp_path):

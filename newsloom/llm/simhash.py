@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.util import U, arrow_map, connected_components, materialize, own_names
+from newsloom.llm.util import U, arrow_map, materialize, own_names
+from newsloom.operators.components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -200,7 +201,7 @@ def simhash_components(docs: DataFrame, width: int = 4, seed: int = 42, budget:
     """
     prints = materialize(fingerprints(docs, width, seed), "prints")
     edges = links_within(prints, budget)
-    label = connected_components(edges)
+    label = components(edges)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     least = least.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     least = materialize(least, "least")

@@ -1,9 +1,12 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence gets a logistic score from its words (whole and by
-their first bytes), and the document's score is their noisy-or: 1 - prod(1 - p). Only documents have
-labels; the likelihood of the noisy-or trains the sentence scores, which then point at the offending
-sentences.
+A document is a bag of sentences. A sentence with a known feature (words, whole and by their first
+bytes) gets a logistic score p; one without has p = 0, so text without any sign of toxicity adds nothing,
+however long it is. The document's score is the noisy-or of its sentences and of a leak, which stands for what
+no sentence tells: 1 - (1 - leak) * prod(1 - p). Only documents have labels; the likelihood of the
+noisy-or trains the sentence scores and the leak, and the sentence scores then point at the offending
+sentences. When texts are scored, sentences below `LEAST` do not add up: of those only the likeliest
+counts, or ten thousand faint signs in a long text would weigh as much as an insult.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from newsloom.llm.util import _RND, U, arrow_map, slices, span_hash, table, text_buffers
 
 PREFIXES = (4, 5, 6)
+#: Sentences at this score or more are combined.
+LEAST = 0.4
 #: Bytes of words: letters and digits in lower case, and all bytes of other characters; 0 separates.
 BYTE = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 0 for c in range(256)], np.uint8)
 ENDS = np.zeros(256, bool)
@@ -68,10 +73,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Sorted feature hashes, their weights and the bias of a sentence's score."""
+    """Sorted feature hashes, their weights, the bias of a sentence with features, and the leak of a document (as a logit)."""
 
-    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, bias: float):
-        self.vocabulary, self.weights, self.bias = vocabulary, weights, bias
+    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, bias: float, leak: float):
+        self.vocabulary, self.weights, self.bias, self.leak = vocabulary, weights, bias, leak
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which hashes are known, their numbers)."""
@@ -88,16 +93,25 @@ class Model:
         return maybe[ok], at[ok]
 
     def sentences(self, h: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
-        """log(1 - p) of each of n sentences; a feature counts once in a sentence."""
+        """log(1 - p) of each of n sentences, 0 without known features; a feature counts once in a sentence."""
         hit, at = self.lookup(h)
         pair = np.unique(np.stack([s[hit], at]), axis=1) if len(hit) else np.zeros((2, 0), np.int64)
         z = self.bias + np.bincount(pair[0], weights=self.weights[pair[1]], minlength=n)
-        return -np.logaddexp(0, z)
+        return np.where(np.bincount(pair[0], minlength=n) > 0, -np.logaddexp(0, z), 0.0)
+
+    def documents(self, clean: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+        """Scores of n documents from log(1 - p) of their sentences: the noisy-or of the leak, the sentences at LEAST or more, and the likeliest one."""
+        first = np.zeros(n)
+        np.minimum.at(first, text, clean)
+        strong = np.where(clean <= np.log1p(-LEAST), clean, 0.0)
+        some = np.bincount(text, weights=strong, minlength=n)
+        score = -np.expm1(np.minimum(some, first) - np.logaddexp(0, self.leak))
+        return np.where(np.bincount(text, minlength=n) > 0, np.clip(score, 0.0, 1.0), 0.0)
 
 
 def _bags(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Per document its label, its number of sentences, and (sentence, feature number) of every known feature."""
-    model = Model(vocabulary, np.zeros(len(vocabulary)), 0.0)
+    """Per document its label, and (sentence, feature number) of every known feature."""
+    model = Model(vocabulary, np.zeros(len(vocabulary)), 0.0, 0.0)
     for batch in batches:
         for b in slices(batch, most=1 << 20):
             (h, s), (text, _, _) = features(b)
@@ -108,14 +122,12 @@ def _bags(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator
             d, sent, at = d[order], (s[hit] - first[d])[order], at[order]
             cut = np.searchsorted(d, np.arange(b.num_rows + 1))
             lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x.astype(np.int32))) for x in (sent, at)]
-            n = np.bincount(text, minlength=b.num_rows).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array(n), *lists], ["toxic", "n", "sentence", "feature"])
+            yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), *lists], ["toxic", "sentence", "feature"])
 
 
-def fit(bags: pa.Table, size: int, steps: int = 400, rate: float = 0.1, ridge: float = 0.002) -> tuple[np.ndarray, float]:
-    """(weights, bias) by Adam on the noisy-or's likelihood; classes have equal weight in total up to a factor of 3."""
+def fit(bags: pa.Table, size: int, steps: int = 400, rate: float = 0.1, ridge: float = 0.002) -> tuple[np.ndarray, float, float]:
+    """(weights, bias, leak) by Adam on the noisy-or's likelihood; classes have equal weight in total up to a factor of 3."""
     y = bags.column("toxic").to_numpy().astype(float)
-    n = bags.column("n").to_numpy().astype(float)
     lists = [bags.column(c).combine_chunks() for c in ("sentence", "feature")]
     length = lists[0].value_lengths().to_numpy()
     doc = np.repeat(np.arange(len(y)), length)
@@ -126,23 +138,33 @@ def fit(bags: pa.Table, size: int, steps: int = 400, rate: float = 0.1, ridge: f
     inst = np.cumsum(new) - 1
     owner = doc[new]
     m = len(owner)
-    empty = n - np.bincount(owner, minlength=len(y))
     bad = max(y.mean(), 1e-6)
     weight = np.where(y > 0, min(3.0, (1 - bad) / bad), 1.0) / len(y)
-    w, b = np.full(size, 0.5), -6.0
-    g1, g2 = np.zeros(size + 1), np.zeros(size + 1)
+    w, b, leak = np.full(size, 0.5), -6.0, -6.0
+    g1, g2 = np.zeros(size + 2), np.zeros(size + 2)
     for t in range(1, steps + 1):
-        z = b + np.bincount(inst, weights=w[feat], minlength=m)
-        p, p0 = 1 / (1 + np.exp(-np.clip(z, -40, 40))), 1 / (1 + np.exp(-b))
-        clean = np.bincount(owner, weights=-np.logaddexp(0, z), minlength=len(y)) - empty * np.logaddexp(0, b)
-        bag = -np.expm1(np.minimum(clean, -1e-9))
-        pull = weight * np.where(y > 0, (1 - bag) / np.maximum(bag, 1e-9), -1.0)
-        gz = pull[owner] * p
-        grad = np.r_[np.bincount(feat, weights=gz[inst], minlength=size) - ridge * w / max(size, 1), gz.sum() + (pull * empty).sum() * p0]
+        likelihood, grad = slope(w, b, leak, inst, feat, owner, y, weight)
+        grad[:size] -= ridge * w / max(size, 1)
         g1, g2 = 0.9 * g1 + 0.1 * grad, 0.999 * g2 + 0.001 * grad * grad
         move = rate * (g1 / (1 - 0.9**t)) / (np.sqrt(g2 / (1 - 0.999**t)) + 1e-9)
-        w, b = np.clip(w + move[:-1], -3, 12), float(np.clip(b + move[-1], -14, -3))
-    return w, b
+        w, b, leak = np.clip(w + move[:-2], -3, 12), float(np.clip(b + move[-2], -14, -3)), float(np.clip(leak + move[-1], -14, -3))
+    return w, b, leak
+
+
+def slope(w, b, leak, inst, feat, owner, y, weight) -> tuple[float, np.ndarray]:
+    """The weighted log-likelihood of the labels y and its gradient by weights, bias and leak.
+
+    inst and feat list the features of each sentence, owner the document of each sentence.
+    """
+    size, m = len(w), len(owner)
+    z = b + np.bincount(inst, weights=w[feat], minlength=m)
+    p, p0 = 1 / (1 + np.exp(-np.clip(z, -40, 40))), 1 / (1 + np.exp(-leak))
+    clean = np.bincount(owner, weights=-np.logaddexp(0, z), minlength=len(y)) - np.logaddexp(0, leak)
+    bag = -np.expm1(np.minimum(clean, -1e-9))
+    pull = weight * np.where(y > 0, (1 - bag) / np.maximum(bag, 1e-9), -1.0)
+    gz = pull[owner] * p
+    likelihood = (weight * np.where(y > 0, np.log(np.maximum(bag, 1e-300)), clean)).sum()
+    return float(likelihood), np.r_[np.bincount(feat, weights=gz[inst], minlength=size), gz.sum(), pull.sum() * p0]
 
 
 def train(docs: DataFrame, labels: DataFrame, most_documents: int = 20_000, most_features: int = 4096, lift: float = 6.0) -> Model:
@@ -158,11 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, most_documents: int = 20_000, most
     counts = arrow_map(some, _counts, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     total = counts.where("h = 0").first()
     if total is None or not total["bad"] or not total["good"]:
-        return Model(np.zeros(0, U), np.zeros(0), -6.0)
+        return Model(np.zeros(0, U), np.zeros(0), -6.0, -6.0)
     a, c = (F.col("bad") + 0.5) / (total["bad"] + 1), (F.col("good") + 0.5) / (total["good"] + 1)
     kept = counts.where((F.col("h") != 0) & (F.col("bad") >= 3) & (a >= lift * c)).orderBy(F.desc(F.col("bad") * F.log(a / c)), "h").limit(most_features)
     vocabulary = np.sort(np.array([r["h"] for r in kept.select("h").collect()], np.int64).view(U))
-    bags = arrow_map(some, partial(_bags, vocabulary=vocabulary), "toxic int, n long, sentence array<int>, feature array<int>").toArrow()
+    bags = arrow_map(some, partial(_bags, vocabulary=vocabulary), "toxic int, sentence array<int>, feature array<int>").toArrow()
     return Model(vocabulary, *fit(bags, len(vocabulary)))
 
 
@@ -172,9 +194,9 @@ def _score(batches: Iterator[pa.RecordBatch], model, locate: float | None) -> It
         for b in slices(batch, most=1 << 20):
             (h, s), (text, start, end) = features(b)
             clean = m.sentences(h, s, len(text))
-            score = -np.expm1(np.bincount(text, weights=clean, minlength=b.num_rows))
+            score = m.documents(clean, text, b.num_rows)
             names = [n for n in b.schema.names if n != "text"]
-            cols = [*[b.column(n) for n in names], pa.array(np.clip(score, 0.0, 1.0))]
+            cols = [*[b.column(n) for n in names], pa.array(score)]
             if locate is not None:
                 p = -np.expm1(clean)
                 hit = np.flatnonzero(p >= locate)
@@ -187,7 +209,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, locate: float | None) -> It
 def toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), locate: float | None = 0.5) -> DataFrame:
     """keep, score, offending: byte bounds (in UTF-8) and scores of the sentences at `locate` or more.
 
-    Null and empty texts have no sentence and score 0. One row per input row; whole texts are scored.
+    Null and empty texts have no sentence and score 0; texts without known features score the leak. One row per input row; whole texts are scored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # most_features weights
     few = docs.select(*keep, F.col("text").cast("string").alias("text"))

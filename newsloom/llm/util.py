@@ -1,17 +1,18 @@
-"""Shared pieces of the training-data operators: shared folder, Arrow text access, word hashes, components."""
+"""Shared pieces of the training-data operators: tables in the shared folder, Arrow text access, word hashes."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from newsloom.functions.shared import settle as materialize
+from newsloom.functions.shared import remove, shared_dir, workspace
+from newsloom.functions.shared import ship_package as ship
+
+__all__ = ["materialize", "remove", "shared_dir", "ship", "workspace"]
 
 U = np.uint64
 #: ASCII white space, the separators of `[^\x20\x09-\x0D]+`.
@@ -19,59 +20,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-# ---------------------------------------------------------------- session
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_newsloom_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="newsloom-"), "newsloom_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join("newsloom", os.path.relpath(full, root)))
-    sc.addPyFile(target)
-    sc._newsloom_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run on one machine (tests)."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    own = getattr(spark.sparkContext, "_newsloom_shared", None)
-    if own is None:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        own = "file://" + tempfile.mkdtemp(prefix="newsloom-shared-")
-        spark.sparkContext._newsloom_shared = own
-    return own
-
-
-#: Makes Spark drop a query's shuffle files when the query is over.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
-
-    The shuffle files of the write are dropped as soon as the table stands.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -173,27 +121,7 @@ def window_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndar
     return span_hash(words, pos, pos + k, 1), pos, doc[pos]
 
 
-# ---------------------------------------------------------------- components
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label) for the nodes of edges(a, b): label is the smallest node reachable.
-
-    Each round takes the smallest label of the neighbours, then jumps to the label's own label; the
-    table is written to the shared folder between rounds. Hub nodes are only join keys and partial
-    minima, so none is gathered in one task.
-    """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    lab = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "label")
-    for _ in range(rounds):
-        near = both.join(lab, both.b == lab.node).groupBy("a").agg(F.min("label").alias("m"))
-        step = lab.join(near, lab.node == near.a, "left").select("node", "label", F.least("label", "m").alias("low"))
-        hop = lab.select(F.col("node").alias("low"), F.col("label").alias("next"))
-        new = materialize(step.join(hop, "low", "left").select("node", F.least("low", "next").alias("label"), (F.least("low", "next") != F.col("label")).alias("moved")), "label")
-        lab = new.select("node", "label")
-        if not new.where("moved").limit(1).count():
-            return lab
-    raise RuntimeError("components did not settle")
-
+# ---------------------------------------------------------------- Arrow batches
 
 #: Rows in an Arrow batch: the default of 10,000 whole texts does not fit next to a small executor's heap.
 BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")

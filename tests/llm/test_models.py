@@ -4,6 +4,7 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from newsloom.llm import dom, html, langid, toxicity
 from tests_llm import docs
@@ -84,6 +85,53 @@ def test_offending_sentences(spark, toxic):
     assert toxicity.toxicity(d.limit(0), toxic).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 100, 10_000, 100_000])
+def test_length_is_not_toxicity(spark, toxic, n):
+    clean = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0"), "doc_id").collect() if r["text"]]
+    real = "\n".join(clean * (1 + n // len(clean)))[: n * 40]
+    plain = "a quiet line of words. " * n
+    insult = "word of the day. " * (n // 2) + "You are an idiot and a moron, loser. " + "it is at the. " * (n // 2)
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs(spark, [plain, real, insult]), toxic).collect()}
+    assert got[0]["score"] < 0.5 and got[1]["score"] < 0.5
+    assert got[2]["score"] >= 0.5 and len(got[2]["offending"]) == 1
+
+
+def test_noisy_or_against_brute_force(toxic):
+    r = np.random.default_rng(4)
+    w, b, leak = r.normal(0, 2, 6), -1.0, -3.0
+    docs_ = [[[0, 1], [2]], [[3]], [], [[4, 5, 0], [1]], [[2, 3]]]
+    y = np.array([1.0, 0, 0, 1, 1])
+    weight = r.random(5)
+    inst, feat, owner = [], [], []
+    for d, sentences in enumerate(docs_):
+        for f in sentences:
+            inst += [len(owner)] * len(f)
+            feat += f
+            owner.append(d)
+    inst, feat, owner = map(np.array, (inst, feat, owner))
+
+    def likelihood(x):
+        total, one = 0.0, lambda z: 1 / (1 + np.exp(-z))
+        for d, sentences in enumerate(docs_):
+            none = 1 - one(x[-1])
+            for f in sentences:
+                none *= 1 - one(x[-2] + sum(x[k] for k in f))
+            total += weight[d] * np.log(1 - none if y[d] else none)
+        return total
+
+    x = np.r_[w, b, leak]
+    value, grad = toxicity.slope(w, b, leak, inst, feat, owner, y, weight)
+    assert np.isclose(value, likelihood(x))
+    for k in range(len(x)):
+        e = np.zeros(len(x))
+        e[k] = 1e-6
+        assert np.isclose(grad[k], (likelihood(x + e) - likelihood(x - e)) / 2e-6, atol=1e-6)
+    clean = np.log1p(-np.array([0.6, 0.7, 0.1, 0.3, 0.2, 0.05]))
+    got = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), -6.0, -4.0).documents(clean, np.array([0, 0, 0, 1, 1, 2]), 4)
+    leak = 1 / (1 + np.exp(4.0))
+    assert np.allclose(got, [1 - (1 - leak) * 0.4 * 0.3, 1 - (1 - leak) * 0.7, 1 - (1 - leak) * 0.95, 0.0])
+
+
 def test_nothing_to_learn_from(spark):
     d = docs(spark, ["a", "b"])
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -137,8 +185,6 @@ def test_page_edges(spark, trees):
 
 def test_a_kept_node_keeps_what_is_below():
     t = dom.parse("<div><p>a</p><p>b</p></div><div><p>c</p></div>")
-    import numpy as np
-
     p = np.full(len(t.tag), 0.1)
     p[1:4] = (0.9, 0.9, 0.48)
     assert dom.chosen_text(t, dom.decode(t, p)) == "a b"

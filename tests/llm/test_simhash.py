@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from newsloom.llm import simhash
-from newsloom.llm.util import connected_components
+from newsloom.operators.components import components
 from tests_llm import DATA, docs
 
 
@@ -64,7 +64,7 @@ def test_hot_group_is_split(spark):
     values = {base ^ sum(1 << b for b in rng.sample(range(40), 6)) for _ in range(250)} | {rng.getrandbits(64) for _ in range(30)}
     signed = [int(np.array(x, np.uint64).view(np.int64)) for x in sorted(values)]
     frame = spark.createDataFrame([(x,) for x in signed], "fp long")
-    found = connected_components(simhash.links_within(frame, 4, most=40)).collect()
+    found = components(simhash.links_within(frame, 4, most=40)).collect()
     label = {r["node"]: r["label"] for r in found}
     want = brute_components([(x, x & (2**64 - 1)) for x in signed])
     group = {}
@@ -91,3 +91,18 @@ def test_clashing_columns(spark):
         d = d.withColumn(c, d["doc_id"] + 1)
     out = simhash.near_duplicates(d)
     assert out.columns == d.columns and sorted((r["doc_id"], r["_gone"]) for r in out.collect()) == [(1, 2), (3, 4)]
+
+
+def test_a_chain_of_revisions(spark):
+    """Each fingerprint is four bits from the one before; the ids are in another order than the chain."""
+    r = random.Random(9)
+    chain = [r.getrandbits(64)]
+    while len(chain) < 500:
+        nxt = chain[-1]
+        for b in r.sample(range(64), 4):
+            nxt ^= 1 << b
+        chain.append(nxt)
+    signed = [v - 2**64 if v >= 2**63 else v for v in chain]
+    frame = spark.createDataFrame([(v,) for v in signed], "fp long")
+    found = components(simhash.links_within(frame, 4)).collect()
+    assert {x["node"] for x in found} == set(signed) and {x["label"] for x in found} == {min(signed)}

@@ -11,6 +11,7 @@ counts, or ten thousand faint signs in a long text would weigh as much as an ins
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -23,18 +24,30 @@ from newsloom.llm.util import _RND, U, arrow_map, slices, span_hash, table, text
 
 PREFIXES = (4, 5, 6)
 #: Sentences at this score or more are combined.
-LEAST = 0.4
-#: Bytes of words: letters and digits in lower case, and all bytes of other characters; 0 separates.
+LEAST = 0.2
+#: Bytes of words: letters and digits in small letters, and all bytes of other characters; 0 separates.
 BYTE = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 0 for c in range(256)], np.uint8)
+#: The small letter of every character of two bytes in UTF-8 (Latin, Greek, Cyrillic), if it has one of two bytes.
+SMALL = np.arange(0x800)
+SMALL[0x80:] = [ord(c.lower()) if len(c.lower()) == 1 and 0x80 <= ord(c.lower()) < 0x800 else ord(c) for c in map(chr, range(0x80, 0x800))]
 ENDS = np.zeros(256, bool)
 ENDS[[*b".!?\n"]] = True
 
 
+def small(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes in small letters, each character with as many bytes as before."""
+    low = BYTE[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] < 0xE0))
+    code = SMALL[(data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F]
+    low[lead], low[lead + 1] = 0xC0 | code >> 6, 0x80 | code & 0x3F
+    return low
+
+
 def features(b: pa.RecordBatch):
     """(hashes, sentence of each) of every word feature; per sentence its text, start and end byte in that text (sentences without words too)."""
     data, off = text_buffers(b.column("text"))
     n = len(data)
-    low = BYTE[data]
+    low = small(data)
     cut = np.zeros(n + 1, bool)
     cut[1:] = ENDS[data]
     cut[off] = True
@@ -167,11 +180,12 @@ def slope(w, b, leak, inst, feat, owner, y, weight) -> tuple[float, np.ndarray]:
     return float(likelihood), np.r_[np.bincount(feat, weights=gz[inst], minlength=size), gz.sum(), pull.sum() * p0]
 
 
-def train(docs: DataFrame, labels: DataFrame, most_documents: int = 20_000, most_features: int = 4096, lift: float = 6.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_documents: int = 20_000, most_features: int = 4096, lift: float = 6.0, chance: float = 1.0) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, toxic), one label per doc_id.
 
     At most about `most_documents` documents are used, those with the lowest hashed ids. Of the word
-    features that are `lift` times as frequent in toxic documents, the `most_features` that tell most are kept.
+    features that are `lift` times as frequent in toxic documents, and more often than chance explains for any of so
+    many features, the `most_features` that tell most are kept.
     """
     n = labels.count()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -182,7 +196,12 @@ def train(docs: DataFrame, labels: DataFrame, most_documents: int = 20_000, most
     if total is None or not total["bad"] or not total["good"]:
         return Model(np.zeros(0, U), np.zeros(0), -6.0, -6.0)
     a, c = (F.col("bad") + 0.5) / (total["bad"] + 1), (F.col("good") + 0.5) / (total["good"] + 1)
-    kept = counts.where((F.col("h") != 0) & (F.col("bad") >= 3) & (a >= lift * c)).orderBy(F.desc(F.col("bad") * F.log(a / c)), "h").limit(most_features)
+    lifted = counts.where((F.col("h") != 0) & (F.col("bad") >= 3))
+    most = max(lifted.count(), 1)
+    q, n = total["bad"] / (total["bad"] + total["good"]), F.col("bad") + F.col("good")
+    part = lambda k, share: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * share))).otherwise(0.0)
+    # Chernoff's bound: by chance alone, at most about `chance` features would get in.
+    kept = lifted.where((a >= lift * c) & (part("bad", q) + part("good", 1 - q) >= math.log(most / chance))).orderBy(F.desc(F.col("bad") * F.log(a / c)), "h").limit(most_features)
     vocabulary = np.sort(np.array([r["h"] for r in kept.select("h").collect()], np.int64).view(U))
     bags = arrow_map(some, partial(_bags, vocabulary=vocabulary), "toxic int, sentence array<int>, feature array<int>").toArrow()
     return Model(vocabulary, *fit(bags, len(vocabulary)))

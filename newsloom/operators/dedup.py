@@ -1,24 +1,27 @@
 """Near-duplicate removal in arrival order (I1-I3), first-fit buckets (I16) and the similarity functions.
 
-"Keep a row unless an earlier kept row is near" is not connected components. It is solved exactly by
-rounds over the near pairs: a row all of whose earlier neighbours are dropped is kept, a row with a
-kept earlier neighbour is dropped, until all are decided.
+"Keep a row unless an earlier kept row is near" is not connected components, but no row depends on rows
+outside its component: each is replayed in order of arrival by one task. Components too large for that go by rounds
+over the near pairs: a row all of whose earlier neighbours are dropped is kept, a row with a kept
+earlier neighbour is dropped, until all are decided.
 """
 
 from __future__ import annotations
 
 import hashlib
 from difflib import SequenceMatcher
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import expr
-from newsloom.functions.shared import settle, ship
+from newsloom.functions.shared import Scratch, settle, ship, ship_package
 from newsloom.operators.components import components
 
 # ---------------------------------------------------------------- similarity
@@ -102,29 +105,81 @@ def cosine(a: Column, b: Column) -> Column:
 # ---------------------------------------------------------------- greedy
 
 
-def greedy_leaders(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """rows(id), near(a, b) with a earlier than b -> (id, leader): kept rows lead themselves, others go to their earliest kept neighbour.
-
-    Earlier means the smaller id. Rows without earlier neighbours are kept at once; each round decides the earliest open
-    row at least.
+def _replay(batches):
+    """Edges (label, b, a) in this order -> (id, leader) of every b: its earliest kept neighbour, or itself."""
+    label, gone, last, lead = object(), set(), None, None
+    for batch in batches:
+        ids, leaders = [], []
+        for tag, b, a in zip(*(batch.column(c).to_pylist() for c in ("label", "b", "a")), strict=True):
+            if last is not None and (tag != label or b != last):
+                ids.append(last)
+                leaders.append(last if lead is None else lead)
+                if lead is not None:
+                    gone.add(last)
+                last = lead = None
+            if tag != label:
+                label, gone = tag, set()
+            if lead is None and a not in gone:
+                lead = a
+            last = b
+        yield _leaders(batch, ids, leaders)
+    if last is not None:
+        yield _leaders(batch, [last], [last if lead is None else lead])
+
+
+def _leaders(batch: pa.RecordBatch, ids: list, leaders: list) -> pa.RecordBatch:
+    kind = batch.schema.field("b").type
+    return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(leaders, kind)], ["id", "leader"])
+
+
+def _rounds(near: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, leader) of every b of near(a, b): rows all of whose earlier neighbours are decided are decided, until all are.
+
+    Only open rows' edges are written again from round to round.
     """
-    near = settle(near.select("a", "b").distinct())
     late = near.select(F.col("b").alias("id")).distinct()
-    free = rows.select("id").join(late, "id", "left_anti").withColumn("kept", F.lit(True))
-    decided = settle(free)
+    first = near.join(late.withColumn("late", F.lit(True)), F.col("a") == F.col("id"), "left").select("a", "b", F.when(F.col("late").isNull(), F.lit(True)).alias("kept"))
+    edges, made = scratch.settle(first), []
     while True:
-        known = decided.select(F.col("id").alias("a"), "kept")
-        open_ = near.join(decided.select(F.col("id").alias("b")), "b", "left_anti").join(known, "a", "left")
-        each = open_.groupBy("b").agg(F.bool_or("kept").alias("drop"), F.count_if(F.col("kept").isNull()).alias("wait"))
-        new = each.where(F.coalesce("drop", F.lit(False)) | (F.col("wait") == 0)).select(F.col("b").alias("id"), (~F.coalesce("drop", F.lit(False))).alias("kept"))
-        grown = settle(decided.unionByName(new))
-        if not grown.join(decided, "id", "left_anti").limit(1).count():
+        each = edges.groupBy("b").agg(F.coalesce(F.bool_or("kept"), F.lit(False)).alias("drop"), F.count_if(F.col("kept").isNull()).alias("wait"), F.min(F.when(F.col("kept"), F.col("a"))).alias("low"))
+        sure = (F.col("wait") == 0) | F.col("drop")
+        new = scratch.settle(each.where(sure).select(F.col("b").alias("id"), (~F.col("drop")).alias("now")))
+        if not new.limit(1).count():
             break
-        decided = grown
-    kept = decided.where("kept").select("id")
-    lead = near.join(kept.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.min("a").alias("leader"))
-    gone = decided.where("not kept").join(lead, F.col("id") == F.col("b")).select("id", "leader")
-    return kept.select("id", F.col("id").alias("leader")).unionByName(gone)
+        made.append(new)
+        left = edges.join(new.select(F.col("id").alias("b")), "b", "left_anti").join(new.withColumnRenamed("id", "a"), "a", "left")
+        fewer = scratch.settle(left.select("a", "b", F.coalesce("kept", "now").alias("kept")))
+        scratch.drop(edges)
+        edges = fewer
+    decided = scratch.settle(reduce(DataFrame.union, made))
+    gone = decided.where("not now").select("id")
+    low = near.join(gone.withColumnRenamed("id", "b"), "b", "left_semi").join(gone.withColumnRenamed("id", "a"), "a", "left_anti").groupBy("b").agg(F.min("a").alias("leader"))
+    return decided.where("now").select("id", F.col("id").alias("leader")).union(low.select("b", "leader"))
+
+
+def greedy_leaders(rows: DataFrame, near: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """rows(id), near(a, b) with a earlier than b -> (id, leader): kept rows lead themselves, others go to their earliest kept neighbour.
+
+    Earlier means the smaller id. A row depends on rows of its own component only, so each component of up to `most`
+    pairs is replayed in order by one task, a pair at a time; larger ones go by rounds, each of which decides every
+    row whose earlier neighbours are decided.
+    """
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "leaders")
+    near = scratch.settle(near.select("a", "b").distinct())
+    label = components(near)
+    edges = scratch.settle(near.join(label.withColumnRenamed("node", "a"), "a").select("label", "b", "a"))
+    size = scratch.settle(edges.groupBy("label").agg(F.count("*").alias("n")))
+    ship_package(spark)
+    small = edges.join(size.where(F.col("n") <= most).select("label"), "label", "left_semi").repartition("label").sortWithinPartitions("label", "b", "a")
+    kind = near.schema["a"].dataType.simpleString()
+    lead = small.mapInArrow(_replay, f"id {kind}, leader {kind}")
+    if size.where(F.col("n") > most).limit(1).count():
+        large = scratch.settle(edges.join(size.where(F.col("n") > most).select("label"), "label", "left_semi").select("a", "b"))
+        lead = lead.union(_rounds(large, scratch))
+    out = settle(rows.select("id").join(lead, "id", "left").select("id", F.coalesce("leader", "id").alias("leader")))
+    scratch.close()
+    return out
 
 
 def band_masks(threshold: int) -> list[int]:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import expr
+from newsloom.functions.shared import settle
 
 
 def participants_with_events(participants: DataFrame, events: DataFrame, main: DataFrame) -> DataFrame:
@@ -83,14 +84,41 @@ def entity_timeline(participants: DataFrame, events: DataFrame, ids: DataFrame)
     return mine.join(events, "event_id").select("event_id", "abstract", F.coalesce("start", "first_seen").alias("time")).orderBy("time", "event_id")
 
 
+#: Members of a group that one task pairs with those of another block; larger groups are cut into such blocks.
+BLOCK = 512
+
+
 def cooccurrence(participants: DataFrame, least: int = 2) -> DataFrame:
     """C4: (a, b, n, events): entities that share at least `least` events, a < b; n counts events once.
 
-    The pairs of one event meet on its key; partial sums shrink them before the shuffle on the pair.
+    Entities get numbers first, so that a pair is two longs. An event of up to BLOCK entities is one row, whose pairs
+    are made where it lies. A larger one is cut into blocks; every two of its blocks are a row, so its pairs are
+    many tasks. Partial sums shrink the pairs before the shuffle; entities in fewer than `least` events are left out before.
     """
-    p = participants.select("event_id", "entity_id").distinct()
-    pair = p.select("event_id", F.col("entity_id").alias("a")).join(p.select("event_id", F.col("entity_id").alias("b")), "event_id").where("a < b")
-    return pair.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    p = participants.select("event_id", "entity_id").where(F.col("event_id").isNotNull() & F.col("entity_id").isNotNull()).distinct()
+    often = p.groupBy("entity_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("entity_id")
+    ids = settle(numbered(often, "entity_id", "k"))
+    p = settle(p.join(ids, "entity_id").select("event_id", "k"))
+    size = p.groupBy("event_id").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    light = size.where("blocks = 1").select("event_id")
+    heavy = size.where("blocks > 1").select("event_id", "blocks")
+    one = p.join(light, "event_id").groupBy("event_id").agg(F.array_sort(F.collect_list("k")).alias("x"))  # at most BLOCK
+    inside = one.select(F.posexplode("x").alias("_i", "a"), "x").select("a", F.explode(F.slice("x", F.col("_i") + 2, BLOCK)).alias("b"))
+    cut = settle(p.join(heavy, "event_id").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks"))).groupBy("event_id", "blocks", "block").agg(F.array_sort(F.collect_list("k")).alias("x")))  # about BLOCK
+    other = cut.select("event_id", F.col("block").alias("other"), F.col("x").alias("y"))
+    spread = cut.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    tiles = spread.join(other, ["event_id", "other"]).select("x", "y", (F.col("block") == F.col("other")).alias("same"))
+    across = tiles.select(F.explode("x").alias("p"), "y", "same").select("p", "same", F.explode("y").alias("q")).where("not same or p < q")
+    pair = inside.union(across.select(F.least("p", "q"), F.greatest("p", "q")))
+    found = pair.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    back = lambda c: ids.select(F.col("k").alias(f"{c}_k"), F.col("entity_id").alias(c))
+    named = found.withColumnsRenamed({"a": "a_k", "b": "b_k"}).join(back("a"), "a_k").join(back("b"), "b_k")
+    return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n")
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with a distinct long each: the number in its partition, below the partition's own range."""
+    return rows.select(key, F.monotonically_increasing_id().alias(name))
 
 
 def shared_events(participants: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -199,3 +199,27 @@ def test_primary_of_equal_names_is_the_smallest_id(spark):
     rows = [("g", i, "Name", 3) for i in (7, 2, 5)]
     got = resolve.choose_primary(spark.createDataFrame(rows, "leader string, id int, name string, first_seen int"))
     assert [r.primary for r in got.collect()] == [2]
+
+
+def test_a_long_chain_as_row_after_row(spark):
+    """100,000 rows, each near the next: every second one stays."""
+    n = 100_000
+    ids = spark.range(n)
+    near = ids.where(f"id < {n - 1}").selectExpr("id as a", "id + 1 as b")
+    got = dedup.greedy_leaders(ids, near)
+    assert got.count() == n and got.where("leader <> id - id % 2").count() == 0
+
+
+def test_rounds_and_replay_agree(spark):
+    rng = random.Random(3)
+    for n, pairs in ((60, 90), (200, 150), (40, 300)):
+        edges = sorted({(min(x), max(x)) for x in ((rng.randrange(n), rng.randrange(n)) for _ in range(pairs)) if x[0] != x[1]})
+        kept, want = set(), []
+        for b in range(n):
+            low = [a for a, c in edges if c == b and a in kept]
+            kept |= set() if low else {b}
+            want.append((b, min(low, default=b)))
+        ids = spark.range(n)
+        near = spark.createDataFrame(edges, "a long, b long")
+        for most in (0, 20, 10**6):
+            assert sorted(tuple(r) for r in dedup.greedy_leaders(ids, near, most).collect()) == want

@@ -134,3 +134,26 @@ def merged_roles(a: Column, b: Column) -> Column:
     """Two maps name -> roles as one, roles united in order."""
     empty = F.array().cast("array<string>")
     return F.map_zip_with(a, b, lambda _, x, y: F.array_distinct(F.concat(F.coalesce(x, empty), F.coalesce(y, empty))))
+
+
+def source_list(items: Column) -> Column:
+    """Sources as structs of id, name and url, the first of each id.
+
+    items are names, or structs of id, name and url, any of which may be missing: a name stands in for a missing id, as
+    its hash, and an id for a missing name. Sources with neither go.
+    """
+    some = lambda c: F.coalesce(F.trim(c), F.lit(""))
+
+    def one(x: Column) -> Column:
+        ident, name, url = some(x["id"]), some(x["name"]), some(x["url"])
+        name = F.when(name == "", ident).otherwise(name)
+        return F.struct(F.when(ident == "", source_id(name)).otherwise(ident).alias("id"), name.alias("name"), url.alias("url"))
+
+    whole = F.filter(F.transform(items, one), lambda x: x["name"] != "")
+    return first_per(whole, "id")
+
+
+def named_sources(names: Column) -> Column:
+    """A list of names as a source list."""
+    none = F.lit(None).cast("string")
+    return source_list(F.transform(names, lambda n: F.struct(none.alias("id"), n.alias("name"), none.alias("url"))))

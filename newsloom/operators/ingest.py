@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import expr
+from newsloom.operators import temporal
 
 
 def ordered_items(df: DataFrame, keys: list[str], item: str, seq: str, name: str) -> DataFrame:
@@ -50,9 +51,11 @@ def upsert_entities(stored: DataFrame | None, rows: DataFrame) -> DataFrame:
 
 
 def event_rows(mentions: DataFrame) -> DataFrame:
+    """Mentions as event rows; a mention's start time, where it has one, is in a column `start`."""
+    start = F.col("start") if "start" in mentions.columns else F.lit(None).cast(mentions.schema["reported_at"].dataType)
     return mentions.select(
         expr.event_id(F.col("abstract")).alias("event_id"), F.trim("abstract").alias("abstract"), F.concat_ws(" ", "event_type", "entity", "source").alias("summary"),
-        F.col("event_type"), "source", F.when(F.col("seq") % 3 == 0, F.col("reported_at")).alias("start"), "reported_at", "seq",
+        F.col("event_type"), "source", start.alias("start"), "reported_at", "seq",
     )
 
 
@@ -120,16 +123,37 @@ def new_vs_known(new: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return new.select(key).distinct().join(marked, key, "left").select(key, F.coalesce("_k", F.lit(False)).alias("known"))
 
 
-def ingest(mentions: DataFrame) -> dict[str, DataFrame]:
-    """All canonical tables of a batch of mentions."""
+def event_mention_rows(mentions: DataFrame) -> DataFrame:
+    return mentions.select(
+        expr.event_mention_id(F.col("abstract"), expr.ts_text(F.col("reported_at")), F.col("source")).alias("mention_id"),
+        F.col("abstract").alias("abstract_text"), "reported_at", expr.event_id(F.col("abstract")).alias("resolved_event_id"),
+    )
+
+
+def ingest(mentions: DataFrame, relations: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All canonical tables of a batch of mentions, and of the relations that came with them.
+
+    Sources are lists of structs (H10). With relations, their last writes, the states of all of them, and
+    entities that only they name come too.
+    """
     part = mentions.select(expr.event_id(F.col("abstract")).alias("event_id"), expr.entity_id(F.col("entity")).alias("entity_id"), F.array("event_type").alias("roles"), "reported_at", "seq")
-    return {
-        "entities": upsert_entities(None, entity_rows(mentions)),
-        "events": upsert_events(event_rows(mentions)),
+    listed = lambda df: df.withColumn("sources", F.coalesce(expr.named_sources(F.col("sources")), F.array().cast("array<struct<id:string,name:string,url:string>>")))
+    entities = listed(upsert_entities(None, entity_rows(mentions)))
+    out = {
+        "events": listed(upsert_events(event_rows(mentions))),
         "participants": upsert_participants(part),
         "entity_mentions": mention_rows(mentions).dropDuplicates(["mention_id"]),
+        "event_mentions": event_mention_rows(mentions).dropDuplicates(["mention_id"]),
         "news_event": mentions.select(F.col("source").alias("news_id"), expr.event_id(F.col("abstract")).alias("event_id")).distinct(),
     }
+    if relations is not None:
+        named = relations.select(F.col("subject").alias("name"), "time").union(relations.select("object", "time"))
+        more = complete_missing(entities, named.where("name is not null"))
+        kind = entities.schema["sources"].dataType.simpleString()
+        more = more.select("entity_id", "name", "first_seen", F.col("first_seen").alias("last_seen"), F.array().cast(kind).alias("sources"), F.array("name").alias("forms"))
+        entities = entities.unionByName(more)
+        out |= {"relations": upsert_relations(relations), "states": temporal.relation_states(relations)}
+    return {"entities": entities, **out}
 
 
 def change_summary(batch: DataFrame, before: DataFrame) -> DataFrame:

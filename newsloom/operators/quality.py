@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import expr
+from newsloom.functions.shared import ship_package
 
 TEXTS = "array<string>"
 
@@ -142,20 +146,62 @@ def event_report(events: DataFrame, k: int) -> DataFrame:
     return top.select(rank.alias("rank"), "abstract", "published_at", "source", F.array_join("entities", ", ").alias("entities"), "summary", F.lit(total).alias("total"))
 
 
-def news_for_entities(news: DataFrame, forms: DataFrame, k: int) -> DataFrame:
-    """forms(entity_id, form) of one or more words: the newest k articles that contain one, once per (entity, url, published_at).
+#: Characters of all forms up to which they are one automaton in every task (some twenty times that in memory).
+FORMS = 8 << 20
+_BUILT: dict = {}
+
+
+def _automaton(shared):
+    """The automaton of the broadcast forms, built once per worker process."""
+    import ahocorasick
+
+    if _BUILT.get("forms") is not shared.value:
+        a = ahocorasick.Automaton()
+        for form in shared.value:
+            a.add_word(f" {form} ", form)
+        a.make_automaton()
+        _BUILT.update(forms=shared.value, automaton=a)
+    return _BUILT["automaton"]
+
+
+def _scan(batches, shared):
+    a = _automaton(shared)
+    for b in batches:
+        ids, forms = [], []
+        for i, text in enumerate(b.column("t").to_pylist()):
+            for form in dict.fromkeys(f for _, f in a.iter(f" {text or ''} ")):
+                ids.append(i)
+                forms.append(form)
+        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(forms, pa.string())], ["id", "form"])
+
 
-    A form meets the articles that have its longest word; those of more words are then looked for in the article as a phrase.
+def forms_in(texts: DataFrame, forms: DataFrame) -> DataFrame:
+    """texts(id, t) and forms(form), both of words with one blank between -> (id, form): the forms that are whole words of each text.
+
+    Forms of up to FORMS characters are one automaton, with which each text is read once. More of them meet the texts
+    on their longest word; those of several words are then looked for in the text.
     """
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
-    f = forms.select("entity_id", plain("form").alias("form")).where("form <> ''").distinct()
+    f = forms.select("form").where("form <> ''").distinct()
+    if (f.agg(F.sum(F.length("form"))).first()[0] or 0) <= FORMS:
+        ship_package(texts.sparkSession)
+        shared = texts.sparkSession.sparkContext.broadcast([r["form"] for r in f.collect()])  # at most FORMS characters
+        kind = texts.schema["id"].dataType.simpleString()
+        return texts.select("id", "t").mapInArrow(partial(_scan, shared=shared), f"id {kind}, form string")
     f = f.withColumn("_w", F.split("form", " ")).withColumn("word", F.element_at(F.array_sort(F.transform("_w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"])
     f = f.withColumn("_one", F.size("_w") == 1).drop("_w")
-    words = news.select("id", "url", "published_at", F.explode(F.array_distinct(F.split(plain("content"), " "))).alias("word"))
-    met = words.join(f, "word")
-    phrase = met.where("not _one").join(news.select("id", plain("content").alias("_t")), "id").where(F.concat(F.lit(" "), "_t", F.lit(" ")).contains(F.concat(F.lit(" "), "form", F.lit(" "))))
-    hit = met.where("_one").select("entity_id", "id", "url", "published_at").union(phrase.select("entity_id", "id", "url", "published_at"))
-    one = hit.groupBy("entity_id", "url", "published_at").agg(F.min("id").alias("id"))
+    met = texts.select("id", F.explode(F.array_distinct(F.split("t", " "))).alias("word")).join(f, "word")
+    phrase = met.where("not _one").join(texts.select("id", "t"), "id").where(F.concat(F.lit(" "), "t", F.lit(" ")).contains(F.concat(F.lit(" "), "form", F.lit(" "))))
+    return met.where("_one").select("id", "form").union(phrase.select("id", "form"))
+
+
+def news_for_entities(news: DataFrame, forms: DataFrame, k: int) -> DataFrame:
+    """forms(entity_id, form) of one or more words: the newest k articles that contain one, once per (entity, url, published_at)."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
+    f = forms.select("entity_id", plain("form").alias("form")).where("form <> ''").distinct()
+    found = forms_in(news.select("id", plain("content").alias("t")), f)
+    hit = found.join(news.select("id", "url", "published_at"), "id")
+    # the same form of many entities: its articles are made one per (url, published_at) before they spread
+    one = hit.groupBy("form", "url", "published_at").agg(F.min("id").alias("id")).join(f, "form").groupBy("entity_id", "url", "published_at").agg(F.min("id").alias("id"))
     w = W.partitionBy("entity_id").orderBy(F.desc("published_at"), "id")
     return one.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
 

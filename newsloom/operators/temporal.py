@@ -10,6 +10,68 @@ from newsloom.functions import expr
 from newsloom.functions.shared import settle
 
 TRIPLE = ["subject", "predicate", "object"]
+ORDER = ["time", "event", "line"]
+
+
+#: Rows of one key that a window may sort in one task; keys with more are cut into slices of time.
+HOT = 1_000_000
+
+
+def sliced(rows: DataFrame, *order: str) -> DataFrame:
+    """rows dealt by ranges of order, with the number of the range as _p, as a table."""
+    return settle(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+
+
+def by_heat(rows: DataFrame, keys: list[str], job) -> DataFrame:
+    """job(rows, False), for keys with up to HOT rows, with job(rows, True) for the others, if there are any."""
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select(*keys)
+    if not hot.limit(1).count():
+        return job(rows, False)
+    hot = settle(hot)
+    same = [rows[k].eqNullSafe(hot[k]) for k in keys]
+    return job(rows.join(hot, same, "left_anti"), False).unionByName(job(rows.join(hot, same, "left_semi"), True))
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left as l and right as r, joined on keys, nulls included."""
+    return left.alias("l").join(right.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+
+
+def stepped(rows: DataFrame, keys: list[str], order: list[str], column: str, name: str, step: int = 1, hot: bool = False) -> DataFrame:
+    """rows with a column's value in the next row of the key (step 1) or in the one before (step -1).
+
+    Hot keys are cut into slices by range; a slice's last (first) row takes the value from the first (last) row of
+    the next slice (the one before), of which there is one per key and slice.
+    """
+    near = F.lead if step > 0 else F.lag
+    if not hot:
+        return rows.withColumn(name, near(column).over(W.partitionBy(*keys).orderBy(*order)))
+    part = sliced(rows, *keys, *order)
+    item = F.struct(F.struct(*order), F.col(column).alias("v"))
+    edge = part.groupBy("_p", *keys).agg((F.min(item) if step > 0 else F.max(item)).alias("_e"))
+    edge = edge.withColumn("_e", near("_e").over(W.partitionBy(*keys).orderBy("_p")))
+    inside = part.withColumn("_in", near(F.struct(F.col(column).alias("v"))).over(W.partitionBy("_p", *keys).orderBy(*order)))
+    value = F.when(F.col("l._in").isNotNull(), F.col("l._in.v")).otherwise(F.col("r._e.v"))
+    return _beside(inside, edge, ["_p", *keys]).select(*[F.col(f"l.{c}") for c in rows.columns], value.alias(name))
+
+
+def summed(rows: DataFrame, keys: list[str], order: list[str], column: str, name: str, hot: bool = False) -> DataFrame:
+    """rows with the running sum of a column per key; of hot keys by slices, with the sums of the slices before added."""
+    run = lambda *by: F.sum(column).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    if not hot:
+        return rows.withColumn(name, run(*keys))
+    part = sliced(rows, *keys, *order)
+    w = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    before = part.groupBy("_p", *keys).agg(F.sum(column).alias("_s")).withColumn("_low", F.coalesce(F.sum("_s").over(w), F.lit(0)))
+    return _beside(part.withColumn("_in", run("_p", *keys)), before, ["_p", *keys]).select(*[F.col(f"l.{c}") for c in rows.columns], (F.col("_in") + F.col("_low")).alias(name))
+
+
+def top_rows(rows: DataFrame, keys: list[str], order: list[str], k: int, name: str, hot: bool = False) -> DataFrame:
+    """The first k rows of each key, numbered; of hot keys first those of each slice."""
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    if hot:
+        rows = sliced(rows, *keys, *order).withColumn("_k", rank("_p", *keys)).where(F.col("_k") <= k).drop("_k", "_p")
+    return rows.withColumn(name, rank(*keys)).where(F.col(name) <= k)
 
 
 def relation_states(relations: DataFrame, algorithm: str = "timeline") -> DataFrame:
@@ -17,8 +79,7 @@ def relation_states(relations: DataFrame, algorithm: str = "timeline") -> DataFr
 
     Per triple by (time, event, line). state_text is capped at 240 characters, quote at 180.
     """
-    w = W.partitionBy(*TRIPLE).orderBy("time", "event", "line")
-    return states_of(relations.withColumn("next", F.lead("time").over(w)), algorithm)
+    return states_of(by_heat(relations, TRIPLE, lambda r, hot: stepped(r, TRIPLE, ORDER, "time", "next", 1, hot)), algorithm)
 
 
 def states_of(rows: DataFrame, algorithm: str = "timeline") -> DataFrame:
@@ -32,19 +93,29 @@ def states_of(rows: DataFrame, algorithm: str = "timeline") -> DataFrame:
 
 def before_edges(participants: DataFrame) -> DataFrame:
     """(entity_id, from_id, to_id, time): each entity's consecutive events."""
-    w = W.partitionBy("entity_id").orderBy("time", "event_id")
-    return participants.select("entity_id", F.lag("event_id").over(w).alias("from_id"), F.col("event_id").alias("to_id"), "time").where("from_id is not null")
+    rows = participants.select("entity_id", "event_id", "time")
+    p = by_heat(rows, ["entity_id"], lambda r, hot: stepped(r, ["entity_id"], ["time", "event_id"], "event_id", "from_id", -1, hot))
+    return p.select("entity_id", "from_id", F.col("event_id").alias("to_id"), "time").where("from_id is not null")
 
 
 def gap_sessions(relations: DataFrame, gap_days: int = 30) -> DataFrame:
     """A triple's history split where the gap exceeds gap_days: start, end, n, the first five evidences."""
-    w = W.partitionBy(*TRIPLE).orderBy("time", "event", "line")
-    cut = F.col("time") > F.lag("time").over(w) + F.expr(f"INTERVAL {gap_days} DAYS")
-    numbered = relations.withColumn("session", F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(w))
-    place = F.row_number().over(W.partitionBy(*TRIPLE, "session").orderBy("time", "event", "line"))
-    few = F.collect_list(F.when(F.col("_n") <= 5, F.struct("_n", "evidence")))
-    out = numbered.withColumn("_n", place).groupBy(*TRIPLE, "session").agg(F.min("time").alias("start"), F.max("time").alias("end"), F.count("*").alias("n"), F.array_sort(few).alias("_e"))
-    return out.withColumn("evidence", F.transform("_e", lambda x: x["evidence"])).drop("_e")
+    key = [*TRIPLE, "session"]
+
+    def job(rows: DataFrame, hot: bool) -> DataFrame:
+        marked = stepped(rows, TRIPLE, ORDER, "time", "_before", -1, hot)
+        marked = marked.withColumn("_cut", F.coalesce(F.col("time") > F.col("_before") + F.expr(f"INTERVAL {gap_days} DAYS"), F.lit(False)).cast("int"))
+        numbered = summed(marked, TRIPLE, ORDER, "_cut", "session", hot)
+        if not hot:
+            numbered = numbered.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*ORDER)))
+            few = F.array_sort(F.collect_list(F.when(F.col("_n") <= 5, F.struct("_n", "evidence"))))
+            return numbered.groupBy(*key).agg(F.min("time").alias("start"), F.max("time").alias("end"), F.count("*").alias("n"), few.alias("_e"))
+        numbered = settle(numbered)
+        few = top_rows(numbered, key, ORDER, 5, "_n", hot).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_n", "evidence"))).alias("_e"))
+        whole = numbered.groupBy(*key).agg(F.min("time").alias("start"), F.max("time").alias("end"), F.count("*").alias("n"))
+        return _beside(whole, few, key).select("l.*", "r._e")
+
+    return by_heat(relations, TRIPLE, job).withColumn("evidence", F.transform("_e", lambda x: x["evidence"])).drop("_e")
 
 
 def default_projection(observations: DataFrame) -> DataFrame:
@@ -111,30 +182,28 @@ def active_at(states: DataFrame, at) -> DataFrame:
 def active_per_frame(states: DataFrame, frames: DataFrame) -> DataFrame:
     """(idx, active, started): states that hold at each frame, and all that have started by then.
 
-    Starts and ends are counted by day and frame positions come from running sums over the days, so
-    neither side is compared with all of the other.
+    One sweep: starts, frames and ends are merged in order of time, starts before and ends after the frames of
+    their instant, and counted by running sums inside ranges of time, to which the counts of the ranges before are added.
     """
-    day = lambda c: F.to_date(c)
-    fr = frames.select("idx", "time", day("time").alias("day"))
-    one = states.select(F.col("valid_from").alias("t"), F.lit(1).alias("s"), F.lit(0).alias("e")).union(states.where("valid_to is not null").select("valid_to", F.lit(0), F.lit(1)))
-    per_day = one.groupBy(day("t").alias("day")).agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
-    # one row per day of history: small, so its running sum may be one partition
-    w = W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    days = fr.select("day").distinct().join(per_day, "day", "full").select("day", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("e", F.lit(0)).alias("e"))
-    run = days.select("day", F.coalesce(F.sum("s").over(w), F.lit(0)).alias("s0"), F.coalesce(F.sum("e").over(w), F.lit(0)).alias("e0"))
-    same = fr.join(one.withColumn("day", day("t")), "day").groupBy("idx").agg(F.sum(F.when(F.col("t") <= F.col("time"), F.col("s")).otherwise(0)).alias("s1"), F.sum(F.when(F.col("t") < F.col("time"), F.col("e")).otherwise(0)).alias("e1"))
-    out = fr.join(run, "day").join(same, "idx", "left")
-    started = F.col("s0") + F.coalesce("s1", F.lit(0))
-    return out.select("idx", (started - F.col("e0") - F.coalesce("e1", F.lit(0))).alias("active"), started.alias("started"))
+    count = lambda d, s, e, k: d.groupBy("t").agg(F.count("*").alias("n")).select("t", F.lit(k).alias("k"), (F.col("n") * s).alias("s"), (F.col("n") * e).alias("e"))
+    marks = count(states.where("valid_from is not null").select(F.col("valid_from").alias("t")), 1, 0, 0).union(count(states.where("valid_from is not null and valid_to is not null").select("valid_to").toDF("t"), 0, 1, 2))
+    part = sliced(marks.union(count(frames.select(F.col("time").alias("t")).where("t is not null"), 0, 0, 1)), "t", "k")
+    w = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    before = part.groupBy("_p").agg(F.sum("s").alias("s"), F.sum("e").alias("e")).select("_p", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}0") for c in "se"])
+    run = W.partitionBy("_p").orderBy("t", "k").rowsBetween(W.unboundedPreceding, 0)
+    at = part.select("_p", "t", "k", *[F.sum(c).over(run).alias(f"{c}1") for c in "se"]).where("k = 1").join(before, "_p")
+    at = at.select(F.col("t").alias("time"), (F.col("s0") + F.col("s1")).alias("started"), (F.col("e0") + F.col("e1")).alias("ended"))
+    return frames.select("idx", "time").join(at, "time").select("idx", (F.col("started") - F.col("ended")).alias("active"), "started")
 
 
 def frame_deltas(frames: DataFrame, intervals: DataFrame) -> DataFrame:
     """C17: (id, enters, exits): the frames at which an interval enters and leaves the picture, for those that are seen.
 
-    frames(idx, ts), idx in order of ts. An instant meets the frames of its own day and, after those, the first
-    frame of the days to come, so intervals are never compared with all frames.
+    frames(idx, ts), idx in order of ts. One sweep: starts, frames and ends are merged in order of time, starts
+    before and ends after the frames of their instant, and each takes the next frame of its range of time, or else the
+    first one of the ranges behind.
     """
-    fr = settle(frames.select("idx", "ts", F.to_date("ts").alias("day")))
+    fr = settle(frames.select("idx", "ts"))
     span = fr.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()  # one row
     if span["lo"] is None:
         return intervals.select("id", F.lit(None).cast("int").alias("enters"), F.lit(None).cast("int").alias("exits")).limit(0)
@@ -142,18 +211,14 @@ def frame_deltas(frames: DataFrame, intervals: DataFrame) -> DataFrame:
     lo, hi = (F.lit(str(span[c])).cast(kind) for c in ("lo", "hi"))
     seen = intervals.where((F.col("start") <= hi) & (F.col("end").isNull() | (F.col("end") >= lo)))
     seen = settle(seen.select("id", "start", "end"))
-    asked = seen.select(F.to_date("start").alias("day")).union(seen.where("end is not null").select(F.to_date("end"))).distinct()
-    first = fr.groupBy("day").agg(F.min("idx").alias("idx"))
-    # one row per day of history
-    later = F.min("idx").over(W.orderBy("day").rowsBetween(1, W.unboundedFollowing))
-    days = asked.join(first, "day", "full").select("day", later.alias("later"))
-
-    def at(column: str, test: str, name: str) -> DataFrame:
-        t = seen.where(f"{column} is not null").select(F.col(column).alias("t")).distinct().withColumn("day", F.to_date("t"))
-        same = t.join(fr.select("day", "idx", "ts"), "day").where(test).groupBy("t").agg(F.min("idx").alias("here"))
-        return t.join(days, "day", "left").join(same, "t", "left").select(F.col("t").alias(column), F.coalesce("here", "later").alias(name))
-
-    out = seen.join(at("start", "ts >= t", "enters"), "start", "left").join(at("end", "ts > t", "exits"), "end", "left")
+    mark = lambda c, k: seen.where(f"{c} is not null").select(F.col(c).alias("t")).distinct().select("t", F.lit(k).alias("k"), F.lit(None).cast("int").alias("idx"))
+    part = sliced(mark("start", 0).union(mark("end", 2)).union(fr.groupBy(F.col("ts").cast(kind).alias("t")).agg(F.min("idx").alias("idx")).select("t", F.lit(1), F.col("idx").cast("int"))), "t", "k")
+    behind = F.min("idx").over(W.orderBy("_p").rowsBetween(1, W.unboundedFollowing))  # a row per range
+    later = part.groupBy("_p").agg(F.min("idx").alias("idx")).select("_p", behind.alias("later"))
+    here = F.min("idx").over(W.partitionBy("_p").orderBy("t", "k").rowsBetween(0, W.unboundedFollowing))
+    at = settle(part.withColumn("here", here).where("k <> 1").join(later, "_p").select("t", "k", F.coalesce("here", "later").alias("frame")))
+    first, last = (at.where(F.col("k") == k).select(F.col("t").alias(c), F.col("frame").alias(n)) for k, c, n in ((0, "start", "enters"), (2, "end", "exits")))
+    out = seen.join(first, "start", "left").join(last, "end", "left")
     return out.where(F.col("exits").isNull() | (F.col("enters") < F.col("exits"))).select("id", "enters", "exits")
 
 
@@ -168,8 +233,8 @@ def relation_summary(relations: DataFrame, k: int = 5) -> DataFrame:
 
 def relation_history(relations: DataFrame, k: int = 200) -> DataFrame:
     """Per (subject, object) the first k (time, predicate, evidence), numbered."""
-    w = W.partitionBy("subject", "object").orderBy("time", "event", "line")
-    return relations.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    pair = ["subject", "object"]
+    return by_heat(relations, pair, lambda r, hot: top_rows(r, pair, ORDER, k, "n", hot))
 
 
 def relation_context(relations: DataFrame, mentions: DataFrame) -> DataFrame:

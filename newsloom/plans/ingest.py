@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import expr
 from newsloom.operators import ingest as I
+from newsloom.plans.temporal import STATES
 from newsloom.plans.views import ENT, KG, MENTION, NEWS, REL, sql, ts
 from newsloom.sources import views as V
 
@@ -27,7 +28,8 @@ FROM (SELECT entity, source, min(seq) AS s, min(reported_at) AS a, max(reported_
 
 
 def d2(spark, d):
-    o = I.upsert_events(I.event_rows(V.mentions(spark, d)))
+    told = V.mentions(spark, d).withColumn("start", F.when(F.col("seq") % 3 == 0, F.col("reported_at")))  # some events tell their start
+    o = I.upsert_events(I.event_rows(told))
     return o.select("event_id", "abstract", "summary", expr.ts_text(F.col("start")).alias("start"), expr.ts_text(F.col("first_seen")).alias("first_seen"), expr.ts_text(F.col("last_seen")).alias("last_seen"), F.array_join("event_types", ",").alias("event_types"), F.array_join("sources", ",").alias("sources"))
 
 
@@ -101,14 +103,13 @@ FROM (SELECT subject AS name, time FROM rel UNION ALL SELECT object, time FROM r
 def a16(spark, d):
     m = V.mentions(spark, d)
     forms = lambda x: I.ordered_items(x.withColumn("entity_id", expr.entity_id(F.col("entity"))), ["entity_id"], "source", "seq", "forms")
-    add, known = I.append_only(forms(m.where("seq % 50 = 0")), forms(m.where("event_type = 'click'")))
+    add, known = I.append_only(forms(m.where("reported_at < '2024-01-03'")), forms(m.where("reported_at >= '2024-01-03'")))
     tell = lambda x, s: x.select("entity_id", F.lit(s).alias("state"), F.array_join(F.array_sort("forms"), ",").alias("forms"))
     return tell(add, "new").union(tell(known, "known"))
 
 
 A16 = sql("""SELECT sha1('ent:' || entity) AS entity_id, CASE WHEN bool_or(old) THEN 'known' ELSE 'new' END AS state, string_agg(DISTINCT source, ',' ORDER BY source) AS forms
-FROM (SELECT entity, source, true AS old, false AS fresh FROM mention WHERE seq % 50 = 0 UNION ALL SELECT entity, source, false, true FROM mention WHERE event_type = 'click')
-GROUP BY entity HAVING bool_or(fresh)""", MENTION)
+FROM (SELECT entity, source, reported_at < TIMESTAMP '2024-01-03' AS old FROM mention) GROUP BY entity HAVING bool_or(NOT old)""", MENTION)
 
 
 def g4(spark, d):
@@ -130,24 +131,49 @@ UNION ALL SELECT 'events', count(*) FILTER (NOT known), count(*) FILTER (known)
 FROM (SELECT abstract, bool_or(reported_at < '2024-01-20' AND value < 5) AS known, bool_or(reported_at >= '2024-01-20') AS now FROM mention GROUP BY abstract) WHERE now""", MENTION)
 
 
+#: Per table of D20 its key, and what else must agree.
+_KEYS = {"entities": ["entity_id"], "events": ["event_id"], "participants": ["event_id", "entity_id"], "entity_mentions": ["mention_id"], "event_mentions": ["mention_id"], "news_event": ["news_id", "event_id"], "relations": ["event", "subject", "predicate", "object"], "states": ["event", "line"]}
+_MORE = {"entities": lambda: F.concat_ws(",", F.col("sources.id")), "events": lambda: F.concat_ws(",", F.col("sources.name")), "relations": lambda: F.col("kind"), "states": lambda: expr.ts_text(F.col("valid_to"))}
+
+
 def d20(spark, d):
-    t = I.ingest(V.mentions(spark, d))
+    """A row per row of every table: its key, and a column more of some."""
     out = None
-    for name, df in sorted(t.items()):
-        one = df.agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
+    for name, df in I.ingest(V.mentions(spark, d), V.relations(spark, d)).items():
+        more = _MORE[name]() if name in _MORE else F.lit(None)
+        one = df.select(F.lit(name).alias("table"), F.concat_ws("|", *_KEYS[name]).alias("key"), more.cast("string").alias("more"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-D20 = sql(f"""SELECT 'entities' AS "table", count(*) AS rows FROM ent UNION ALL SELECT 'events', count(*) FROM ev UNION ALL SELECT 'participants', count(*) FROM part_
-UNION ALL SELECT 'entity_mentions', count(DISTINCT entity || '|' || {ts('reported_at')} || '|' || source) FROM mention
-UNION ALL SELECT 'news_event', count(*) FROM (SELECT DISTINCT source, abstract FROM mention)""", KG)
+D20 = sql(f"""SELECT 'entities' AS "table", sha1('ent:' || entity) AS key, string_agg(sha1('src:' || source), ',' ORDER BY s) AS more FROM (SELECT entity, source, min(seq) AS s FROM mention GROUP BY ALL) GROUP BY entity
+UNION ALL SELECT DISTINCT 'entities', sha1('ent:' || name), '' FROM (SELECT subject AS name FROM rel UNION SELECT object FROM rel) WHERE name NOT IN (SELECT entity FROM mention)
+UNION ALL SELECT 'events', sha1('evt:' || abstract), string_agg(source, ',' ORDER BY s) FROM (SELECT abstract, source, min(seq) AS s FROM mention GROUP BY ALL) GROUP BY abstract
+UNION ALL SELECT 'participants', event_id || '|' || entity_id, NULL FROM part_
+UNION ALL SELECT DISTINCT 'entity_mentions', sha1('ent_mention:' || entity || '|' || {ts('reported_at')} || '|' || source), NULL FROM mention
+UNION ALL SELECT DISTINCT 'event_mentions', sha1('evt_mention:' || abstract || '|' || {ts('reported_at')} || '|' || source), NULL FROM mention
+UNION ALL SELECT DISTINCT 'news_event', source || '|' || sha1('evt:' || abstract), NULL FROM mention
+UNION ALL SELECT 'relations', event || '|' || subject || '|' || predicate || '|' || object, arg_max(kind, (time, line)) FROM rel GROUP BY event, subject, predicate, object
+UNION ALL SELECT 'states', event || '|' || line, {ts('valid_to')} FROM st""", KG, REL, STATES)
+
+
+def h10(spark, d):
+    """Each entity's sources as structs; every other mention has an id only, or a name with blanks."""
+    m = V.mentions(spark, d)
+    one = F.struct(F.when(F.col("seq") % 3 == 0, F.col("source")).alias("id"), F.when(F.col("seq") % 3 != 0, F.concat(F.lit(" "), "source")).alias("name"), F.lit("u").alias("url"))
+    first = m.groupBy("entity", one.alias("x")).agg(F.min("seq").alias("seq"))
+    packed = first.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("seq", "x"))).alias("l"))  # distinct sources
+    e = packed.select("entity", F.explode(expr.source_list(F.transform("l", lambda y: y["x"]))).alias("s"))
+    return e.select("entity", "s.id", "s.name", "s.url")
+
+
+H10 = sql("""SELECT entity, id, arg_min(name, seq) AS name, 'u' AS url FROM (SELECT entity, seq, source AS name, CASE WHEN seq % 3 = 0 THEN source ELSE sha1('src:' || source) END AS id FROM mention) GROUP BY entity, id""", MENTION)
 
 QUERIES = {
     "D1_upsert_entities": d1, "D2_upsert_events": d2, "D3_append_mentions": d3, "D4_upsert_participants": d4, "D5_upsert_relations": d5, "D6_upsert_replace": d6,
-    "C8_drop_processed_news": c8, "C12_complete_missing_entities": c12, "A16_append_only_update": a16, "G4_new_vs_known": g4, "D19_change_summary": d19, "D20_ingest_events": d20,
+    "C8_drop_processed_news": c8, "C12_complete_missing_entities": c12, "A16_append_only_update": a16, "G4_new_vs_known": g4, "D19_change_summary": d19, "D20_ingest_events": d20, "H10_source_lists": h10,
 }
 ORACLE = {
     "D1_upsert_entities": D1, "D2_upsert_events": D2, "D3_append_mentions": D3, "D4_upsert_participants": D4, "D5_upsert_relations": D5, "D6_upsert_replace": D6,
-    "C8_drop_processed_news": C8, "C12_complete_missing_entities": C12, "A16_append_only_update": A16, "G4_new_vs_known": G4, "D19_change_summary": D19, "D20_ingest_events": D20,
+    "C8_drop_processed_news": C8, "C12_complete_missing_entities": C12, "A16_append_only_update": A16, "G4_new_vs_known": G4, "D19_change_summary": D19, "D20_ingest_events": D20, "H10_source_lists": H10,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import expr
-from newsloom.functions.shared import ship
+from newsloom.functions.shared import file_system, ship
 
 NEWS_SCHEMA = "id string, source string, title string, content string, url string, published_at string, author string, category string, language string"
 EVENT_SCHEMA = (
@@ -129,26 +130,72 @@ def find_news(news: DataFrame, ident) -> DataFrame:
     return news.where(F.col("id") == ident)
 
 
+class Snapshots:
+    """Snapshots of graphs under a path. Tables are written to folders of their own first; a manifest that names the folder of every
+    graph is then moved into place under the next number, which fails if another writer took it. Readers see the last
+    manifest, so all graphs of one write or none, and a writer that dies leaves what was readable before.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._fs, self._at = file_system(spark, path)
+
+    def _manifests(self) -> list[int]:
+        folder = self._at(f"{self.path}/manifests")
+        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(folder) if s.getPath().getName().isdigit()) if self._fs.exists(folder) else []
+
+    def current(self) -> dict[str, str]:
+        """The folder of each graph type."""
+        have = self._manifests()
+        return json.loads(self.spark.read.text(f"{self.path}/manifests/{have[-1]}").first()["value"]) if have else {}
+
+    def publish(self, folders: dict[str, str]) -> None:
+        """Name these folders as the graphs' current ones; other graphs stay as they are."""
+        while True:
+            last = max(self._manifests(), default=0)
+            text = json.dumps(self.current() | folders)
+            made = f"{self.path}/manifests/_{uuid.uuid4().hex}"
+            self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(made)
+            if not self._fs.exists(self._at(f"{self.path}/manifests/{last + 1}")) and self._fs.rename(self._at(made), self._at(f"{self.path}/manifests/{last + 1}")):
+                return
+
+    def write(self, graphs: dict[str, tuple[DataFrame, DataFrame]], params: str = "") -> None:
+        """Nodes, edges and counts of these graphs, all at once."""
+        version, folders = f"v-{uuid.uuid4().hex}", {}
+        for name, (nodes, edges) in graphs.items():
+            at = folders[name] = f"{version}/{name}"
+            nodes.write.parquet(f"{self.path}/{at}/nodes")
+            edges.write.parquet(f"{self.path}/{at}/edges")
+            counts = [self.spark.read.parquet(f"{self.path}/{at}/{n}").count() for n in ("nodes", "edges")]
+            self.spark.createDataFrame([(name, *counts, params)], "graph_type string, n_nodes long, n_edges long, params string").write.parquet(f"{self.path}/{at}/meta")
+        self.publish(folders)
+
+    def read(self, graph_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        at = self.current()[graph_type]
+        return tuple(self.spark.read.parquet(f"{self.path}/{at}/{n}") for n in ("nodes", "edges", "meta"))
+
+    def list(self) -> DataFrame:
+        """graph_type, n_nodes, n_edges, params of all current snapshots."""
+        at = [f"{self.path}/{f}/meta" for f in self.current().values()]
+        return self.spark.read.parquet(*at) if at else self.spark.createDataFrame([], "graph_type string, n_nodes long, n_edges long, params string")
+
+
 def write_snapshot(nodes: DataFrame, edges: DataFrame, graph_type: str, path: str, params: str = "") -> None:
-    """A snapshot's nodes, edges and counts under path, by graph type."""
-    for name, df in (("nodes", nodes), ("edges", edges)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}/graph_type={graph_type}")
-    back = nodes.sparkSession.read.parquet
-    counts = [back(f"{path}/{n}/graph_type={graph_type}").count() for n in ("nodes", "edges")]
-    nodes.sparkSession.createDataFrame([(*counts, params)], "n_nodes long, n_edges long, params string").write.mode("overwrite").parquet(f"{path}/meta/graph_type={graph_type}")
+    """One graph's snapshot."""
+    Snapshots(nodes.sparkSession, path).write({graph_type: (nodes, edges)}, params)
 
 
 def read_snapshot(spark: SparkSession, path: str, graph_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{n}/graph_type={graph_type}") for n in ("nodes", "edges", "meta"))
+    return Snapshots(spark, path).read(graph_type)
 
 
 def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """graph_type, n_nodes, n_edges of all snapshots."""
-    return spark.read.parquet(f"{path}/meta").select("graph_type", "n_nodes", "n_edges")
+    return Snapshots(spark, path).list().select("graph_type", "n_nodes", "n_edges")
 
 
 def snapshot_all(participants: DataFrame, relations: DataFrame, edges: DataFrame, path: str, top_nodes: int = 500, max_edges: int = 5000) -> DataFrame:
-    """All five graphs written under path with their counts and parameters, then listed with both.
+    """All five graphs published under path at once with their counts and parameters, then listed with both.
 
     participants(event_id, entity_id, time), relations as temporal.relation_states takes them, edges of events.
     """
@@ -161,9 +208,9 @@ def snapshot_all(participants: DataFrame, relations: DataFrame, edges: DataFrame
         "EVENT_EVO": G.graph_event_evo(edges, top_nodes, max_edges),
     }
     params = json.dumps({"top_nodes": top_nodes, "max_edges": max_edges})
-    for name, (nodes, links) in graphs.items():
-        write_snapshot(nodes, links, name, path, params)
-    return participants.sparkSession.read.parquet(f"{path}/meta").select("graph_type", "n_nodes", "n_edges", "params")
+    made = Snapshots(participants.sparkSession, path)
+    made.write(graphs, params)
+    return made.list()
 
 
 # ---------------------------------------------------------------- page text

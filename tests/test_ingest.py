@@ -47,3 +47,28 @@ def test_roles_and_first_per(spark):
     d = spark.sql("select map('a', array('x')) as l, map('a', array('y', 'x'), 'b', array('z')) as r, array(named_struct('id', 1, 'v', 'p'), named_struct('id', 1, 'v', 'q')) as s")
     r = d.select(expr.merged_roles(F.col("l"), F.col("r")).alias("m"), expr.first_per(F.col("s"), "id").alias("s")).first()
     assert r["m"] == {"a": ["x", "y"], "b": ["z"]} and [x["v"] for x in r["s"]] == ["p"]
+
+
+def test_source_lists(spark):
+    import hashlib
+
+    from newsloom.functions import expr
+
+    sha = lambda n: hashlib.sha1(f"src:{n}".encode()).hexdigest()
+    kind = "l array<struct<id:string,name:string,url:string>>, n array<string>"
+    d = spark.createDataFrame([([(None, " a ", "u"), ("i", None, None), ("", "", "x"), (sha("a"), "b", ""), ("i", "c", "")], [" a", "a", "", None, "b"]), (None, [])], kind)
+    got = d.select(expr.source_list(F.col("l")).alias("l"), expr.named_sources(F.col("n")).alias("n")).collect()
+    assert [tuple(x) for x in got[0]["l"]] == [(sha("a"), "a", "u"), ("i", "i", "")]
+    assert [tuple(x) for x in got[0]["n"]] == [(sha("a"), "a", ""), (sha("b"), "b", "")]
+    assert got[1]["l"] is None and got[1]["n"] == []
+
+
+def test_forms_in_texts_both_ways(spark, monkeypatch):
+    from newsloom.operators import quality
+
+    t = spark.createDataFrame([(1, "a storm hits the coast"), (2, "the coast"), (3, None), (4, ""), (5, "storm storm hits"), (6, "coasts")], "id long, t string")
+    f = spark.createDataFrame([("storm",), ("the coast",), ("storm hits",), ("coast",), ("",)], "form string")
+    want = [(1, "coast"), (1, "storm"), (1, "storm hits"), (1, "the coast"), (2, "coast"), (2, "the coast"), (5, "storm"), (5, "storm hits")]
+    assert sorted(tuple(r) for r in quality.forms_in(t, f).collect()) == want
+    monkeypatch.setattr(quality, "FORMS", 3)
+    assert sorted(tuple(r) for r in quality.forms_in(t, f).collect()) == want

@@ -54,6 +54,26 @@ def test_snapshots(spark, tmp_path):
     assert news.read_snapshot(spark, str(tmp_path / "s"), "GE")[1].count() == 1
 
 
+def test_a_crash_between_writes_leaves_the_old_snapshot(spark, tmp_path, monkeypatch):
+    n, e = spark.createDataFrame([("a",), ("b",)], "node string"), spark.createDataFrame([("a", "b")], "src string, dst string")
+    s = news.Snapshots(spark, str(tmp_path / "s"))
+    assert s.list().count() == 0
+    s.write({"GE": (n, e), "EE": (n, e)}, "one")
+
+    def crash(folders):
+        raise OSError("gone")
+
+    monkeypatch.setattr(s, "publish", crash)
+    try:
+        s.write({"GE": (n.limit(1), e), "EE": (n.limit(1), e)}, "two")
+    except OSError:
+        pass
+    reader = news.Snapshots(spark, str(tmp_path / "s"))
+    assert {(r["graph_type"], r["n_nodes"], r["params"]) for r in reader.list().collect()} == {("GE", 2, "one"), ("EE", 2, "one")}
+    reader.write({"GE": (n.limit(1), e)}, "three")
+    assert {(r["graph_type"], r["n_nodes"], r["params"]) for r in reader.list().collect()} == {("GE", 1, "three"), ("EE", 2, "one")}
+
+
 def test_search_articles(spark):
     df = spark.sql("select 't' as title, 'd' as description, '' as content, 'u' as url, '2024-01-02T03:04:05Z' as publishedAt, named_struct('name', 's') as source")
     r = news.normalize_search_articles(df).first()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import dom
 from newsloom.llm.trees import Trees, boosted, kept
-from newsloom.llm.util import arrow_map, materialize, table
+from newsloom.llm.util import arrow_map, materialize, slices, table
 
 #: In front of every piece of text that does not belong to the article, in training pages only.
 MARK = ""
@@ -182,17 +182,30 @@ def main_text(page: str | None, trees: Trees) -> str:
     return dom.chosen_text(t, dom.decode(t, trees.probability(x)))
 
 
+#: Nodes that are scored at once, about: a page of more is scored by itself.
+NODES = 20_000
+
+
+def _scored(group: list[tuple[dom.Tree, np.ndarray]], trees: Trees) -> list[str]:
+    p = np.split(trees.probability(np.concatenate([x for _, x in group])), np.cumsum([len(x) for _, x in group])[:-1])
+    return [dom.chosen_text(t, dom.decode(t, q)) for (t, _), q in zip(group, p, strict=True)]
+
+
 def _extract(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     trees = model.value
-    for b in batches:
-        names = [n for n in b.schema.names if n != "html"]
-        for lo in range(0, b.num_rows, 128):
-            part = b.slice(lo, 128)
-            pages = [dom.parse(p or "") for p in part.column("html").to_pylist()]
-            xs = [dom.node_features(t)[0] for t in pages]
-            p = np.split(trees.probability(np.concatenate(xs)), np.cumsum([len(x) for x in xs])[:-1])
-            text = [dom.chosen_text(t, dom.decode(t, q)) for t, q in zip(pages, p, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(text, pa.string())], [*names, "text"])
+    for batch in batches:
+        for b in slices(batch, "html"):
+            text, group, nodes = [], [], 0
+            for page in b.column("html"):  # one page at a time: its tree is freed once its group is scored
+                t = dom.parse(page.as_py() or "")
+                x = dom.node_features(t)[0]
+                if group and nodes + len(x) > NODES:
+                    text, group, nodes = text + _scored(group, trees), [], 0
+                group.append((t, x))
+                nodes += len(x)
+            text += _scored(group, trees) if group else []
+            names = [n for n in b.schema.names if n != "html"]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(text, pa.string())], [*names, "text"])
 
 
 def extract(pages: DataFrame, trees: Trees, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

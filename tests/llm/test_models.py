@@ -183,6 +183,21 @@ def test_pages_cut_inside_a_tag():
     assert "".join(s for _, _, s in t.text) == "one 1 < 2 two three four "
 
 
+def test_declarations_that_never_end_take_linear_time():
+    for unit in ("<!", "<?", "<! ", "<!-", "<", "</", "<a "):
+        page = "<p>text</p>" + unit * (1_000_000 // len(unit))
+        began = time.time()
+        t = dom.parse(page)
+        assert "".join(s for _, _, s in t.text).startswith("text") and time.time() - began < 20, unit
+
+
+def test_groups_of_nodes_change_nothing(spark, trees):
+    pages = [(i, "u", html.Writer(500 + i).page().replace(html.MARK, "")) for i in range(12)] + [(50, "u", "<p>" + "<i>a </i>" * 30_000), (51, "u", None)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(d, trees).collect()}
+    assert got == {i: html.main_text(p, trees) for i, _, p in pages}
+
+
 def test_page_edges(spark, trees):
     deep = "<div>" * 3000 + "text" + "</div>" * 10
     rows = [(1, None), (2, ""), (3, "no markup, only a line of text."), (4, "<p>" + "word " * 60000), (5, "</p></div><<<>"), (6, deep), (7, "<article><p>a < b and c</p>")]

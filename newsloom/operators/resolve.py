@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import expr
-from newsloom.functions.shared import settle
+from newsloom.functions.shared import Scratch, settle, ship, ship_package
 from newsloom.operators import dedup
 
 # ---------------------------------------------------------------- candidates
@@ -190,10 +192,90 @@ def choose_primary(groups: DataFrame) -> DataFrame:
     return groups.groupBy("leader").agg(F.min_by("id", order).alias("primary"))
 
 
-def semantic_matches(asked: DataFrame, vectors: DataFrame, least: float, block: str) -> DataFrame:
-    """I8: (query_id, vec_id, score): vectors of the same block whose (cos + 1) / 2 with the asked one is at `least` or more."""
-    q = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), block)
-    return q.join(vectors, block).where("query_id <> vec_id").select("query_id", "vec_id", dedup.cosine(F.col("q"), F.col("embedding")).alias("score")).where(F.col("score") >= least)
+#: Vectors in a cell, about, and pivots that the vectors of one block are dealt by at most.
+CELL, PIVOTS = 1024, 64
+
+
+def _unit(t: pa.Table, column: str) -> np.ndarray:
+    v = t.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _nearest(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Each vector's cell: its nearest pivot."""
+    if not rows.num_rows or not pivots.num_rows:
+        return rows.select(["block", "id", "v"]).append_column("cell", pa.array(np.zeros(rows.num_rows, np.int32)))
+    x, p = _unit(rows, "v"), _unit(pivots, "v")
+    return rows.select(["block", "id", "v"]).append_column("cell", pa.array((x @ p.T).argmax(1).astype(np.int32)))
+
+
+def _ball(t: pa.Table) -> pa.Table:
+    """A cell's part: its middle direction and the largest angle from it."""
+    x = _unit(t, "v")
+    middle = x.mean(0)
+    size = np.linalg.norm(middle)
+    middle = middle / size if size > 1e-9 else x[0]
+    radius = float(np.arccos(np.clip(x @ middle, -1, 1)).max())
+    return pa.table([t.column("block").slice(0, 1), t.column("part").slice(0, 1), pa.array([middle.tolist()], pa.list_(pa.float64())), pa.array([radius])], ["block", "part", "middle", "radius"])
+
+
+def _tile(least: float):
+    def run(q: pa.Table, x: pa.Table) -> pa.Table:
+        if not q.num_rows or not x.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["query_id", "vec_id", "score"])
+        score = (_unit(q, "v") @ _unit(x, "v").T + 1) / 2
+        a, b = q.column("id").to_numpy(), x.column("id").to_numpy()
+        i, j = np.nonzero((score >= least) & (a[:, None] != b[None, :]))
+        return pa.table([pa.array(a[i]), pa.array(b[j]), pa.array(score[i, j])], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def semantic_matches(asked: DataFrame, vectors: DataFrame, least: float, block: str, stats: list | None = None) -> DataFrame:
+    """I8: (query_id, vec_id, score): vectors of the same block whose (cos + 1) / 2 with the asked one is at `least` or more.
+
+    The vectors of a block go to the nearest of at most PIVOTS of them, and these cells in parts of about CELL. A part is a
+    ball of directions; the angle between two members is at least that of the middles less both radii, so pairs of
+    parts that are too far apart are left out, exactly. Each other pair is one task and one matrix product. Null and
+    zero vectors and null blocks match nothing. Vectors of a block must be of one length. If `stats` is given, how many tiles there are and are kept is appended.
+    """
+    spark = vectors.sparkSession
+    ship_package(spark)
+    scratch = Scratch(spark, "matches")
+    has = F.col("embedding").isNotNull() & F.exists("embedding", lambda c: c != 0)
+    both = [d.where(has & F.col(block).isNotNull()).select(F.col(block).alias("block"), F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda c: c.cast("double")).alias("v"), F.lit(k).alias("side")) for k, d in enumerate((asked, vectors))]
+    both = scratch.settle(both[0].union(both[1]))
+    size = scratch.settle(both.where("side = 1").groupBy("block").agg(F.count("*").alias("n")))
+    place = F.row_number().over(W.partitionBy("block").orderBy("h", "id"))
+    lot = both.where("side = 1").join(size, "block").withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.greatest(F.col("n") / (4 * PIVOTS), F.lit(1)).cast("long")) == 0)
+    pivots = lot.withColumn("k", place).where(F.col("k") <= PIVOTS).select("block", "v")  # of about 4 * PIVOTS rows of a block
+    kind = both.schema["block"].dataType.simpleString()
+    slices = both.join(size, "block").withColumn("slice", F.pmod(F.xxhash64("id", "side"), F.ceil(F.col("n") / (64 * CELL)))).drop("n")
+    dealt = pivots.join(size, "block").select(F.col("block").alias("block"), F.col("v").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / (64 * CELL)) - 1)).alias("slice"))
+
+    def cells(side: int) -> DataFrame:
+        one = slices.where(F.col("side") == side).groupBy("block", "slice").cogroup(dealt.groupBy("block", "slice")).applyInArrow(_nearest, f"block {kind}, id long, v array<double>, cell int")
+        one = scratch.settle(one)
+        n = one.groupBy("block", "cell").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+        return scratch.settle(one.join(n, ["block", "cell"]).select("block", "id", "v", F.concat_ws("/", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("string")).alias("part")))
+
+    q, x = cells(0), cells(1)
+    ball = f"block {kind}, part string, middle array<double>, radius double"
+    a, b = (scratch.settle(d.groupBy("block", "part").applyInArrow(_ball, ball)) for d in (q, x))
+    dot = F.aggregate(F.zip_with("a.middle", "b.middle", lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    far = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("a.radius") - F.col("b.radius")
+    angle = float(np.arccos(np.clip(2 * least - 1, -1, 1))) + 1e-7
+    pairs = scratch.settle(a.alias("a").join(b.alias("b"), F.col("a.block") == F.col("b.block")).select(F.col("a.block").alias("block"), F.col("a.part").alias("pa"), F.col("b.part").alias("pb"), (far <= angle).alias("near")))
+    if stats is not None:
+        stats.append(pairs.agg(F.count("*").alias("tiles"), F.count_if("near").alias("kept")).first().asDict())
+    near = pairs.where("near").drop("near")
+    key = ["block", "pa", "pb"]
+    fresh = lambda d: d.select(*[F.col(c).alias(c) for c in d.columns])  # noqa: E731  columns of its own for each side
+    left, right = fresh(q.withColumnRenamed("part", "pa").join(near, ["block", "pa"])), fresh(x.withColumnRenamed("part", "pb").join(near, ["block", "pb"]))
+    out = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(ship(_tile)(least), "query_id long, vec_id long, score double")
+    out = settle(out)
+    scratch.close()
+    return out
 
 
 def refresh(entities: DataFrame, decided: DataFrame, rules: DataFrame, least: float = 0.93) -> DataFrame:

@@ -16,17 +16,17 @@ tt = lambda c: expr.ts_text(F.col(c)).alias(c)
 def extracted(spark, d):
     """Events as an extractor returns them, with gaps."""
     n = V.news(spark, d)
-    words = F.slice(F.split("title", " "), 1, 4)
+    words = F.split("title", " ")
     return n.select(
-        "id", F.when(F.col("id") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), F.substring("title", 1, 30))).alias("abstract"),
+        "id", F.when(F.col("id") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "title")).alias("abstract"),
         F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("language")).alias("event_summary"),
         F.when(F.col("id") % 11 == 0, F.array().cast("array<string>")).otherwise(words).alias("entities"),
         F.when(F.col("id") % 3 == 0, F.slice(words, 1, 2)).alias("entities_original"),
     )
 
 
-EXTRACTED = """x AS (SELECT id, CASE WHEN id % 7 = 0 THEN '  ' ELSE ' ' || title[:30] END AS abstract, CASE WHEN id % 5 = 0 THEN NULL ELSE language END AS event_summary,
-  CASE WHEN id % 11 = 0 THEN []::VARCHAR[] ELSE string_split(title, ' ')[:4] END AS entities, CASE WHEN id % 3 = 0 THEN string_split(title, ' ')[:2] END AS entities_original FROM news)"""
+EXTRACTED = """x AS (SELECT id, CASE WHEN id % 7 = 0 THEN '  ' ELSE ' ' || title END AS abstract, CASE WHEN id % 5 = 0 THEN NULL ELSE language END AS event_summary,
+  CASE WHEN id % 11 = 0 THEN []::VARCHAR[] ELSE string_split(title, ' ') END AS entities, CASE WHEN id % 3 = 0 THEN string_split(title, ' ')[:2] END AS entities_original FROM news)"""
 
 
 def b1(spark, d):
@@ -157,11 +157,11 @@ B15 = sql("SELECT id, CASE WHEN length(content) > 500 THEN content[:500] || '...
 
 def b16(spark, d):
     n = V.news(spark, d)
-    e = n.select(F.substring("title", 1, 40).alias("abstract"), "published_at", "source", F.array("language", "source").alias("entities"), F.col("language").alias("summary"))
+    e = n.select(F.col("title").alias("abstract"), "published_at", "source", F.array("language", "source").alias("entities"), F.col("language").alias("summary"))
     return Q.event_report(e, 30).withColumn("published_at", expr.ts_text(F.col("published_at"))).withColumn("total", F.col("total").cast("long"))
 
 
-B16 = sql(f"""SELECT row_number() OVER (ORDER BY n.published_at DESC, title[:40])::INT AS rank, title[:40] AS abstract, {ts('n.published_at')} AS published_at, source, language || ', ' || source AS entities, language AS summary, count(*) OVER () AS total
+B16 = sql(f"""SELECT row_number() OVER (ORDER BY n.published_at DESC, title)::INT AS rank, title AS abstract, {ts('n.published_at')} AS published_at, source, language || ', ' || source AS entities, language AS summary, count(*) OVER () AS total
 FROM news n ORDER BY n.published_at DESC, abstract LIMIT 30""", NEWS)
 
 
@@ -188,11 +188,11 @@ count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') A
 
 def c6b(spark, d):
     m, _, ev, _ = kg(spark, d)
-    seen = m.where("value > 20").select(expr.event_id(F.col("abstract")).alias("event_id"), F.when(F.col("seq") % 2 == 0, "builder").otherwise("seed").alias("algorithm"))
+    seen = m.where("event_type <> 'error'").select(expr.event_id(F.col("abstract")).alias("event_id"), F.when(F.col("seq") % 2 == 0, "builder").otherwise("seed").alias("algorithm"))
     return Q.missing_by_algorithm(ev, seen, "builder").select("event_id", expr.ts_text(F.col("first_seen")).alias("first_seen"))
 
 
-C6B = sql(f"SELECT event_id, {ts('ev.first_seen')} AS first_seen FROM ev WHERE abstract NOT IN (SELECT abstract FROM mention WHERE value > 20 AND seq % 2 = 0)", KG)
+C6B = sql(f"SELECT event_id, {ts('ev.first_seen')} AS first_seen FROM ev WHERE abstract NOT IN (SELECT abstract FROM mention WHERE event_type <> 'error' AND seq % 2 = 0)", KG)
 
 
 def f4(spark, d):

@@ -43,9 +43,9 @@ C14B = sql("SELECT a, p_partkey AS b, replace(p_name, ' ', '') AS key FROM part
 
 
 def c15(spark, d):
-    n = V.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    n = n.select("name", F.xxhash64("name").alias("id"))
-    return R.pairs_similar(n).select(F.round("score", 6).alias("score"), "a", "b")
+    """Events of one kind whose dates differ in a digit."""
+    n = V.mentions(spark, d).select(F.col("abstract").alias("name")).distinct()
+    return R.pairs_similar(n.select("name", F.col("name").alias("id"))).select(F.round("score", 6).alias("score"), "a", "b")
 
 
 def c15b(spark, d):

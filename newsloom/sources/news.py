@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 import uuid
 
 import pandas as pd
@@ -221,17 +222,55 @@ BLOCKS = ("article", "main", "section", "div", "p", "br", "li", "h[1-6]", "block
 SENTENCE = "[。！？.!?]"
 
 
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape)
+_OPEN = {t: (re.compile(rf"<{t}\b", re.I | re.A), re.compile(rf"</{t}\s*>", re.I | re.A)) for t in SKIPPED}
+_LINE = re.compile(rf"</?(?:{'|'.join(BLOCKS)})\b[^>]*>", re.I | re.A)
+_TAG = re.compile(r"<[!/a-zA-Z][^>]*>")
+
+
+def _without(page: str, tag: str) -> str:
+    """page without the elements of a tag, each up to the first end tag behind its start tag; one without an end tag stays.
+
+    All positions only move forward, so starts without an end cost no more than others.
+    """
+    opening, closing = _OPEN[tag]
+    ends = [m.span() for m in closing.finditer(page)]
+    out, at, gt, k = [], 0, -1, 0
+    for m in opening.finditer(page) if ends else ():
+        if m.start() < at:
+            continue
+        if gt < m.start():
+            gt = page.find(">", m.start())
+        while k < len(ends) and ends[k][0] <= gt:
+            k += 1
+        if gt < 0 or k == len(ends):
+            break
+        out.append(page[at : m.start()])
+        at = ends[k][1]
+    return "".join([*out, page[at:]])
+
+
+def visible(page: str) -> str:
+    """The page's text with a line break for each tag that ends a line: comments and skipped elements go, then all tags, then references are decoded. Linear in the page."""
+    out, at = [], 0
+    while (i := page.find("<!--", at)) >= 0 and (j := page.find("-->", i + 4)) >= 0:
+        out.append(page[at:i])
+        at = j + 3
+    page = "".join([*out, page[at:]])
+    for tag in SKIPPED:
+        page = _without(page, tag)
+    cut = page.rfind(">") + 1  # behind it no tag ends
+    head = _LINE.sub("\n", page[:cut]) + page[cut:]
+    cut = head.rfind(">") + 1
+    return html.unescape(_TAG.sub("", head[:cut]) + head[cut:])
+
+
+def _visible(page: pd.Series) -> pd.Series:
+    return page.map(lambda p: visible(p or ""))
 
 
 def page_text(page: Column, most: int = 20_000, least: int = 30) -> Column:
     """K9: the lines of a page with `least` characters or a sentence mark; a first line of 8 characters may be shorter; at most `most` characters."""
-    t = F.regexp_replace(F.coalesce(page, F.lit("")), r"(?s)<!--.*?-->", "")
-    for tag in SKIPPED:
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    t = F.regexp_replace(t, rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n")
-    t = ship(F.pandas_udf(_unescape, "string"))(F.regexp_replace(t, r"(?s)<[!/a-zA-Z][^>]*>", ""))
+    t = ship(F.pandas_udf(_visible, "string"))(page)
     t = F.regexp_replace(F.translate(t, " ", " "), r"[ \t\r\f\x0B]+", " ")
     lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     full = lambda x: (F.length(x) >= least) | x.rlike(SENTENCE)

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import re
 from difflib import SequenceMatcher
 
+import numpy as np
 from helpers import DATA, rows
 from pyspark.sql import functions as F
 
@@ -223,3 +225,34 @@ def test_rounds_and_replay_agree(spark):
         near = spark.createDataFrame(edges, "a long, b long")
         for most in (0, 20, 10**6):
             assert sorted(tuple(r) for r in dedup.greedy_leaders(ids, near, most).collect()) == want
+
+
+def test_similar_names_against_all_pairs_of_a_block(spark):
+    from newsloom.plans import resolve as plans
+
+    names = [r["abstract"] for r in views.mentions(spark, DATA).select("abstract").distinct().collect()]
+    plain = {n: re.sub(r"[\s·•\-_.,，。（）()\[\]{}\"']", "", n.lower()) for n in names}
+    want = set()
+    for x in names:
+        for y in names:
+            if x < y and plain[x][:6] == plain[y][:6] and SequenceMatcher(None, plain[x], plain[y]).ratio() >= 0.92:
+                want.add((x, y))
+    got = {(r["a"], r["b"]) for r in plans.QUERIES["C15_pairs_similar"](spark, DATA).collect()}
+    assert got == want and want
+
+
+def test_semantic_matches_in_pruned_tiles(spark, monkeypatch):
+    """Clusters far apart: the same matches as all pairs, and most tiles are left out."""
+    monkeypatch.setattr(resolve, "CELL", 16)
+    r = np.random.default_rng(7)
+    centre = r.normal(size=(12, 8))
+    vectors = [(i, (centre[i % 12] + 0.05 * r.normal(size=8)).tolist(), i % 2) for i in range(400)] + [(400, [0.0] * 8, 0), (401, None, 0), (402, [1.0] * 8, None)]
+    d = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in vectors[:400]}
+    for least in (0.97, 0.8, 0.3):
+        stats = []
+        got = {(x["query_id"], x["vec_id"]): x["score"] for x in resolve.semantic_matches(d.where("vec_id % 5 = 0"), d, least, "label", stats).collect()}
+        want = {(a, b): (unit[a] @ unit[b] + 1) / 2 for a in range(0, 400, 5) for b in range(400) if a != b and a % 2 == b % 2 and (unit[a] @ unit[b] + 1) / 2 >= least}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+        if least == 0.97:
+            assert stats[0]["kept"] < 0.5 * stats[0]["tiles"]

@@ -1,4 +1,8 @@
+import html
 import json
+import random
+import re
+import time
 
 from helpers import DATA, rows
 from pyspark.sql import functions as F
@@ -74,6 +78,32 @@ def test_a_crash_between_writes_leaves_the_old_snapshot(spark, tmp_path, monkeyp
     assert {(r["graph_type"], r["n_nodes"], r["params"]) for r in reader.list().collect()} == {("GE", 1, "three"), ("EE", 2, "one")}
 
 
+def test_visible_text_as_the_patterns_tell():
+    """The same text as one pattern after another gives, on pages of all kinds of broken tags."""
+
+    def plain(t):
+        t = re.sub(r"(?s)<!--.*?-->", "", t)
+        for tag in news.SKIPPED:
+            t = re.sub(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "", t)
+        t = re.sub(rf"(?i)</?(?:{'|'.join(news.BLOCKS)})\b[^>]*>", "\n", t)
+        return html.unescape(re.sub(r"(?s)<[!/a-zA-Z][^>]*>", "", t))
+
+    r = random.Random(8)
+    piece = ["<p>", "</p>", "<script", "<script>", "</script>", "</SCRIPT >", "<style a='>'>", "</style>", "<nav>", "</nav", "</nav>", "<!--", "-->", "<!-->", "<", ">", "< b", "text", " &amp; ", "&lt;p&gt;", "\n", "<h1 x>", "<scripts>", "<br/>", "<aside>", "</aside>"]
+    for _ in range(20_000):
+        page = "".join(r.choices(piece, k=r.randint(0, 14)))
+        assert news.visible(page) == plain(page), page
+
+
+def test_unclosed_tags_take_linear_time():
+    for unit in ("<script", "<script>", "<!--", "<nav ", "<p ", "<script </script", "<style></script>"):
+        page = unit * (1_000_000 // len(unit))
+        for text in (page, page + "</script>", page + "</style>"):
+            began = time.time()
+            news.visible(text)
+            assert time.time() - began < 5, unit
+
+
 def test_search_articles(spark):
     df = spark.sql("select 't' as title, 'd' as description, '' as content, 'u' as url, '2024-01-02T03:04:05Z' as publishedAt, named_struct('name', 's') as source")
     r = news.normalize_search_articles(df).first()

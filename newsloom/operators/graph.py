@@ -199,14 +199,18 @@ def min_degree_subgraph(edges: DataFrame, least: int, k: int) -> tuple[DataFrame
 
 
 def k_hop(edges: DataFrame, focus: list, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes within `depth` undirected steps of the focus, with their distance, and the edges among them."""
+    """Nodes within `depth` undirected steps of the focus, with their distance, and the edges among them.
+
+    Each hop's new nodes are a table of their own, so the plan of a hop does not hold those before. A hop without new nodes is the last.
+    """
     spark = edges.sparkSession
     both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct()
-    seen = spark.createDataFrame([(f, 0) for f in focus], f"node {edges.schema['src'].dataType.simpleString()}, hop int")
-    front = seen
+    seen = front = settle(spark.createDataFrame([(f, 0) for f in focus], f"node {edges.schema['src'].dataType.simpleString()}, hop int").distinct())
     for hop in range(1, depth + 1):
-        front = both.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
-        front = front.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else front
+        near = both.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        front = settle(near.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)))
+        if not front.limit(1).count():
+            break
         seen = seen.unionByName(front)
     return seen, inside(edges, seen)
 
@@ -219,6 +223,20 @@ def all_edges(participants: DataFrame, relations: DataFrame, edges: DataFrame, n
     return inside(a.unionByName(b).unionByName(c), nodes)
 
 
+def graph_visual(participants: DataFrame, entities: DataFrame, events: DataFrame, since: str, per_type: int = 20, title: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(nodes: node, degree, type, title; edges: src, dst, title) of the participants since an instant among the top of each type.
+
+    Titles are cut to `title` characters; an edge has its event's. Nodes that no edge uses stay.
+    """
+    e = participants.where(F.col("time") >= F.lit(since).cast(participants.schema["time"].dataType)).select(F.col("entity_id").alias("src"), F.col("event_id").alias("dst"))
+    name = entities.select(F.col("entity_id").alias("node"), F.col("name").alias("_e"))
+    what = events.select(F.col("event_id").alias("node"), F.col("abstract").alias("_v"))
+    n = degree(e).join(name, "node", "left").join(what, "node", "left")
+    n = n.select("node", "degree", F.when(F.col("_e").isNull(), "event").otherwise("entity").alias("type"), F.substring(F.coalesce("_e", "_v"), 1, title).alias("title"))
+    top = top_per_type(n, per_type)
+    return top, inside(e, top).join(top.select(F.col("node").alias("dst"), "title"), "dst").select("src", "dst", "title")
+
+
 def graph_ge(participants: DataFrame, k: int, most: int) -> tuple[DataFrame, DataFrame]:
     """The entity-event graph among the k nodes of the highest degree: (nodes, at most `most` edges)."""
     e = participants.select(F.col("entity_id").alias("src"), F.col("event_id").alias("dst"), "time")

@@ -311,3 +311,12 @@ def accept_observations(raw: DataFrame, fields: list[str]) -> DataFrame:
     full = F.filter("evidence", lambda x: (F.coalesce(x["mention_id"], F.lit("")) != "") & (F.coalesce(F.trim(x["quote"]), F.lit("")) != ""))
     ok = raw.where(F.col("field").isin(*fields) & (F.coalesce(F.trim("value_text"), F.lit("")) != "")).withColumn("evidence", full).where(F.size("evidence") > 0)
     return ok.withColumn("revision", F.lit(1)).withColumn("is_default", F.lit(1))
+
+
+def standard_event_pipeline(events: DataFrame, required: tuple[str, ...] = ("abstract", "event_summary"), most: int = 2000, stages=()) -> DataFrame:
+    """M2: extracted events validated, cleaned, marked with their errors, their abstracts truncated; then the caller's own stages, DataFrame to DataFrame."""
+    out = events.transform(validate_events).transform(clean_events).transform(lambda t: quality_errors(t, list(required)))
+    out = out.withColumn("abstract", truncated(F.col("abstract"), most))
+    for stage in stages:
+        out = out.transform(stage)
+    return out

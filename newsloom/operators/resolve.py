@@ -69,6 +69,18 @@ def plan_entity_merges(tasks: DataFrame, decisions: DataFrame) -> DataFrame:
     return j.select(F.when(keep_a, F.col("b")).otherwise(F.col("a")).alias("from_id"), F.when(keep_a, F.col("a")).otherwise(F.col("b")).alias("to_id")).distinct()
 
 
+def resolve_end_to_end(entities: DataFrame, pairs: DataFrame, decisions) -> tuple[DataFrame, DataFrame]:
+    """(merged entities, the closure (from_id, to_id)): candidate pairs(a, b), decided, applied.
+
+    decisions(tasks with input_hash, a, b, name_a, name_b) -> (input_hash, output), as a model or a reviewer gives them.
+    """
+    name = lambda k: entities.select(F.col("entity_id").alias(k), F.col("name").alias(f"name_{k}"))
+    tasks = pairs.select("a", "b").distinct().withColumn("input_hash", F.sha1(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string")))).join(name("a"), "a").join(name("b"), "b")
+    tasks = settle(tasks)
+    closure = resolve_redirects(plan_entity_merges(tasks, decisions(tasks)))
+    return merge_entities(entities, closure), closure
+
+
 def plan_event_decisions(tasks: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(merges (from_id, to_id), evolutions (from_id, to_id, edge_type, confidence), skipped (input_hash))."""
     j = tasks.join(decisions.select("input_hash", F.from_json("output", "decision string, edge_type string, confidence double").alias("d")), "input_hash")

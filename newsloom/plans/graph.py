@@ -309,12 +309,8 @@ J6 = sql("SELECT DISTINCT sha1('evt:' || abstract) AS src, sha1('ent:' || entity
 
 def j7(spark, d):
     """The visual graph: participants of the last ten days among the top of each type, with capped titles."""
-    m, ent, ev, p = kg(spark, d)
-    e = ge(p.where("time >= '2024-01-21'"))
-    g = G.degree(e).join(ent.select(F.col("entity_id").alias("node"), F.col("name").alias("title")), "node", "left").join(ev.select(F.col("event_id").alias("node"), F.col("abstract").alias("t2")), "node", "left")
-    g = g.select("node", "degree", F.when(F.col("title").isNull(), "event").otherwise("entity").alias("type"), F.substring(F.coalesce("title", "t2"), 1, 12).alias("title"))
-    top = G.top_per_type(g, 20)
-    return G.inside(e, top).join(top.select(F.col("node").alias("dst"), "title"), "dst").select("src", "dst", "title")
+    _, ent, ev, p = kg(spark, d)
+    return G.graph_visual(p, ent, ev, "2024-01-21 00:00:00")[1]
 
 
 J7 = sql(""", e AS (SELECT entity_id AS src, event_id AS dst FROM part_ WHERE time >= TIMESTAMP '2024-01-21'), """ + DEG.format("e") + """,

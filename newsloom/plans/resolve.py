@@ -285,12 +285,9 @@ I17 = sql("SELECT entity_id AS id, CASE WHEN name IN (SELECT entity FROM mention
 def i18(spark, d):
     """Candidates of one form, all decided to merge, applied to the names."""
     f = forms(spark, d)
-    task = R.enqueue_candidates(R.pairs_same_form(f, star=True), f.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("score")).limit(0), V.tasks(spark, d), 100_000)
-    n = f.select("id", "form")
-    t = task.join(n.select(F.col("id").alias("a"), F.col("form").alias("name_a")), "a").join(n.select(F.col("id").alias("b"), F.col("form").alias("name_b")), "b")
-    plan = R.plan_entity_merges(t, t.select("input_hash", F.lit('{"merge": true}').alias("output")))
-    e = n.select(F.col("id").alias("entity_id"), F.col("form").alias("name"), F.lit(0).alias("first_seen"), F.lit(0).alias("last_seen"))
-    return R.merge_entities(e, R.resolve_redirects(plan)).select("entity_id", "name", F.size("aliases").alias("n_aliases"))
+    e = f.select(F.col("id").alias("entity_id"), F.col("form").alias("name"), F.lit(0).alias("first_seen"), F.lit(0).alias("last_seen"))
+    merged, _ = R.resolve_end_to_end(e, R.pairs_same_form(f, star=True), lambda t: t.select("input_hash", F.lit('{"merge": true}').alias("output")))
+    return merged.select("entity_id", "name", F.size("aliases").alias("n_aliases"))
 
 
 I18 = sql(""", g AS (SELECT id, form, p_name, min(id) OVER (PARTITION BY p_name) AS a, min(id) FILTER (id % 2 = 0) OVER (PARTITION BY p_name) AS even FROM form),

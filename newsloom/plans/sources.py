@@ -122,10 +122,9 @@ FROM pages p LEFT JOIN ({K9}) t ON p.url = t.url"""
 
 
 def m2(spark, d):
-    """The standard event pipeline: validate, clean, mark errors, truncate."""
-    x = extracted(spark, d)
-    done = x.transform(Q.validate_events).transform(Q.clean_events).transform(lambda t: Q.quality_errors(t, ["abstract", "event_summary"]))
-    return done.select("id", Q.truncated(F.col("abstract"), 20).alias("abstract"), F.size("errors").cast("long").alias("errors"))
+    """The standard event pipeline, and a stage of the caller's: how many errors each event has."""
+    count = lambda t: t.select("id", "abstract", F.size("errors").cast("long").alias("errors"))
+    return Q.standard_event_pipeline(extracted(spark, d), most=20, stages=[count])
 
 
 M2 = sql("SELECT id, CASE WHEN length(trim(abstract, ' ')) > 20 THEN trim(abstract, ' ')[:20] || '...[cut]' ELSE trim(abstract, ' ') END AS abstract, 0::BIGINT AS errors FROM x WHERE trim(abstract) <> '' AND event_summary IS NOT NULL AND len(entities) > 0", NEWS, EXTRACTED)

@@ -23,3 +23,13 @@ def test_pairs_same_form_in_blocks(spark, monkeypatch):
     got = resolve.pairs_same_form(spark.createDataFrame(data, "id long, form string"))
     assert rows(got) == sorted(want, key=repr)
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_queue_of_best_pairs(spark):
+    """The best pairs that are not queued yet, however many of the best ones are; the pairs are not shuffled."""
+    same = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1000).alias("b"))
+    similar = spark.createDataFrame([(1000, 0, 0.5), (5, 6, 0.99), (6, 5, 0.98), (7, 8, 0.3)], "a long, b long, score double")
+    tasks = same.where("a < 390").select(expr.payload_hash(F.concat_ws(",", "a", "b")).alias("input_hash"), F.lit("pending").alias("status"))
+    left = lambda most: [(r.a, r.b, r.score, r.priority) for r in resolve.enqueue_candidates(same, similar, tasks, most).collect()]
+    best = [(a, a + 1000, 1.0, 100) for a in range(390, 400)] + [(5, 6, 0.99, 99), (7, 8, 0.3, 30)]
+    assert left(3) == best[:3] and left(11) == best[:11] and left(50) == best

@@ -6,6 +6,7 @@ import html
 import json
 import re
 import uuid
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -225,6 +226,12 @@ SENTENCE = "[。！？.!?]"
 _OPEN = {t: (re.compile(rf"<{t}\b", re.I | re.A), re.compile(rf"</{t}\s*>", re.I | re.A)) for t in SKIPPED}
 _LINE = re.compile(rf"</?(?:{'|'.join(BLOCKS)})\b[^>]*>", re.I | re.A)
 _TAG = re.compile(r"<[!/a-zA-Z][^>]*>")
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
+
+
+def _decoded(m: re.Match) -> str:
+    """A reference's character; a name that is none, and one without a semicolon, stay as they are."""
+    return html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
 
 
 def _without(page: str, tag: str) -> str:
@@ -250,7 +257,7 @@ def _without(page: str, tag: str) -> str:
 
 
 def visible(page: str) -> str:
-    """The page's text with a line break for each tag that ends a line: comments and skipped elements go, then all tags, then references are decoded. Linear in the page."""
+    """The page's text with a line break for each tag that ends a line: comments and skipped elements go, then all tags, then references that end with a semicolon are decoded. Linear in the page."""
     out, at = [], 0
     while (i := page.find("<!--", at)) >= 0 and (j := page.find("-->", i + 4)) >= 0:
         out.append(page[at:i])
@@ -261,7 +268,7 @@ def visible(page: str) -> str:
     cut = page.rfind(">") + 1  # behind it no tag ends
     head = _LINE.sub("\n", page[:cut]) + page[cut:]
     cut = head.rfind(">") + 1
-    return html.unescape(_TAG.sub("", head[:cut]) + head[cut:])
+    return _REFERENCE.sub(_decoded, _TAG.sub("", head[:cut]) + head[cut:])
 
 
 def _visible(page: pd.Series) -> pd.Series:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import expr
-from newsloom.functions.shared import file_system, ship
+from newsloom.functions.shared import file_system, settle, ship
 
 NEWS_SCHEMA = "id string, source string, title string, content string, url string, published_at string, author string, category string, language string"
 EVENT_SCHEMA = (
@@ -204,9 +204,12 @@ def snapshot_all(participants: DataFrame, relations: DataFrame, edges: DataFrame
     from newsloom.operators import graph as G
     from newsloom.operators import temporal as T
 
+    # what several graphs, and the nodes and edges of each, are made from is worked out once
+    participants, relations, edges = settle(participants.select("event_id", "entity_id", "time")), settle(relations), settle(edges)
+    summary, states = settle(T.relation_summary(relations)), settle(T.relation_states(relations).select("state_id", *T.TRIPLE, "valid_from", "valid_to"))
     graphs = {
         "GE": G.graph_ge(participants, top_nodes, max_edges), "GET": G.graph_get(participants, T.before_edges(participants), top_nodes, max_edges),
-        "EE": G.graph_ee(T.relation_summary(relations), top_nodes, max_edges), "EE_EVO": G.graph_ee_evo(T.relation_states(relations)),
+        "EE": G.graph_ee(summary, top_nodes, max_edges), "EE_EVO": G.graph_ee_evo(states),
         "EVENT_EVO": G.graph_event_evo(edges, top_nodes, max_edges),
     }
     params = json.dumps({"top_nodes": top_nodes, "max_edges": max_edges})

@@ -30,3 +30,21 @@ def test_pairs_of_large_events_are_not_shuffled(spark):
     out = graph.cooccurrence(d, 20)
     assert out.agg(F.count("*"), F.min("n"), F.max("n")).first()[:] == (2000 * 1999 // 2, 20, 20)
     assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weights_are_summed_in_tiles(spark, monkeypatch):
+    """Strips and blocks of many and of few entities, and events of all sizes, against the sums over all pairs."""
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    monkeypatch.setattr(graph, "SIDE", 8)
+    r = random.Random(9)
+    rows = [(f"v{e}", f"e{k}") for e in range(60) for k in r.sample(range(70), r.choice((3, 12, 50)))]
+    d = spark.createDataFrame(rows, "event_id string, entity_id string")
+    for strips in (1, 3):
+        monkeypatch.setattr(graph, "STRIPS", strips)
+        want = {}
+        for p in graph.cooccurrence(d, 7).collect():
+            for e in (p["a"], p["b"]):
+                want[e] = want.get(e, 0) + p["n"]
+        got = graph.cooccurrence(d, 7, summed=True)
+        assert {x["entity_id"]: x["weight"] for x in got.collect()} == want and want
+        assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()

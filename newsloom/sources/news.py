@@ -226,7 +226,7 @@ BLOCKS = ("article", "main", "section", "div", "p", "br", "li", "h[1-6]", "block
 SENTENCE = "[。！？.!?]"
 
 
-_OPEN = {t: (re.compile(rf"<{t}\b", re.I | re.A), re.compile(rf"</{t}\s*>", re.I | re.A)) for t in SKIPPED}
+_OPEN = {t: (re.compile(rf"<{t}\b", re.I | re.A), re.compile(rf"</{t}[ \t\n\f\r]*>", re.I | re.A)) for t in SKIPPED}
 _LINE = re.compile(rf"</?(?:{'|'.join(BLOCKS)})\b[^>]*>", re.I | re.A)
 _TAG = re.compile(r"<[!/a-zA-Z][^>]*>")
 _REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
@@ -259,38 +259,38 @@ def _without(page: str, tag: str) -> str:
     return "".join([*out, page[at:]])
 
 
-def visible(page: str) -> str:
-    """The page's text with a line break for each tag that ends a line: comments and skipped elements go, then all tags, then references that end with a semicolon are decoded. Linear in the page."""
+def visible(page: str, skipped: tuple[str, ...] = SKIPPED, references: tuple[str, ...] | None = None) -> str:
+    """The page's text with a line break for each tag that ends a line: comments and skipped elements go, then all tags, then references that end with a semicolon are decoded (if named, only those). Linear in the page."""
     out, at = [], 0
     while (i := page.find("<!--", at)) >= 0 and (j := page.find("-->", i + 4)) >= 0:
         out.append(page[at:i])
         at = j + 3
     page = "".join([*out, page[at:]])
-    for tag in SKIPPED:
+    for tag in skipped:
         page = _without(page, tag)
     cut = page.rfind(">") + 1  # behind it no tag ends
     head = _LINE.sub("\n", page[:cut]) + page[cut:]
     cut = head.rfind(">") + 1
-    return _REFERENCE.sub(_decoded, _TAG.sub("", head[:cut]) + head[cut:])
+    return _REFERENCE.sub(lambda m: _decoded(m) if references is None or m[0] in references else m[0], _TAG.sub("", head[:cut]) + head[cut:])
 
 
-def _visible(page: pd.Series) -> pd.Series:
-    return page.map(lambda p: visible(p or ""))
+def page_text(page: Column, most: int = 20_000, least: int = 30, skipped: tuple[str, ...] = SKIPPED, references: tuple[str, ...] | None = None, hard_spaces: bool = False) -> Column:
+    """K9: the lines of a page with `least` characters or a sentence mark; a first line of 8 characters may be shorter; at most `most` characters. No-break spaces are spaces unless they are kept."""
 
+    def shown(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: visible(p or "", skipped, references))
 
-def page_text(page: Column, most: int = 20_000, least: int = 30) -> Column:
-    """K9: the lines of a page with `least` characters or a sentence mark; a first line of 8 characters may be shorter; at most `most` characters."""
-    t = ship(F.pandas_udf(_visible, "string"))(page)
-    t = F.regexp_replace(F.translate(t, " ", " "), r"[ \t\r\f\x0B]+", " ")
+    t = ship(F.pandas_udf(shown, "string"))(page)
+    t = F.regexp_replace(t if hard_spaces else F.translate(t, "\u00a0", " "), r"[ \t\r\f\x0B]+", " ")
     lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     full = lambda x: (F.length(x) >= least) | x.rlike(SENTENCE)
     usable = F.filter(lines, lambda x: full(x) | (F.length(x) >= 8))
     return F.substring(F.array_join(F.filter(usable, lambda x, i: full(x) | (i == 0)), "\n"), 1, most)
 
 
-def main_text(pages: DataFrame, most: int = 20_000) -> DataFrame:
-    """K9: pages(page_id, url, html) -> page_id, url, text."""
-    return pages.select("page_id", "url", page_text(F.col("html"), most).alias("text"))
+def main_text(pages: DataFrame, most: int = 20_000, **options) -> DataFrame:
+    """K9: pages(page_id, url, html) -> page_id, url, text; options as page_text takes them."""
+    return pages.select("page_id", "url", page_text(F.col("html"), most, **options).alias("text"))
 
 
 def enrich_fulltext(news: DataFrame, texts: DataFrame, least: int = 200) -> DataFrame:

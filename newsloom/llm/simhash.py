@@ -73,10 +73,25 @@ def trie_links(values: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.n
     cut = np.flatnonzero(np.diff(group)) + 1
     lo, hi = np.r_[0, cut], np.r_[cut, len(values)]
     keep = hi - lo > 1
-    a0, a1 = lo[keep], hi[keep]
-    b0, b1, err = a0.copy(), a1.copy(), np.zeros(len(a0), np.int64)
+    return walk(values, (lo[keep], hi[keep]), (lo[keep], hi[keep]), budget)
+
+
+def walk(values: np.ndarray, one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], budget: int, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The walk over pairs of tries, each a range (begins, ends) of values: one's with other's, a range with itself or with one behind it.
+
+    With `every`, all index pairs i < j within `budget` bits come out, equal values too, and no stars.
+    """
+    (a0, a1), (b0, b1) = one, other
+    err = np.zeros(len(a0), np.int64)
     out: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def product(a0, a1, b0, b1):
+        """Each value of the first range with each of the second."""
+        n = (a1 - a0) * (b1 - b0)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(b1 - b0, n)
+        out.append((np.repeat(a0, n) + at // wide, np.repeat(b0, n) + at % wide))
+
     def star(a0, a1, b0, b1):
         """Every value of both ranges to the first of the first range; returns index pairs."""
         for s, e in ((a0, a1), (b0, b1)):
@@ -95,7 +110,7 @@ def trie_links(values: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.n
             a0, a1, b0, b1, err = (x[~one] for x in (a0, a1, b0, b1, err))
         full = err + bit + 1 <= budget
         if full.any():
-            star(a0[full], a1[full], b0[full], b1[full])
+            (product if every else star)(a0[full], a1[full], b0[full], b1[full])
             a0, a1, b0, b1, err = (x[~full] for x in (a0, a1, b0, b1, err))
         if not len(a0):
             break
@@ -107,9 +122,12 @@ def trie_links(values: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.n
         a0, a1, b0, b1, err = (np.concatenate(x) for x in zip(*parts, swap, strict=True))
         ok = (err <= budget) & (a1 > a0) & (b1 > b0) & ~((a0 == b0) & (a1 - a0 == 1))
         a0, a1, b0, b1, err = (x[ok] for x in (a0, a1, b0, b1, err))
-    out.append((a0, b0))  # single values, told apart by the last bit
+    if every:
+        product(a0, a1, b0, b1)
+    else:
+        out.append((a0, b0))  # single values, told apart by the last bit
     i, j = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-    return i, j
+    return (i[i < j], j[i < j]) if every else (i, j)
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -4,13 +4,18 @@
 outside its component: each is replayed in order of arrival by one task. Components too large for that go by rounds
 over the near pairs: a row all of whose earlier neighbours are dropped is kept, a row with a kept
 earlier neighbour is dropped, until all are decided.
+
+Of fingerprints the near pairs grow much faster than the rows, those with a kept row hardly. So they come in a few
+batches in order of arrival, each several times the one before: rows near a row that was kept before go at once,
+and only pairs of what is left are made.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,13 +37,27 @@ def simhash(text: Column) -> Column:
     return ship(F.pandas_udf(_simhash, "long"))(text)
 
 
+class _Digests(dict):
+    """The low 64 bits of tokens' MD5, each worked out once; emptied when there are very many."""
+
+    def __missing__(self, token: str) -> bytes:
+        if len(self) >= 500_000:
+            self.clear()
+        low = self[token] = hashlib.md5(token.encode()).digest()[8:]
+        return low
+
+
+_DIGESTS = _Digests()
+
+
 def _simhash(text: pd.Series) -> pd.Series:
     def one(t):
         tokens = (t or "").lower().split()
         if not tokens:
             return 0
-        low = b"".join(hashlib.md5(x.encode()).digest()[8:] for x in tokens)
-        bits = np.unpackbits(np.frombuffer(low, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        low = b"".join(map(_DIGESTS.__getitem__, tokens))
+        each = np.unpackbits(np.frombuffer(low, np.uint8).reshape(-1, 8), axis=1)
+        bits = sum(each[i : i + 255].sum(0, dtype=np.uint8).astype(np.int64) for i in range(0, len(each), 255))
         return int.from_bytes(np.packbits(2 * bits > len(tokens)).tobytes(), "big", signed=True)
 
     return text.map(one).astype("int64")
@@ -189,23 +208,203 @@ def band_masks(threshold: int) -> list[int]:
     return [int(np.array(x | y, np.uint64).view(np.int64)) for x, y in combinations(group, 2)]
 
 
+#: Rows of a bucket that are compared where they lie, about; larger buckets are cut into blocks of half as many, every two of which meet in a tile.
+BUCKET = 16_384
+#: Up to this size a bucket's rows are compared together with those of other buckets; rows that a task compares at once; sides of a product.
+FEW, CHUNK, SIDE = 64, 100_000, 2048
+#: Rows of which a first batch has at most so many; how many times as many the next one has, with all before it.
+START, FACTOR = 100_000, 8
+
+
 def near_fingerprints(prints: DataFrame, threshold: int) -> DataFrame:
     """prints(id, fp), one id per fingerprint -> (a, b), a < b, within `threshold` bits: no pair is missed."""
+    return near_links(prints.select("id", "fp", F.lit(True).alias("new")), threshold, prints.count()).select("a", "b").distinct()
+
+
+def near_links(rows: DataFrame, threshold: int, n: int) -> DataFrame:
+    """rows(id, fp, new), about n of them, one id per fingerprint and old ones before new ones -> (a, b, old), several times, within `threshold` bits.
+
+    With old, a is an old row near the new row b: all pairs but those that can't be b's earliest. Without it, a < b are
+    new rows: all pairs but some of which one has an old row near. Rows meet in buckets, in which the bits of two groups agree;
+    a sample tells which are large.
+    """
+    ship_package(rows.sparkSession)
     masks = band_masks(threshold)
-    band = prints.select("id", "fp", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])).alias("band"))
-    other = band.select(F.col("id").alias("b"), F.col("fp").alias("fq"), "band")
-    pair = band.join(other, "band").where((F.col("id") < F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) <= threshold))
-    return pair.select(F.col("id").alias("a"), "b").distinct()
+    key = lambda r: r.select("id", "fp", "new", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])).alias("band"))
+    band, one = key(rows), F.lit(0)
+    if n > BUCKET:
+        step = max(1, BUCKET // 256)
+        some = key(rows.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0)).groupBy("band").agg((F.count("*") * step).alias("size"))
+        hot = settle(some.where(F.col("size") > BUCKET).select("band", F.ceil(F.col("size") * 2 / BUCKET).cast("int").alias("blocks")))
+        cut = band.join(hot, "band", "left").withColumn("c", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).otherwise(0))
+        cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)))))
+        band = cut.select("band", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).alias("half"), "new", "id", "fp")
+    else:
+        band = band.select("band", one.alias("i"), one.alias("j"), F.lit(False).alias("half"), "new", "id", "fp")
+    kind = rows.schema["id"].dataType.simpleString()
+    dealt = band.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "half", "new", "id")
+    found = dealt.mapInArrow(partial(_near, threshold=threshold), f"a {kind}, b {kind}, old boolean")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "old").where("a < b")
+
+
+def _near(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """Rows (band, i, j, half, new, id, fp) in this order, tile by tile -> (a, b, old); a tile may cross batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) > CHUNK:
+            t = pa.Table.from_batches(held)
+            last = _tile_starts(t)[-1]
+            if last:
+                yield from _near_in(t.slice(0, last), threshold)
+                held = t.slice(last).to_batches()
+    if held:
+        yield from _near_in(pa.Table.from_batches(held), threshold)
+
+
+def _tile_starts(t: pa.Table) -> np.ndarray:
+    change = np.zeros(max(t.num_rows - 1, 0), bool)
+    for c in ("band", "i", "j"):
+        change |= np.diff(t.column(c).to_numpy()) != 0
+    return np.r_[0, np.flatnonzero(change) + 1]
+
+
+def _near_in(t: pa.Table, threshold: int) -> Iterator[pa.RecordBatch]:
+    if not t.num_rows:
+        return
+    start = _tile_starts(t)
+    size = np.diff(np.r_[start, t.num_rows])
+    fp, ids = t.column("fp").to_numpy().view(np.uint64), t.column("id").combine_chunks()
+    new, half = (t.column(c).to_numpy() for c in ("new", "half"))
+    whole = t.column("i").to_numpy()[start] == t.column("j").to_numpy()[start]
+    few = whole & (size <= FEW)
+    some = np.flatnonzero(np.repeat(few & (size > 1), size))
+    tile = np.repeat(np.arange(len(start)), size)
+    out = [_near_few(fp, tile, new, some, threshold)]
+    for k in np.flatnonzero(~few).tolist():
+        at = np.arange(start[k], start[k] + size[k])
+        out += _near_whole(fp, at, new, threshold) if whole[k] else _near_across(fp, at[~half[at]], at[half[at]], new, threshold)
+    a, b, old = (np.concatenate(x) for x in zip(*out, strict=True))
+    for lo in range(0, len(a), CHUNK):
+        x, y = (ids.take(pa.array(v[lo : lo + CHUNK])) for v in (a, b))
+        yield pa.RecordBatch.from_arrays([x, y, pa.array(old[lo : lo + CHUNK])], ["a", "b", "old"])
+
+
+def _near_few(fp, tile, new, some, threshold):
+    """(a, b, old) of many small tiles at once: each row with the next one, the one after that and so on."""
+    fp, tile, new = fp[some], tile[some], new[some]
+    at, step, found = np.arange(len(some)), 1, [(np.zeros(0, np.int64),) * 2]
+    while len(at):
+        at = at[at + step < len(some)]
+        at = at[tile[at + step] == tile[at]]
+        hit = at[new[at + step] & (np.bitwise_count(fp[at] ^ fp[at + step]) <= threshold)]
+        found.append((hit, hit + step))
+        step += 1
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    old = ~new[a]
+    order = np.lexsort((a[old], b[old]))
+    led, first = np.unique(b[old][order], return_index=True)
+    gone = np.zeros(len(some), bool)
+    gone[led] = True
+    left = ~old & ~gone[a] & ~gone[b]
+    return some[np.r_[a[old][order][first], a[left]]], some[np.r_[led, b[left]]], np.arange(len(led) + left.sum()) < len(led)
+
+
+def _near_whole(fp, at, new, threshold):
+    *led, left = _near_old(fp, at[new[at]], at[~new[at]], threshold)
+    return [tuple(led), _near_new(fp, left, left, threshold, True)]
+
+
+def _near_across(fp, one, other, new, threshold):
+    *led, x = _near_old(fp, one[new[one]], other[~new[other]], threshold)
+    *more, y = _near_old(fp, other[new[other]], one[~new[one]], threshold)
+    return [tuple(led), tuple(more), _near_new(fp, x, y, threshold, False)]
+
+
+def _near_old(fp, new, old, threshold):
+    """(a, b, old) with each new row's first near old row, and the new rows that have none."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(old), SIDE):
+        left = []
+        for k in range(0, len(new), SIDE):
+            rows = new[k : k + SIDE]
+            near = np.bitwise_count(fp[rows][:, None] ^ fp[old[lo : lo + SIDE]][None, :]) <= threshold
+            some = near.any(1)
+            a.append(old[lo + near[some].argmax(1)])
+            b.append(rows[some])
+            left.append(rows[~some])
+        new = np.concatenate(left) if left else new
+    a, b = np.concatenate(a), np.concatenate(b)
+    return a, b, np.ones(len(a), bool), new
+
+
+def _near_new(fp, x, y, threshold, same):
+    """(a, b, not old) for the near pairs of two lists of rows, or of one list, whose rows ascend."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for p in range(0, len(x), SIDE):
+        for q in range(p if same else 0, len(y), SIDE):
+            i, j = np.nonzero(np.bitwise_count(fp[x[p : p + SIDE]][:, None] ^ fp[y[q : q + SIDE]][None, :]) <= threshold)
+            i, j = x[p + i], y[q + j]
+            up = i < j if same else slice(None)
+            a.append(i[up])
+            b.append(j[up])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return a, b, np.zeros(len(a), bool)
+
+
+def _cuts(rows: DataFrame, n: int) -> list:
+    """Ids at which rows(id), n of them, are cut into batches, by a sample of some thousand ids; any cuts are right."""
+    parts, m = [], n
+    while m > START:
+        m /= FACTOR
+        parts.append(m / n)
+    if not parts:
+        return []
+    ids = [r["id"] for r in rows.select("id").where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // 4096))) == 0).orderBy("id").collect()]
+    return sorted({ids[int(len(ids) * p)] for p in parts}) if ids else []
+
+
+def fingerprint_leaders(first: DataFrame, threshold: int) -> DataFrame:
+    """first(id, fp), one id per fingerprint -> (id, leader): fingerprints within `threshold` bits are near.
+
+    As greedy_leaders over all near pairs, batch by batch in order of id.
+    """
+    scratch = Scratch(first.sparkSession, "batches")
+    n = first.count()
+    cuts, kept, out = _cuts(first, n), None, []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        mine = first
+        mine = mine if low is None else mine.where(F.col("id") > F.lit(low))
+        mine = mine if high is None else mine.where(F.col("id") <= F.lit(high))
+        rows = mine.select("id", "fp", F.lit(True).alias("new"))
+        if kept is not None:
+            rows = rows.union(kept.select("id", "fp", F.lit(False)))
+        links = scratch.settle(near_links(rows, threshold, n))
+        near = links.where("not old").select("a", "b")
+        if kept is not None:
+            led = scratch.settle(links.where("old").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")))
+            out.append(led)
+            mine = mine.join(led, "id", "left_anti")
+            near = near.join(led.select(F.col("id").alias("a")), "a", "left_anti").join(led.select(F.col("id").alias("b")), "b", "left_anti")
+        lead = greedy_leaders(mine, near)
+        out.append(lead)
+        if high is not None:
+            now = scratch.settle(mine.join(lead.where("id = leader").select("id"), "id", "left_semi").select("id", "fp"))
+            kept = now if kept is None else kept.union(now)
+        scratch.drop(links)
+    done = settle(reduce(DataFrame.unionByName, out))
+    scratch.close()
+    return done
 
 
 def dedup_news(news: DataFrame, threshold: int = 3, text: str = "content") -> DataFrame:
     """news(id, text) -> (id, fp, kept, leader), in order of id; empty texts go.
 
-    Only the first row of each fingerprint takes part in the rounds; the others follow it.
+    Only the first row of each fingerprint takes part in the batches; the others follow it.
     """
     prints = settle(news.where(F.coalesce(F.trim(text), F.lit("")) != "").select("id", simhash(F.col(text)).alias("fp")))
     first = settle(prints.groupBy("fp").agg(F.min("id").alias("id")))
-    lead = greedy_leaders(first, near_fingerprints(first, threshold))
+    lead = fingerprint_leaders(first, threshold)
     group = first.join(lead, "id").select("fp", F.col("id").alias("first"), "leader")
     return prints.join(group, "fp").select("id", "fp", (F.col("id") == F.col("leader")).alias("kept"), "leader")
 

@@ -125,10 +125,9 @@ class Filters:
         return [self.names[k] if ok else "und" for k, ok in zip(best, has, strict=True)], np.where(has, share, 0.0)
 
 
-def train(labelled: DataFrame, most_documents: int = 2000, least_share: float = 0.004, beside: float = 0.2, bits: int = 20) -> Filters:
-    """Filters from labelled(doc_id, text, lang), lang not null.
+def train(labelled: DataFrame, least_share: float = 0.004, beside: float = 0.2, bits: int = 20) -> Filters:
+    """Filters from all of labelled(text, lang), lang not null.
 
-    At most about `most_documents` documents of each language are used, those with the lowest hashed ids.
     An n-gram belongs to a language if `least_share` of its documents have it (two at least), and if
     that share is `beside` times the largest share in any language. The filters take 2^bits / 8 bytes for each
     language; every 64 languages have a table of their own. Without labelled rows there is no language, and every text is `und`.
@@ -137,14 +136,11 @@ def train(labelled: DataFrame, most_documents: int = 2000, least_share: float =
     names = sorted(counts, key=lambda x: (-counts[x], x))
     if not names:
         return Filters([], [], bits)
-    rate = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, most_documents / counts[n]))]), F.col("lang"))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = labelled.where(part < rate).select("text", "lang")
-    df = arrow_map(some, _documents_with, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    of = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, float(min(counts[n], most_documents)))]), F.col("lang"))
+    df = arrow_map(labelled.select("text", "lang"), _documents_with, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    of = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, float(counts[n]))]), F.col("lang"))
     bit = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k)]), F.col("lang"))
     df = df.select("gram", (F.col("n") / of).alias("share"), bit.alias("bit"), "n")
-    df = df.where((F.col("share") >= least_share) & (F.col("n") >= F.when(of_small(counts, most_documents), 1).otherwise(2)))
+    df = df.where((F.col("share") >= least_share) & (F.col("n") >= F.when(of_small(counts), 1).otherwise(2)))
     by = df.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("share", "bit")).alias("each"))
     kept = by.select("gram", F.explode("each").alias("e"), "top").where(F.col("e.share") >= F.col("top") * beside)
     low = F.col("gram").bitwiseAND((1 << bits) - 1)
@@ -157,9 +153,9 @@ def train(labelled: DataFrame, most_documents: int = 2000, least_share: float =
     return Filters(names, [mask.view(np.uint64).astype(width) for mask in table], bits)
 
 
-def of_small(counts: dict[str, int], most: int):
+def of_small(counts: dict[str, int]):
     """Whether there are too few documents to ask for an n-gram twice."""
-    return F.lit(min([*counts.values(), most]) < 20)
+    return F.lit(min(counts.values()) < 20)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model, text: bool) -> Iterator[pa.RecordBatch]:
@@ -184,8 +180,8 @@ def remainder(doc_id: str = "doc_id", n: int = 4):
 
 
 def trained_on(docs: DataFrame, **options) -> Filters:
-    """Filters learnt from the documents outside the held-out fold."""
-    return train(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder() != 2)).select("doc_id", "text", "lang"), **options)
+    """Filters learnt from all documents outside the held-out fold."""
+    return train(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder() != 2)).select("text", "lang"), **options)
 
 
 def _known(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -195,23 +191,18 @@ def _known(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(known)], ["lang", "known"]).filter(pa.array(has))
 
 
-def with_limit(docs: DataFrame, most_documents: int = 2000) -> Filters:
+def with_limit(docs: DataFrame) -> Filters:
     """Filters that also tell texts in no learned language.
 
     Two of the training folds teach the n-grams. On the third, the limit is set for each language:
     the share of known n-grams that all but the lowest hundredth of its documents reach, less MARGIN.
-    About `most_documents` of a language are used. A language without documents there has no limit.
+    All documents of these folds are used. A language without documents in the third has no limit.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    model = train(labelled.where(~remainder().isin(2, 3)), most_documents)
+    model = train(labelled.where(~remainder().isin(2, 3)))
     own = labelled.where((remainder() == 3) & F.col("lang").isin(model.names))
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # a row per language
-    if not counts:
-        return model
-    rate = F.element_at(F.create_map(*[F.lit(x) for n, c in counts.items() for x in (n, min(1.0, most_documents / c))]), F.col("lang"))
-    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < rate).select("text", "lang")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    low = arrow_map(some, partial(_known, model=shared), "lang string, known double").groupBy("lang").agg(F.percentile_approx("known", 0.01, 10000).alias("low")).collect()
+    low = arrow_map(own.select("text", "lang"), partial(_known, model=shared), "lang string, known double").groupBy("lang").agg(F.percentile_approx("known", 0.01, 10000).alias("low")).collect()
     least = {r["lang"]: max(r["low"] - MARGIN, 0.0) for r in low}
     return Filters(model.names, model.masks, model.bits, np.array([least.get(n, 0.0) for n in model.names]))
 

@@ -103,6 +103,37 @@ def test_state_shrinks_behind_the_watermark(spark, tmp_path):
     assert progress["stateOperators"][0]["numRowsTotal"] <= 4
 
 
+def test_no_triple_costs_a_call(spark, tmp_path):
+    """Rows that come twice or late, each once in the table; the stream calls no Python and keeps nothing that it doesn't need."""
+    kind = "subject string, predicate string, object string, time timestamp_ntz, event long, line long, kind string, evidence string"
+    log, source, c = jobs.Log(spark, f"{tmp_path}/log"), str(tmp_path / "in"), str(tmp_path / "c")
+    d = spark.range(40_000).select(
+        F.concat(F.lit("s"), F.col("id") % 20_000).alias("subject"), F.lit("p").alias("predicate"), F.lit("b").alias("object"),
+        F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, cast(id % 7 as int))").alias("time"), F.col("id").alias("event"), F.lit(1).cast("long").alias("line"), F.lit("state").alias("kind"), F.lit("e").alias("evidence"),
+    )
+    again = d.where("event % 3 = 0").withColumn("evidence", F.lit("f"))
+    for part in (d.where("event >= 20000"), d.where("event < 20000").union(again)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        out = jobs.stream_states(spark.readStream.schema(kind).parquet(source), log)
+        assert "State" not in out._jdf.queryExecution().logical().toString()
+        progress = jobs.run_once(out, jobs.following(log, c), c)
+    assert not progress["stateOperators"] and len(log.batches()) == 2
+    want = d.where("event % 3 <> 0").union(again)
+    assert state_rows(jobs.states(log)) == state_rows(temporal.relation_states(want))
+
+
+def test_revisions_of_states(spark, parts, tmp_path):
+    """Those who follow states get the rows whose next row a batch changes too; the table is the same."""
+    _, v = parts
+    log, source, c = jobs.Log(spark, f"{tmp_path}/log"), str(tmp_path / "in"), str(tmp_path / "c")
+    r = v["relations"].where("subject < 'Supplier#000000002'")
+    for k in range(2):
+        r.where(F.pmod(F.xxhash64("event", "line"), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(source)
+        jobs.run_once(jobs.stream_state_revisions(spark.readStream.schema(r.schema).parquet(source), log), jobs.following(log, c), c)
+    assert log.read().where("rev > 1").count() > 0
+    assert state_rows(jobs.states(log)) == state_rows(temporal.relation_states(r))
+
+
 def test_failures_come_again(spark, parts, tmp_path):
     _, v = parts
     log, source, c = jobs.Log(spark, f"{tmp_path}/log"), str(tmp_path / "in"), str(tmp_path / "c")

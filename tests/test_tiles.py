@@ -48,3 +48,22 @@ def test_weights_are_summed_in_tiles(spark, monkeypatch):
         got = graph.cooccurrence(d, 7, summed=True)
         assert {x["entity_id"]: x["weight"] for x in got.collect()} == want and want
         assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tiles_read_blocks_where_they_lie(spark, monkeypatch):
+    """Tiles of several strips: each pair once, and what is shuffled for tiles is one copy of each block."""
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    monkeypatch.setattr(graph, "SIDE", 4)
+    monkeypatch.setattr(graph, "STRIPS", 3)
+    monkeypatch.setattr(graph, "SMALL", 2)
+    r = random.Random(3)
+    rows = [(f"e{r.randrange(6)}", f"x{k:03}") for k in range(130) for _ in range(4)]
+    of = {}
+    for e, x in rows:
+        of.setdefault(x, set()).add(e)
+    want = {(a, b): sorted(of[a] & of[b]) for a, b in combinations(sorted(of), 2) if len(of[a] & of[b]) >= 2}
+    out = graph.cooccurrence(spark.createDataFrame(rows, "event_id string, entity_id string"), 2, listed=True)
+    got = out.collect()
+    assert len(got) == len(want) and {(g.a, g.b): g.events for g in got} == want
+    tiles = out._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]
+    assert "CartesianProduct" in tiles and "explode" not in tiles

@@ -209,9 +209,10 @@ SELECT sha1('ent:' || name) AS from_id, sha1('ent:' || CASE WHEN p = 'user_2' TH
 
 
 def i11(spark, d):
-    same = R.pairs_same_form(forms(spark, d))
-    none = same.select("a", "b", F.lit(0.95).alias("score")).where("a % 10 = 0")
-    queued = same.where("(a + b) % 3 = 0").select(expr.payload_hash(F.concat_ws(",", "a", "b")).alias("input_hash"), F.lit("pending").alias("status"))
+    f = forms(spark, d)
+    same = lambda n: R.first_pairs_same_form(f, n)
+    none = lambda n: R.first_pairs_same_form(f, n, "id % 10 = 0").select("a", "b", F.lit(0.95).alias("score"))
+    queued = lambda pairs: pairs.where("(a + b) % 3 = 0").select(expr.payload_hash(F.concat_ws(",", "a", "b")).alias("input_hash"), F.lit("pending").alias("status"))
     return R.enqueue_candidates(same, none, queued, 1000).select("a", "b", "priority", "input_hash")
 
 

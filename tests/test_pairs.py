@@ -33,3 +33,24 @@ def test_queue_of_best_pairs(spark):
     left = lambda most: [(r.a, r.b, r.score, r.priority) for r in resolve.enqueue_candidates(same, similar, tasks, most).collect()]
     best = [(a, a + 1000, 1.0, 100) for a in range(390, 400)] + [(5, 6, 0.99, 99), (7, 8, 0.3, 30)]
     assert left(3) == best[:3] and left(11) == best[:11] and left(50) == best
+
+
+def test_first_pairs_are_the_first_of_all(spark):
+    """Ids of several keys, keys of all sizes and a condition on the first id, against the sorted list of all pairs."""
+    r = random.Random(4)
+    data = [(i, r.choice("aaaaabcdefg") + r.choice(("", " .", "-"))) for i in range(60) for _ in range(2)] + [(None, "a"), (7, None), (8, " "), (200, "z"), (300, "y"), (400, "y")]
+    forms = spark.createDataFrame(data, "id long, form string")
+    every = sorted(tuple(x) for x in resolve.pairs_same_form(forms).collect())
+    for most in (1, 5, 70, 400, 10_000):
+        for begin, keep in (("true", lambda a: True), ("id % 10 = 0", lambda a: a % 10 == 0)):
+            want = [x for x in every if keep(x[0])][:most]
+            assert [tuple(x) for x in resolve.first_pairs_same_form(forms, most, begin).collect()] == want
+    assert resolve.first_pairs_same_form(forms.where("id > 400"), 5).collect() == []
+
+
+def test_queue_without_all_pairs(spark):
+    """A form of 60,000 ids has 1.8e9 pairs; the best come without the others."""
+    forms = spark.range(60_000).select("id", F.lit("x").alias("form"))
+    queued = lambda pairs: pairs.where("b < 3000").select("input_hash", F.lit("pending").alias("status"))
+    got = resolve.enqueue_candidates(lambda n: resolve.first_pairs_same_form(forms, n), lambda n: resolve.first_pairs_same_form(forms, n, "id > 9").select("a", "b", F.lit(0.5).alias("score")), queued, 1500)
+    assert [(x.a, x.b, x.score) for x in got.collect()] == [(0, b, 1.0) for b in range(3000, 4500)]

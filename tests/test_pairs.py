@@ -25,6 +25,16 @@ def test_pairs_same_form_in_blocks(spark, monkeypatch):
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_large_keys_are_sent_to_few_tiles(spark, monkeypatch):
+    """Blocks of a large key grow before their number does; the pairs are the same."""
+    d = spark.createDataFrame([(n,) for n in (2, 512, 513, 8192, 112_000, 1_000_000)], "n long")
+    assert [x[0] for x in d.select(resolve.blocks(F.col("n"))).collect()] == [1, 1, 2, 16, 16, 123]
+    monkeypatch.setattr(resolve, "BLOCK", 3)
+    got = resolve.pairs_same_form(spark.range(900).select("id", F.when(F.col("id") < 850, "x").otherwise("y").alias("form")))
+    n = 850 * 849 // 2 + 50 * 49 // 2
+    assert got.where("a < b").distinct().count() == got.count() == n
+
+
 def test_queue_of_best_pairs(spark):
     """The best pairs that are not queued yet, however many of the best ones are; the pairs are not shuffled."""
     same = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1000).alias("b"))
